@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.session import fixed_table
+
 # --- fixed values: systems and workloads -----------------------------------
 KD_ORDER = ["k0s", "k3s", "k8s", "kubeEdge", "openYurt"]
 KD_LABELS = {
@@ -148,29 +150,29 @@ HYPOTHESES = [
 
 def published(spark: SparkSession) -> DataFrame:
     """One row per system with its published measurements."""
-    return spark.createDataFrame(PUBLISHED, PUBLISHED_SCHEMA)
+    return fixed_table(spark, PUBLISHED, PUBLISHED_SCHEMA)
 
 
 def nodes(spark: SparkSession) -> DataFrame:
     """One row per host with type and capacity (CPU in percentage points)."""
     rows = [(h, t, c, c * 100, m) for h, t, c, m in NODES]
-    return spark.createDataFrame(
-        rows, "hostname string, node_type string, cores int, cpu_capacity int, ram_mib int"
+    return fixed_table(
+        spark, rows, "hostname string, node_type string, cores int, cpu_capacity int, ram_mib int"
     )
 
 
 def pod_metrics(spark: SparkSession) -> DataFrame:
     """One row per container metric that the silver layer keeps."""
-    return spark.createDataFrame(POD_METRICS, POD_METRICS_SCHEMA)
+    return fixed_table(spark, POD_METRICS, POD_METRICS_SCHEMA)
 
 
 def hypotheses(spark: SparkSession) -> DataFrame:
     """One row per hypothesis."""
-    return spark.createDataFrame(
-        HYPOTHESES, "proposition_id string, direction string, hypothesis string"
+    return fixed_table(
+        spark, HYPOTHESES, "proposition_id string, direction string, hypothesis string"
     )
 
 
 def labels(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
     """A key/label table for display names."""
-    return spark.createDataFrame(list(mapping.items()), "key string, label string")
+    return fixed_table(spark, list(mapping.items()), "key string, label string")

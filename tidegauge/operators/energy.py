@@ -58,25 +58,31 @@ def cluster_seconds(cells: DataFrame) -> DataFrame:
     )
 
 
-def trapezoid(
+def series_summary(
     series: DataFrame,
     by: list[str],
     at: str,
     value: str,
+    describe: list[str],
     segment: int = SEGMENT_SECONDS,
 ) -> DataFrame:
-    """Trapezoid integral of ``value`` over ``at`` per key, plus span and count.
+    """Trapezoid integral of ``value`` over ``at``, span, count, means and deviations.
 
-    A long series of one key never lands in one task.  Areas are formed inside
-    fixed time segments; a second, tiny step adds the piece between the last
-    point of a segment and the first point of the next one.
+    A long series of one key never lands in one task.  Areas and moments are
+    formed inside fixed time segments; a second, tiny step per key adds the
+    piece between the last point of a segment and the first of the next one,
+    and merges the moments about the overall mean.
     """
-    cut = series.withColumn("_segment", F.floor(F.col(at) / segment))
     inside = Window.partitionBy(*by, "_segment").orderBy(at)
     gap = F.col(at) - F.lag(at).over(inside)
     height = (F.col(value) + F.lag(value).over(inside)) / 2
+    moments = []
+    for name in describe:
+        moments.append(F.avg(name).alias(f"_mean_{name}"))
+        moments.append((F.var_pop(name) * F.count(name)).alias(f"_square_{name}"))
     parts = (
-        cut.withColumn("_area", gap * height)
+        series.withColumn("_segment", F.floor(F.col(at) / segment))
+        .withColumn("_area", gap * height)
         .groupBy(*by, "_segment")
         .agg(
             F.coalesce(F.sum("_area"), F.lit(0.0)).alias("_area"),
@@ -84,44 +90,57 @@ def trapezoid(
             F.max(at).alias("_to"),
             F.min_by(value, at).alias("_first"),
             F.max_by(value, at).alias("_last"),
-            F.count("*").alias("_points"),
+            F.count("*").alias("_n"),
+            *moments,
         )
     )
-    across = Window.partitionBy(*by).orderBy("_segment")
+    key = Window.partitionBy(*by)
+    across = key.orderBy("_segment")
     bridge = (
         (F.col("_from") - F.lag("_to").over(across))
         * (F.col("_first") + F.lag("_last").over(across))
         / 2
     )
-    return (
-        parts.withColumn("_bridge", F.coalesce(bridge, F.lit(0.0)))
-        .groupBy(*by)
-        .agg(
-            F.sum(F.col("_area") + F.col("_bridge")).alias("integral"),
-            (F.max("_to") - F.min("_from")).alias("span"),
-            F.sum("_points").alias("points"),
+    merged = parts.withColumn("_bridge", F.coalesce(bridge, F.lit(0.0)))
+    summary = []
+    for name in describe:
+        overall = F.sum(F.col("_n") * F.col(f"_mean_{name}")).over(key) / F.sum("_n").over(key)
+        merged = merged.withColumn(f"_all_{name}", overall)
+        shift = F.col(f"_mean_{name}") - F.col(f"_all_{name}")
+        squares = F.sum(F.col(f"_square_{name}") + F.col("_n") * shift * shift)
+        summary.append(F.max(f"_all_{name}").alias(f"mean_{name}"))
+        summary.append(
+            F.when(F.sum("_n") > 1, F.sqrt(F.try_divide(squares, F.sum("_n") - 1))).alias(
+                f"std_{name}"
+            )
         )
+    return merged.groupBy(*by).agg(
+        F.sum(F.col("_area") + F.col("_bridge")).alias("integral"),
+        (F.max("_to") - F.min("_from")).alias("span"),
+        F.sum("_n").alias("points"),
+        *summary,
     )
 
 
-def energy_per_test(seconds: DataFrame) -> DataFrame:
+def trapezoid_energy(seconds: DataFrame) -> DataFrame:
     """Energy and duration per test; a zero span counts the seconds instead."""
     duration = F.when(F.col("span") > 0, F.col("span")).otherwise(F.col("points"))
-    return trapezoid(seconds, TEST, "relative_time", "mean_power_w").select(
-        *TEST, F.col("integral").alias("energy_j"), duration.cast("bigint").alias("duration_s")
+    described = series_summary(
+        seconds.withColumnsRenamed({"mean_power_w": "power_w", "mean_freq_mhz": "freq_mhz"}),
+        TEST, "relative_time", "power_w", ["freq_mhz", "power_w"],
     )
+    return described.withColumnRenamed("integral", "energy_j").withColumn(
+        "duration_s", duration.cast("bigint")
+    ).drop("span", "points")
 
 
 def energy_estimate(telemetry: DataFrame) -> DataFrame:
-    """Frequency, power, energy and duration per (kd, test)."""
-    seconds = cluster_seconds(with_power(with_activity(host_seconds(telemetry))))
-    levels = seconds.groupBy(*TEST).agg(
-        F.avg("mean_freq_mhz").alias("mean_freq_mhz"),
-        F.stddev_samp("mean_freq_mhz").alias("std_freq_mhz"),
-        F.avg("mean_power_w").alias("mean_power_w"),
-        F.stddev_samp("mean_power_w").alias("std_power_w"),
+    """Frequency, power, energy and duration per (kd, test): one scan, no join."""
+    cells = with_power(with_activity(host_seconds(telemetry)))
+    return trapezoid_energy(cluster_seconds(cells)).select(
+        *TEST, "mean_freq_mhz", "std_freq_mhz", "mean_power_w", "std_power_w",
+        "energy_j", "duration_s",
     )
-    return levels.join(energy_per_test(seconds), TEST)
 
 
 def energy_efficiency(estimates: DataFrame, published: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def tag_hits(registry: DataFrame, documents: DataFrame) -> DataFrame:
         *ENTRY, "start_ts", "end_ts", "position", "candidate"
     )
     found = documents_in_windows(documents.select("labels", "timestamp"), probes)
-    return found.groupBy(*ENTRY, "position", "candidate").agg()
+    return found.select(*ENTRY, "position", "candidate").distinct()
 
 
 def tag_resolve(registry: DataFrame, documents: DataFrame) -> DataFrame:

@@ -145,7 +145,9 @@ def loaded_overhead(silver: DataFrame, classification: DataFrame) -> DataFrame:
 
 def role_counts(silver: DataFrame, classification: DataFrame) -> DataFrame:
     """Distinct pods per (kd, test), in total and by role."""
-    pods = join_role(silver, classification).groupBy("kd", "test_type", "pod_uuid", "role").agg()
+    pods = (
+        join_role(silver, classification).select("kd", "test_type", "pod_uuid", "role").distinct()
+    )
     return pods.groupBy("kd", "test_type").agg(
         F.count("*").alias("n_pods"),
         F.count_if(F.col("role") == "system").alias("n_system"),

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tidegauge.plans import energy_queries  # noqa: F401
+from tidegauge.plans import (  # noqa: F401
+    energy_queries,
+    pod_queries,
+    rate_queries,
+    scan_queries,
+)
 from tidegauge.plans.registry import ORACLES, QUERIES
 
 

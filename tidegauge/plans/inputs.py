@@ -13,7 +13,18 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
 from tidegauge.functions.telemetry import epoch_seconds
-from tidegauge.session import written
+from tidegauge.session import fixed_table, written
+
+TABLES = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_returnflag string"
+    ),
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double",
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    ),
+}
 
 # number, context, metric, units, offset, scale
 CATALOGUE = [
@@ -169,13 +180,13 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """A given table."""
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """The columns of a given table that the shapes use, with declared types."""
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def telemetry(self) -> DataFrame:
         """Long-format telemetry from ``lineitem`` (32 fixed metrics, broadcast)."""
-        catalogue = self.spark.createDataFrame(CATALOGUE, CATALOGUE_SCHEMA)
+        catalogue = fixed_table(self.spark, CATALOGUE, CATALOGUE_SCHEMA)
         base = self.table("lineitem").selectExpr(*_split(TELEMETRY_BASE))
         catalogue = catalogue.withColumnRenamed("offset", "offset_")
         return base.join(F.broadcast(catalogue), "m").selectExpr(

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows above which a table that grows with the data is no longer broadcast.
 BROADCAST_ROWS = 100_000
@@ -35,6 +38,23 @@ def build_session(app: str = "tidegauge", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def fixed_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small constant table as a local relation.
+
+    Going through Arrow keeps the rows in the plan, where the optimizer can
+    filter and fold them; a list would become an RDD read by Python workers.
+    """
+    fields = T.StructType.fromDDL(schema).names
+    columns = {name: [row[i] for row in rows] for i, name in enumerate(fields)}
+    table = pa.table(
+        [pa.array(values) for values in columns.values()], names=list(columns)
+    )
+    casts = T.StructType.fromDDL(schema).fields
+    return spark.createDataFrame(table).select(
+        *[F.col(field.name).cast(field.dataType) for field in casts]
+    )
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor sees, as the cluster names it.
 

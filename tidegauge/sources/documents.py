@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge import fixed_values as fixed
 from tidegauge import schemas
 from tidegauge.functions.telemetry import clean_number
-from tidegauge.sources.files import or_empty
+from tidegauge.sources.files import or_empty, read_json
 
 # plain folders and key=value folders, and files written as folders of parts
 RUN_FILE = (
@@ -31,12 +31,9 @@ def documents_of_tag(documents: DataFrame, tag: str, start: int, end: int) -> Da
     ).select(*fixed.DOCUMENT_FIELDS)
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Run registry: a JSON array or one object per line."""
-    schema = schemas.REGISTRY
-    return or_empty(
-        spark, schema, lambda: spark.read.schema(schema).option("multiLine", True).json(path)
-    )
+def read_registry(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Run registry, one object per line; ``whole`` for a file with one array."""
+    return read_json(spark, path, schemas.REGISTRY, whole)
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -47,9 +44,7 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     schema = "kd string, test_type string, run_dir string, file_name string, text string"
 
     def read() -> DataFrame:
-        files = (
-            spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-        )
+        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         location = F.col("_metadata.file_path")
         return files.select(
             *[

@@ -16,3 +16,10 @@ def or_empty(spark: SparkSession, schema: str, read: Callable[[], DataFrame]) ->
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def read_json(spark: SparkSession, path: str, schema: str, whole: bool = False) -> DataFrame:
+    """One object per line, or with ``whole`` one array or object per file."""
+    return or_empty(
+        spark, schema, lambda: spark.read.schema(schema).option("multiLine", whole).json(path)
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import schemas
 from tidegauge.functions.telemetry import clean_number
-from tidegauge.sources.files import or_empty
+from tidegauge.sources.files import or_empty, read_json
 
 RUN_FILE = r"([^/]+)/([^/]+)_run(\d+)\.parquet$"
 
@@ -60,12 +60,9 @@ def read_result_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def read_classification(spark: SparkSession, path: str) -> DataFrame:
-    """Pod classification: a JSON array (one document) or one object per line."""
-    schema = schemas.CLASSIFICATION
-    return or_empty(
-        spark, schema, lambda: spark.read.schema(schema).option("multiLine", True).json(path)
-    )
+def read_classification(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Pod classification, one object per line; ``whole`` for a file with one array."""
+    return read_json(spark, path, schemas.CLASSIFICATION, whole)
 
 
 def classification_by_pod(classification: DataFrame) -> DataFrame:
