@@ -12,6 +12,19 @@ from tidegauge.operators.statistics import spearman_of_systems
 HEAVY = "cp_heavy_12client"
 
 
+def with_label(rows: DataFrame, column: str, mapping: dict[str, str], name: str) -> DataFrame:
+    """Display name of a key, the key itself where it has none.
+
+    The mapping is a fixed table of a few rows, hence the broadcast.
+    """
+    names = fixed.labels(rows.sparkSession, mapping)
+    return (
+        rows.join(F.broadcast(names), rows[column] == names["key"], "left")
+        .withColumn(name, F.coalesce("label", column))
+        .drop("key", "label")
+    )
+
+
 def startup_by_kd_test(startup: DataFrame) -> DataFrame:
     """Mean and deviation of median start-up latency per (kd, test)."""
     return startup.groupBy("kd", "tests").agg(

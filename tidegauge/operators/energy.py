@@ -207,7 +207,9 @@ def completeness_matrix(estimates: DataFrame, published: DataFrame) -> DataFrame
     return grid.join(found, TEST, "left").select(
         *TEST,
         F.col("mean_freq_mhz").isNotNull().alias("has_data"),
-        F.coalesce(F.format_string("%.0f", "mean_freq_mhz"), F.lit("N/A")).alias("freq_label"),
+        F.when(F.col("mean_freq_mhz").isNull(), "N/A")
+        .otherwise(F.format_string("%.0f", "mean_freq_mhz"))
+        .alias("freq_label"),
         F.coalesce("mean_power_w", F.lit(0.0)).alias("power_w"),
         F.coalesce("std_power_w", F.lit(0.0)).alias("power_std_w"),
     )

@@ -27,7 +27,12 @@ def _verdict(
     )
     pairs = [part for name in names for part in (F.lit(name), F.col(name).cast("double"))]
     lines = [
-        F.concat(F.lit(f"{name} = "), F.coalesce(F.format_string("%.4f", name), F.lit("n/a")))
+        F.concat(
+            F.lit(f"{name} = "),
+            F.when(F.col(name).isNull(), "n/a").otherwise(
+                F.format_string("%.4f", F.col(name).cast("double"))
+            ),
+        )
         for name in names
     ]
     return stats.select(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tidegauge.plans import (  # noqa: F401
+    comparison_queries,
     energy_queries,
+    ingest_queries,
     pod_queries,
     rate_queries,
     scan_queries,

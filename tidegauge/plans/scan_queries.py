@@ -249,7 +249,6 @@ def sink_result_csv(t):
     sql="""SELECT kd, test_type, role, metric, round(mean, 6) AS mean, round(std, 6) AS std, n_runs, n_pods
     FROM loaded""",
     rounds="mean std",
-    digits=5,
 )
 def sink_result_csv_fixed(t):
     path = new_table_path(t.spark, "fixed")

@@ -48,7 +48,7 @@ def fixed_decimals(result: DataFrame, decimals: int = 6) -> DataFrame:
     """Floating-point columns as text with a fixed number of decimals; NULL stays NULL."""
     return result.select(
         *[
-            F.format_string(f"%.{decimals}f", name).alias(name)
+            F.when(F.col(name).isNotNull(), F.format_string(f"%.{decimals}f", name)).alias(name)
             if kind in ("double", "float")
             else F.col(name)
             for name, kind in result.dtypes
