@@ -34,13 +34,12 @@ def is_worker_core(metric: Column) -> Column:
 
 
 def container_key(chart_id: Column) -> Column:
-    """``{qos}_pod{uuid}`` of a container chart id, NULL where it does not match.
+    """``{qos}_pod{uuid}`` of a container chart id, empty where it does not match.
 
     One pattern match serves both parts: the uuid holds no underscore, so the
     last ``_pod`` is where the class ends.
     """
-    matched = F.regexp_extract(chart_id, fixed.CHART_ID_PATTERN, 1)
-    return F.nullif(matched, F.lit(""))
+    return F.regexp_extract(chart_id, fixed.CHART_ID_PATTERN, 1)
 
 
 def pod_uuid(key: Column) -> Column:

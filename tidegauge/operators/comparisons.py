@@ -116,6 +116,24 @@ def measured_idle_cpu(series: DataFrame) -> DataFrame:
     )
 
 
+def idle_footprint(telemetry: DataFrame) -> DataFrame:
+    """Measured idle CPU of the workers and container memory per kd, in one pass."""
+    cpu = (
+        (F.col("chart_context") == fixed.CTX_CPU)
+        & (F.col("metric_id") == "idle")
+        & F.col("hostname").isin(fixed.WORKERS)
+    )
+    memory = (F.col("chart_context") == "k8s.cgroup.mem_usage") & (F.col("metric_id") == "ram")
+    return (
+        telemetry.where((F.col("test_type") == "idle") & (cpu | memory))
+        .groupBy("kd")
+        .agg(
+            (F.lit(100.0) - F.avg(F.when(cpu, F.col("value")))).alias("idle_cpu_pct"),
+            F.avg(F.when(memory, F.col("value"))).alias("idle_ram_mib"),
+        )
+    )
+
+
 def join_kd_constants(measured: DataFrame, published: DataFrame) -> DataFrame:
     """Measured values beside the published ones (five fixed rows, broadcast)."""
     return measured.join(F.broadcast(published), "kd")

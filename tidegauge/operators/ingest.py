@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
 from tidegauge.functions import tags
-from tidegauge.session import broadcast_if_small, checkpointed, fits_broadcast
+from tidegauge.session import checkpointed, fits_broadcast
 
 ENTRY = ["kd", "test_type", "run_num"]
 BUCKET_SECONDS = 3600
@@ -157,7 +157,7 @@ def extract_run(registry: DataFrame, documents: DataFrame) -> DataFrame:
     the nine wanted fields, does not repeat it.
     """
     resolved = checkpointed(tag_resolve(registry, documents))
-    windows = usable_runs(registry).join(broadcast_if_small(resolved), ENTRY).select(
+    windows = usable_runs(registry).join(resolved, ENTRY).select(
         "kd", "test_type", F.col("run_num").alias("run"),
         F.col("resolved_tag").alias("candidate"), "start_ts", "end_ts",
     )

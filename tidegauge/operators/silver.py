@@ -10,15 +10,13 @@ from tidegauge.functions import telemetry as cells
 from tidegauge.operators.scans import RUN
 from tidegauge.schemas import SILVER_COLUMNS
 
-POD = ["hostname", "pod_uuid", "qos_class"]
-
 
 def parsed_containers(telemetry: DataFrame) -> DataFrame:
     """Container rows with pod id and class; ids that do not match are dropped."""
     return (
         telemetry.where(F.col("chart_context").startswith(fixed.CGROUP_PREFIX))
         .withColumn("_container", cells.container_key(F.col("chart_id")))
-        .where(F.col("_container").isNotNull())
+        .where(F.col("_container") != "")
         .withColumn("pod_uuid", cells.pod_uuid(F.col("_container")))
         .withColumn("qos_class", cells.qos_class(F.col("_container")))
         .drop("_container")
@@ -41,21 +39,40 @@ def with_kept_dimensions(rows: DataFrame) -> DataFrame:
 def silver_pod_metrics(telemetry: DataFrame, definitions: DataFrame) -> DataFrame:
     """Combine dimensions and containers per second, then average the seconds.
 
-    Sum and maximum are both formed in one aggregation; the definition then
-    says which one counts.
+    The pattern runs once per kept row and its result is the grouping key; pod
+    and class are cut out of it afterwards, once per group.  Rows that do not
+    match share one small group per second, which is dropped by an aggregate
+    flag (a filter on the key would be pushed to the scan and match again).
+    Sum and maximum are both formed; the definition then says which counts.
+    Units and rule follow from the metric and are attached after the shuffle.
     """
-    kept = with_kept_dimensions(with_metric_definition(parsed_containers(telemetry), definitions))
-    key = [*RUN, *POD, "metric", "metric_units", "dim_agg"]
+    only = telemetry.where(F.col("chart_context").startswith(fixed.CGROUP_PREFIX))
+    kept = with_kept_dimensions(with_metric_definition(only, definitions)).select(
+        *RUN, "hostname", "metric", "relative_time", "value",
+        cells.container_key(F.col("chart_id")).alias("_container"),
+    )
+    key = [*RUN, "hostname", "_container", "metric"]
     seconds = kept.groupBy(*key, "relative_time").agg(
         F.coalesce(F.sum("value"), F.lit(0.0)).alias("_sum"), F.max("value").alias("_max")
     )
-    second_value = F.when(F.col("dim_agg") == "sum", F.col("_sum")).otherwise(F.col("_max"))
-    return (
-        seconds.withColumn("_value", second_value)
-        .groupBy(*key)
-        .agg(F.avg("_value").alias("value"), F.count("*").alias("n_samples"))
-        .withColumnRenamed("metric_units", "units")
-        .drop("dim_agg")
+    means = (
+        seconds.groupBy(*key)
+        .agg(
+            F.avg("_sum").alias("_mean_sum"),
+            F.avg("_max").alias("_mean_max"),
+            F.count("*").alias("n_samples"),
+            F.max(F.col("_container") != "").alias("_matched"),
+        )
+        .where(F.col("_matched"))
+    )
+    rules = definitions.select("metric", F.col("metric_units").alias("units"), "dim_agg")
+    container = F.col("_container")
+    value = F.when(F.col("dim_agg") == "sum", F.col("_mean_sum")).otherwise(F.col("_mean_max"))
+    return means.join(F.broadcast(rules), "metric").select(
+        *RUN, "hostname",
+        cells.pod_uuid(container).alias("pod_uuid"),
+        cells.qos_class(container).alias("qos_class"),
+        "metric", value.alias("value"), "units", "n_samples",
     )
 
 

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from tidegauge.functions import probability as tails
 from tidegauge.functions.labels import stars
 from tidegauge.operators.ranks import mid_rank, value_histogram, with_running_counts
+from tidegauge.session import written
 
 EXACT_UP_TO = 8
 
 
-def spearman_p(rho: Column, n: Column) -> Column:
-    """Two-sided p from the t distribution; a perfect correlation has p 0."""
-    freedom = (n - 2).cast("bigint")
-    t = rho * F.sqrt(F.try_divide(freedom.cast("double"), (1 - rho) * (1 + rho)))
-    return F.when(n < 3, F.lit(None).cast("double")).when(
-        F.abs(rho) >= 1, F.lit(0.0)
-    ).otherwise(tails.student_two_sided(t, freedom))
+def with_spearman_p(rows: DataFrame) -> DataFrame:
+    """Two-sided p from the t distribution; a perfect correlation has p 0.
+
+    The statistic becomes a column first, so the tail expression stays small.
+    """
+    rho, n = F.col("spearman_rho"), F.col("n_points")
+    freedom = F.when(n >= 3, n - 2)
+    t = F.abs(rho) * F.sqrt(F.try_divide(freedom.cast("double"), (1 - rho) * (1 + rho)))
+    p = F.when(F.abs(rho) >= 1, F.lit(0.0)).otherwise(
+        tails.student_two_sided(F.col("_t"), F.col("_freedom"))
+    )
+    return rows.select("*", t.alias("_t"), freedom.alias("_freedom")).withColumn("p_value", p)
 
 
 def _correlation(ranked: DataFrame, by: list[str]) -> DataFrame:
@@ -31,26 +37,27 @@ def _correlation(ranked: DataFrame, by: list[str]) -> DataFrame:
     )
     raw = F.try_divide("_xy", F.sqrt("_xx") * F.sqrt("_yy"))
     rho = F.when(F.col("n_points") >= 3, F.greatest(F.least(raw, F.lit(1.0)), F.lit(-1.0)))
-    return (
-        sums.withColumn("spearman_rho", F.when(raw.isNotNull(), rho))
-        .withColumn("p_value", spearman_p(F.col("spearman_rho"), F.col("n_points")))
-        .select(*by, "spearman_rho", "p_value", F.col("n_points").alias("n"))
+    rated = sums.select(*by, "n_points", F.when(raw.isNotNull(), rho).alias("spearman_rho"))
+    return with_spearman_p(rated).select(
+        *by, "spearman_rho", "p_value", F.col("n_points").alias("n")
     )
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Spearman correlation per key at any size.
 
-    Pairs are folded into distinct (x, y) first.  Ranks of x and of y are
+    Pairs are folded into distinct (x, y) first and written once, so the rows
+    are scanned a single time.  Ranks of x and of y are
     looked up by equi-joins whose right side has unique keys; a value shared
     by many pairs is split by adaptive skew handling.  Fewer than three points
     or a constant column give NULL.
     """
-    pairs = (
+    folded = (
         rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
         .agg(F.count("*").alias("n"))
     )
+    pairs = written(folded, "pairs")
     ranked = pairs
     for column, centred in (("_x", "dx"), ("_y", "dy")):
         sides = pairs.groupBy(*by, column).agg(F.sum("n").alias("n"))
@@ -65,14 +72,16 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def spearman_of_systems(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Spearman correlation over one point per system.
 
-    The groups hold at most one row per system (five), so plain windows do.
+    The groups hold at most one row per system (five), so plain windows do;
+    all of them share one partitioning.
     """
     kept = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     whole = Window.partitionBy(*by)
 
     def centred(column: str) -> Column:
-        ties = F.count("*").over(Window.partitionBy(*by, column))
-        rank = F.rank().over(whole.orderBy(column)) + (ties - 1) / 2
+        order = whole.orderBy(column)
+        ties = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+        rank = F.rank().over(order) + (ties - 1) / 2
         return rank - (F.count("*").over(whole) + 1) / 2
 
     ranked = kept.select(
@@ -154,7 +163,10 @@ def kruskal_wallis(rows: DataFrame, by: list[str], group: str, value: str) -> Da
 
 
 def irq_cross_kd(run_rates: DataFrame) -> DataFrame:
-    """Kruskal-Wallis over systems per test beside each system's mean and deviation."""
+    """Kruskal-Wallis over systems per test beside each system's mean and deviation.
+
+    Two branches read ``run_rates`` (a row per run); pass it written.
+    """
     levels = run_rates.groupBy("test_type", "kd").agg(
         F.avg("irq_rate").alias("irq_rate_mean"), F.stddev_pop("irq_rate").alias("irq_rate_std")
     )

@@ -312,28 +312,22 @@ def efficiency_ranking(t):
 
 # --- verdicts -------------------------------------------------------------------
 def footprint(t):
-    """Security beside measured idle CPU and container memory per system."""
-    memory = (
-        t.telemetry.where(
-            (F.col("test_type") == "idle")
-            & (F.col("chart_context") == "k8s.cgroup.mem_usage")
-            & (F.col("metric_id") == "ram")
-        )
-        .groupBy("kd")
-        .agg(F.avg("value").alias("idle_ram_mib"))
-    )
-    measured = measured_idle(t).select("kd", F.col("cpu_usage").alias("idle_cpu_pct"))
+    """Measured idle use per system; several verdicts read it, so it is written once."""
+    return t.once("footprint", lambda: comparisons.idle_footprint(t.telemetry))
+
+
+def secured(t):
+    """Measured idle use beside the published security score."""
     security = t.published.select("kd", "security_pct")
-    return comparisons.join_kd_constants(measured.join(memory, "kd"), security)
+    return comparisons.join_kd_constants(footprint(t), security)
 
 
 def p1(t):
-    return verdicts.verdict_p1(footprint(t))
+    return verdicts.verdict_p1(secured(t))
 
 
 def p2(t):
-    idle = measured_idle(t).select("kd", F.col("cpu_usage").alias("idle_cpu_pct"))
-    points = idle.join(comparisons.svc_create_median(t.api_latency), "kd")
+    points = footprint(t).join(comparisons.svc_create_median(t.api_latency), "kd")
     return verdicts.verdict_p2(points, overhead.growth_factor(loaded(t)))
 
 
@@ -345,11 +339,9 @@ def p3(t):
 
 def p10(t):
     rows = comparisons.join_kd_constants(
-        measured_idle(t).select("kd", F.col("cpu_usage").alias("idle_cpu_pct")),
-        t.published.select("kd", "dp_ops"),
+        footprint(t).select("kd", "idle_cpu_pct"), t.published.select("kd", "dp_ops")
     )
-    # the efficiency rows feed two aggregations
-    return verdicts.verdict_p10(written(comparisons.throughput_efficiency(rows), "efficiency"))
+    return verdicts.verdict_p10(comparisons.throughput_efficiency(rows))
 
 
 def p12(t):
@@ -361,7 +353,7 @@ def p12(t):
 
 
 def p14(t):
-    return verdicts.verdict_p14(footprint(t))
+    return verdicts.verdict_p14(secured(t))
 
 
 VERDICT_ROWS = {"p1": p1, "p2": p2, "p3": p3, "p10": p10, "p12": p12, "p14": p14}
@@ -398,7 +390,7 @@ VERDICTS = (
     + f""", one AS (
   SELECT max(rho) FILTER (pair = 'cpu') AS cpu, max(p) FILTER (pair = 'cpu') AS cpu_p,
     max(rho) FILTER (pair = 'ram') AS ram, max(p) FILTER (pair = 'ram') AS ram_p,
-    max(rho) FILTER (pair = 'svc') AS svc, max(rho) FILTER (pair = 'eff') AS eff,
+    max(rho) FILTER (pair = 'svc') AS svc, max(rho) FILTER (pair = 'eff') AS eff, max(p) FILTER (pair = 'eff') AS eff_p,
     max(rho) FILTER (pair = 'setup') AS setup, max(p) FILTER (pair = 'setup') AS setup_p FROM correlations
 ), grown AS (SELECT max(growth_factor) AS g FROM growth WHERE kd = 'k0s' AND test_type = 'cp_heavy_12client'
 ), mw_all AS (SELECT u, {Z_TAIL.format(z="z")} AS p FROM mw WHERE tests = 'all'
@@ -408,19 +400,27 @@ VERDICTS = (
 ), outcomes AS (
   SELECT 'P1' AS proposition_id, cpu > 0.3 AND ram > 0.3 AS supported,
     CASE WHEN cpu > 0.7 AND ram > 0.7 THEN 'strong' WHEN cpu > 0.4 OR ram > 0.4 THEN 'moderate'
-      WHEN cpu > 0.2 OR ram > 0.2 THEN 'weak' ELSE 'inconclusive' END AS strength, cpu AS main_statistic FROM one
+      WHEN cpu > 0.2 OR ram > 0.2 THEN 'weak' ELSE 'inconclusive' END AS strength, cpu AS main_statistic,
+    printf('spearman_rho_cpu = %.4f; spearman_rho_ram = %.4f; spearman_p_cpu = %.4f; spearman_p_ram = %.4f', cpu, ram, cpu_p, ram_p) AS evidence,
+    4 AS n_statistics FROM one
   UNION ALL SELECT 'P2', g > 3 OR svc > 0.3,
-    CASE WHEN g > 5 THEN 'strong' WHEN g > 2 THEN 'moderate' ELSE 'weak' END, g FROM one, grown
+    CASE WHEN g > 5 THEN 'strong' WHEN g > 2 THEN 'moderate' ELSE 'weak' END, g,
+    printf('spearman_rho_svc_create = %.4f; k0s_system_cpu_growth_factor = %.4f', svc, g), 2 FROM one, grown
   UNION ALL SELECT 'P3', p < 0.05 AND mean_lightweight_ms < mean_heavy_ms,
     CASE WHEN p < 0.01 AND ratio_heavy_to_lw > 1.5 THEN 'strong' WHEN p < 0.05 THEN 'moderate'
-      WHEN mean_lightweight_ms < mean_heavy_ms THEN 'weak' ELSE 'inconclusive' END, u FROM mw_all, means
+      WHEN mean_lightweight_ms < mean_heavy_ms THEN 'weak' ELSE 'inconclusive' END, u,
+    printf('mann_whitney_u = %.4f; mann_whitney_p = %.4f; mean_lightweight_ms = %.4f; mean_heavy_ms = %.4f; ratio_heavy_to_lw = %.4f',
+      u, p, mean_lightweight_ms, mean_heavy_ms, ratio_heavy_to_lw), 5 FROM mw_all, means
   UNION ALL SELECT 'P10', k3s > ke AND s > 3,
-    CASE WHEN s > 10 THEN 'strong' WHEN s > 5 THEN 'moderate' WHEN s > 2 THEN 'weak' ELSE 'inconclusive' END, s FROM spread
+    CASE WHEN s > 10 THEN 'strong' WHEN s > 5 THEN 'moderate' WHEN s > 2 THEN 'weak' ELSE 'inconclusive' END, s,
+    printf('spearman_rho = %.4f; spearman_p = %.4f; efficiency_spread = %.4f', eff, eff_p, s), 3 FROM spread, one
   UNION ALL SELECT 'P12', setup > 0.3,
-    CASE WHEN setup > 0.7 THEN 'strong' WHEN setup > 0.4 THEN 'moderate' ELSE 'weak' END, setup FROM one
+    CASE WHEN setup > 0.7 THEN 'strong' WHEN setup > 0.4 THEN 'moderate' ELSE 'weak' END, setup,
+    printf('spearman_rho = %.4f; spearman_p = %.4f', setup, setup_p), 2 FROM one
   UNION ALL SELECT 'P14', cpu > 0.3 OR ram > 0.3,
     CASE WHEN cpu > 0.7 OR ram > 0.7 THEN 'strong' WHEN cpu > 0.4 OR ram > 0.4 THEN 'moderate'
-      WHEN cpu > 0.2 OR ram > 0.2 THEN 'weak' ELSE 'inconclusive' END, cpu FROM one
+      WHEN cpu > 0.2 OR ram > 0.2 THEN 'weak' ELSE 'inconclusive' END, cpu,
+    printf('spearman_rho_cpu = %.4f; spearman_rho_ram = %.4f; spearman_p_cpu = %.4f; spearman_p_ram = %.4f', cpu, ram, cpu_p, ram_p), 4 FROM one
 ), verdicts AS (
   SELECT *, CASE WHEN supported THEN 'SUPPORTED (' ELSE 'NOT SUPPORTED (' END || strength || ')' AS verdict FROM outcomes
 )
@@ -460,9 +460,16 @@ def all_verdicts(t):
     return reduce(lambda a, b: a.unionByName(b), [rows(t) for rows in VERDICT_ROWS.values()])
 
 
-@query("verdict_record")
+@query(
+    "verdict_record", ctes=VERDICTS,
+    sql="""SELECT proposition_id, supported, strength, verdict, evidence, n_statistics FROM verdicts""",
+)
 def verdict_record(t):
-    return all_verdicts(t)
+    return all_verdicts(t).select(
+        "proposition_id", "supported", "strength", "verdict",
+        F.array_join("evidence", "; ").alias("evidence"),
+        F.size("statistics").alias("n_statistics"),
+    )
 
 
 @query(

@@ -8,7 +8,7 @@ from tidegauge.functions import tags
 from tidegauge.operators import ingest
 from tidegauge.plans.inputs import METRIC_DOCS, RUN_FILES, TELEMETRY
 from tidegauge.plans.registry import query
-from tidegauge.session import checkpointed, new_table_path
+from tidegauge.session import broadcast_if_small, checkpointed, new_table_path
 from tidegauge.sinks import tables as sinks
 
 # --- expressions over log texts -----------------------------------------------
@@ -170,9 +170,11 @@ def extract_run(t):
     FROM metric_docs d JOIN run_registry g ON d.kd = g.kd AND d.run = g.run_num""",
 )
 def relative_time(t):
-    starts = registry(t).select("kd", F.col("run_num").alias("run"), "start_ts")
+    starts = checkpointed(
+        registry(t).select("kd", F.col("run_num").alias("run"), "start_ts")
+    )
     rows = t.metric_docs.select("kd", "run", "hostname", "id", "value", "timestamp")
-    return ingest.relative_time(rows.join(starts, ["kd", "run"]))
+    return ingest.relative_time(rows.join(broadcast_if_small(starts), ["kd", "run"]))
 
 
 PROFILE = """SELECT kd, test_type, run, count(*) AS n_rows, count(DISTINCT chart_context) AS n_contexts,

@@ -6,6 +6,7 @@ The SQL beside each is the same projection for the check.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
 from tidegauge.functions.telemetry import epoch_seconds
+from tidegauge.operators.silver import silver_table
 from tidegauge.session import fixed_table, written
 
 TABLES = {
@@ -155,8 +157,8 @@ RUN_FILES = f"""{METRIC_DOCS.rstrip()}, spans AS (
 ), files AS (
   SELECT kd, 'idle' AS test_type, 'idle-' || CAST(run AS VARCHAR) AS run_dir, file_name,
     CASE file_name
-      WHEN 'ansible_output_1.txt' THEN 'TASK [change the tag to ' || kd || '-idle-' || CAST(run AS VARCHAR)
-        || ',**] ok' || chr(10) || '"msg": "' || CAST(first_s + 1 AS VARCHAR) || ' - ' || CAST(last_s + 1 AS VARCHAR) || '"'
+      WHEN 'ansible_output_1.txt' THEN 'TASK [change the tag to ' || kd || CASE kd WHEN 'openYurt' THEN '-cp-' ELSE '-idle-' END
+        || CAST(run AS VARCHAR) || ',**] ok' || chr(10) || '"msg": "' || CAST(first_s + 1 AS VARCHAR) || ' - ' || CAST(last_s + 1 AS VARCHAR) || '"'
       WHEN 'tmp-before.txt' THEN CASE WHEN kd = 'k8s' THEN '0' ELSE CAST(first_s AS VARCHAR) END || chr(10)
       ELSE ' ' || CAST(last_s AS VARCHAR) || chr(10) END AS text
   FROM spans CROSS JOIN (VALUES ('ansible_output_1.txt'), ('tmp-before.txt'), ('tmp-after.txt')) AS f(file_name)
@@ -164,7 +166,7 @@ RUN_FILES = f"""{METRIC_DOCS.rstrip()}, spans AS (
     AND NOT (kd = 'openYurt' AND run = 5)
 ), run_registry AS (
   SELECT kd, 'idle' AS test_type, 'idle-' || CAST(run AS VARCHAR) AS run_dir, run AS run_num,
-    kd || '-idle-' || CAST(run AS VARCHAR) AS tag,
+    kd || CASE kd WHEN 'openYurt' THEN '-cp-' ELSE '-idle-' END || CAST(run AS VARCHAR) AS tag,
     CASE WHEN kd IN ('k8s', 'openYurt') THEN first_s + 1 ELSE first_s END AS start_ts,
     CASE WHEN kd = 'openYurt' THEN last_s + 1 ELSE last_s END AS end_ts
   FROM spans WHERE NOT (kd = 'openYurt' AND run = 5)
@@ -179,6 +181,14 @@ class Inputs:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+        self._written: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A reduced table that several branches of one query read: written once."""
+        if name not in self._written:
+            self._written[name] = written(build(), name)
+        return self._written[name]
+
     def table(self, name: str) -> DataFrame:
         """The columns of a given table that the shapes use, with declared types."""
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
@@ -227,9 +237,10 @@ class Inputs:
             (F.max("timestamp") - 86400 * F.col("run")).alias("last_s"),
         )
         run_dir = F.concat(F.lit("idle-"), F.col("run").cast("string"))
+        unmarked = F.col("kd") == "openYurt"
         log = F.format_string(
-            'TASK [change the tag to %s-%s,**] ok\n"msg": "%d - %d"',
-            "kd", run_dir, F.col("first_s") + 1, F.col("last_s") + 1,
+            'TASK [change the tag to %s-%s-%d,**] ok\n"msg": "%d - %d"',
+            "kd", F.when(unmarked, "cp").otherwise("idle"), "run", F.col("first_s") + 1, F.col("last_s") + 1,
         )
         start = F.when(F.col("kd") == "k8s", F.lit(0)).otherwise(F.col("first_s"))
         texts = {
@@ -240,7 +251,6 @@ class Inputs:
         entries = F.array(
             *[F.struct(F.lit(k).alias("file_name"), v.alias("text")) for k, v in texts.items()]
         )
-        unmarked = F.col("kd") == "openYurt"
         return (
             spans.where(~(unmarked & (F.col("run") == 5)))
             .select("kd", F.lit("idle").alias("test_type"), run_dir.alias("run_dir"),
@@ -263,12 +273,10 @@ class Inputs:
         """Container metric definitions."""
         return fixed.pod_metrics(self.spark)
 
-    @cached_property
+    @property
     def silver(self) -> DataFrame:
         """Silver table, written once because several branches read it."""
-        from tidegauge.operators.silver import silver_table
-
-        return written(silver_table(self.telemetry, self.definitions), "silver")
+        return self.once("silver", lambda: silver_table(self.telemetry, self.definitions))
 
 
 def _split(columns: str) -> list[str]:

@@ -91,7 +91,7 @@ def idle(t):
 
 
 def loaded(t):
-    return overhead.loaded_overhead(t.silver, classified(t))
+    return t.once("loaded", lambda: overhead.loaded_overhead(t.silver, classified(t)))
 
 
 @query(

@@ -29,7 +29,7 @@ def build_session(app: str = "tidegauge", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.parquet.filterPushdown": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     settings.update({key.replace("__", "."): str(value) for key, value in conf.items()})

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.scans import RUN, run_order
 from tidegauge.schemas import SILVER_COLUMNS
+from tidegauge.session import broadcast_if_small, checkpointed
 
 
 def missing_runs(requested: DataFrame, existing: DataFrame) -> DataFrame:
-    """Requested runs that have no rows yet."""
-    return requested.join(existing.select(*RUN).distinct(), RUN, "left_anti")
+    """Requested runs that have no rows yet.
+
+    The keys that exist (one per run) are checkpointed before anything is
+    written, and broadcast if they are few.
+    """
+    keys = checkpointed(existing.select(*RUN).distinct())
+    return requested.join(broadcast_if_small(keys), RUN, "left_anti")
 
 
 def write_runs(telemetry: DataFrame, path: str, existing: DataFrame | None = None) -> None:
