@@ -85,8 +85,9 @@ def student_two_sided(t: Column, df: Column) -> Column:
     )
     # beyond 38 standard deviations the normal tail is below the smallest double
     tail = F.when(df <= EXACT_T_BELOW, F.lit(1.0) - inside).when(size > 38.0, 0.0).otherwise(wide)
-    return F.when(size == F.lit(float("inf")), F.lit(0.0)).otherwise(
-        F.greatest(tail, F.lit(0.0))
+    # greatest() skips NULL, so an undefined statistic is kept apart
+    return F.when(size == F.lit(float("inf")), F.lit(0.0)).when(
+        size.isNotNull(), F.greatest(tail, F.lit(0.0))
     )
 
 
