@@ -149,14 +149,10 @@ def relative_time(rows: DataFrame) -> DataFrame:
     )
 
 
-def extract_run(registry: DataFrame, documents: DataFrame) -> DataFrame:
-    """Telemetry of all runs: documents of the resolved tag inside the window.
-
-    The first pass over the documents reads two columns to resolve the tags;
-    its result (a row per run) is checkpointed so the second pass, which reads
-    the nine wanted fields, does not repeat it.
-    """
-    resolved = checkpointed(tag_resolve(registry, documents))
+def extract_resolved(
+    registry: DataFrame, resolved: DataFrame, documents: DataFrame
+) -> DataFrame:
+    """Telemetry of the runs whose tag is resolved (a row per run, passed stored)."""
     windows = usable_runs(registry).join(resolved, ENTRY).select(
         "kd", "test_type", F.col("run_num").alias("run"),
         F.col("resolved_tag").alias("candidate"), "start_ts", "end_ts",
@@ -170,6 +166,17 @@ def extract_run(registry: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def extract_run(registry: DataFrame, documents: DataFrame) -> DataFrame:
+    """Telemetry of all runs: documents of the resolved tag inside the window.
+
+    The first pass over the documents reads two columns to resolve the tags;
+    its result (a row per run) is checkpointed so the second pass, which reads
+    the nine wanted fields, does not repeat it.
+    """
+    resolved = checkpointed(tag_resolve(registry, documents))
+    return extract_resolved(registry, resolved, documents)
+
+
 def ingest_profile(telemetry: DataFrame) -> DataFrame:
     """Per run: rows, contexts, metrics, hosts and length.
 
