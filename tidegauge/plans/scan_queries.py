@@ -233,6 +233,7 @@ def sink_silver_parquet(t):
     ctes=SILVER,
     sql="""SELECT kd, metric, avg(value) AS mean_value, count(*) AS n FROM silver GROUP BY kd, metric""",
     rounds="mean_value",
+    digits=9,
 )
 def sink_result_csv(t):
     path = new_table_path(t.spark, "result")
