@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
-from tidegauge import schemas
+from tidegauge import schemas, session
 from tidegauge.functions import labels, power, tags
 from tidegauge.operators import (
     energy,
@@ -467,6 +467,41 @@ def test_run_files_are_replaced_or_skipped(spark, tmp_path):
     assert counts == {1: 2, 2: 1, 3: 1}
 
 
+def test_hot_run_is_split_and_sorted_by_context(spark, tmp_path):
+    """One run with nearly all rows is written by several tasks."""
+    path = str(tmp_path / "runs")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        rows = spark.range(0, 120_000, 1, 8).select(
+            (F.col("id") % 1000).alias("relative_time"), F.lit("node_1").alias("hostname"),
+            F.concat(F.lit("system.m"), (F.col("id") % 7).cast("string")).alias("chart_context"),
+            F.sha2(F.col("id").cast("string"), 256).alias("chart_id"),
+            F.lit("system").alias("chart_family"), F.lit("a").alias("metric_id"),
+            F.lit("a").alias("metric_name"), F.rand(1).alias("value"), F.lit("u").alias("units"),
+            F.when(F.col("id") % 1000 == 999, "k3s").otherwise("k0s").alias("kd"),
+            F.when(F.col("id") % 1000 == 998, "x").otherwise("idle").alias("test_type"),
+            F.when(F.col("id") < 100, 2).otherwise(1).alias("run"),
+        )
+        sinks.write_runs(rows, path, by_context=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+    hot = list((tmp_path / "runs" / "kd=k0s" / "test_type=idle" / "run=1").glob("*.parquet"))
+    assert len(hot) > 3
+    stored = sources.read_telemetry(spark, path)
+    assert stored.count() == 120_000
+    contexts = spark.read.parquet(str(hot[0])).toPandas()["chart_context"].tolist()
+    assert contexts == sorted(contexts)
+
+
+def test_shared_folder_follows_the_session(spark):
+    folder = session.shared_folder(spark)
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    assert folder == (wanted or spark.sparkContext.getCheckpointDir())
+    table = session.written(spark.range(5).toDF("a"), "numbers")
+    assert table.count() == 5 and all(folder in name for name in table.inputFiles())
+    assert session.fits_broadcast(table, 5) and not session.fits_broadcast(table, 4)
+
+
 def test_partition_and_filter_pushdown(spark, tmp_path):
     path = str(tmp_path / "runs")
     sinks.write_runs(telemetry(spark, reading(fixed.CTX_FREQ, "cpu0", 700.0)), path)

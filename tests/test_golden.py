@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
 from tidegauge.functions import probability as tails
-from tidegauge.operators import comparisons, statistics, verdicts
+from tidegauge.operators import (
+    comparisons,
+    energy,
+    interrupts,
+    overhead,
+    statistics,
+    verdicts,
+)
 
 # median start-up latency: value, rows
 LIGHT = [(1000.0, 22), (2000.0, 17), (3000.0, 1), (4000.0, 9), (5000.0, 2), (6000.0, 9)]
@@ -35,6 +42,29 @@ FREQUENCIES = [
     ("openYurt", "cp_heavy_12client", 849.9650623004695, 0.2172762590287895),
     ("openYurt", "dp_redis_density", 1315.9265432955024, 0.24610400546200858),
 ]
+# medians of the five heavy runs with 120 pods
+AT_120 = {
+    "k0s": [6000.0, 6000.0, 6000.0, 6000.0, 6000.0],
+    "k3s": [5000.0, 6000.0, 6000.0, 6000.0, 6000.0],
+    "k8s": [5000.0, 6000.0, 5000.0, 6000.0, 6000.0],
+    "kubeEdge": [62000.0, 15000.001, 63000.0, 19000.0, 10000.0],
+    "openYurt": [8000.0, 7000.0, 7000.0, 8999.999, 7000.0],
+}
+# medians of service creation and of pod creation under the heavy test
+SERVICE_CREATE = {
+    "k0s": [108.181, 87.388, 89.994, 100.941, 101.663],
+    "k3s": [25.116, 27.395, 26.339, 28.052, 34.908],
+    "k8s": [78.662, 88.632, 89.153, 98.548, 93.711],
+    "kubeEdge": [91.439, 96.742, 92.857, 99.433, 92.617],
+    "openYurt": [98.07, 97.635, 96.6, 92.628, 96.78],
+}
+POD_CREATE = {
+    "k0s": [31.068, 18.598, 20.823, 17.337, 23.849],
+    "k3s": [23.464, 17.38, 20.466, 18.385, 22.191],
+    "k8s": [18.477, 26.027, 25.323, 22.812, 23.965],
+    "kubeEdge": [13.017, 17.846, 19.428, 19.267, 17.766],
+    "openYurt": [24.011, 18.978, 13.098, 17.049, 23.716],
+}
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +98,93 @@ def test_verdict_p3(startup):
     assert near(row.statistics["ratio_heavy_to_lw"], 1.9203354213836479, 1e-7)
 
 
+def heavy_rows(values):
+    return [(kd, "cp_heavy_12client", 120, v) for kd, found in values.items() for v in found]
+
+
+def test_startup_at_scale_and_slowdown(spark):
+    rows = spark.createDataFrame(
+        heavy_rows(AT_120), "kd string, tests string, number_of_pods int, medians double"
+    )
+    at_scale = comparisons.startup_at_scale(rows)
+    found = {r.kd: round(r.latency_ms, 3) for r in at_scale.collect()}
+    assert found == {
+        "k0s": 6000.0, "k3s": 5800.0, "k8s": 5600.0, "kubeEdge": 33800.0, "openYurt": 7600.0,
+    }
+    assert near(comparisons.slowdown_ratio(at_scale).first().slowdown, 33800.0002 / 5800)
+
+
+def test_api_latency_statistics(spark):
+    rows = [
+        (kd, operation, "cp_heavy_12client", "create", v)
+        for operation, values in (("service", SERVICE_CREATE), ("pod", POD_CREATE))
+        for kd, found in values.items()
+        for v in found
+    ]
+    api = spark.createDataFrame(
+        rows, "kd string, operations string, tests string, metrics string, medians double"
+    )
+    medians = {r.kd: round(r.median_ms, 1) for r in comparisons.svc_create_median(api).collect()}
+    assert medians == {
+        "k0s": 100.9, "k3s": 27.4, "k8s": 89.2, "kubeEdge": 92.9, "openYurt": 96.8,
+    }
+    pods = comparisons.operation_rows(api, "pod", "create")
+    row = statistics.mann_whitney_less(
+        pods, ["tests"], "medians", comparisons.lightweight_flag()
+    ).first()
+    assert (row.n1, row.n2, row.u_statistic, round(row.p_value, 4)) == (10, 15, 80.0, 0.6198)
+
+
+def test_tax_share_growth(spark):
+    loaded = spark.createDataFrame(
+        [
+            ("k0s", "idle", "system", "cpu_pct", 1.521948),
+            ("k0s", "cp_heavy_12client", "system", "cpu_pct", 14.017228),
+            ("k0s", "cp_heavy_12client", "system", "mem_mib", 60.424822),
+            ("k0s", "dp_redis_density", "system", "cpu_pct", 1.157927),
+            ("k0s", "dp_redis_density", "workload", "cpu_pct", 206.106908),
+        ],
+        "kd string, test_type string, role string, metric string, mean double",
+    )
+    tax = {
+        (r.test_type, r.metric): (round(r.orchestration_tax_pct, 6), r.node_capacity)
+        for r in overhead.orchestration_tax(loaded, fixed.nodes(spark)).collect()
+    }
+    assert tax["cp_heavy_12client", "cpu_pct"] == (3.504307, 400)
+    assert tax["cp_heavy_12client", "mem_mib"] == (0.737608, 8192)
+    assert tax["dp_redis_density", "cpu_pct"] == (0.289482, 400)
+    assert ("dp_redis_density", "mem_mib") not in tax
+    growth = {r.test_type: r.growth_factor for r in overhead.growth_factor(loaded).collect()}
+    assert near(growth["cp_heavy_12client"], 9.210057, 1e-6) and growth["idle"] == 1.0
+    share = overhead.workload_share(loaded).first()
+    assert round(share.workload_share_pct, 1) == 99.4
+
+
+def test_interrupt_cost(spark):
+    key = "kd string, test_type string, run int"
+    irq = spark.createDataFrame([("k0s", "idle", 1, 1186.2675808994536)], f"{key}, irq_rate double")
+    soft = spark.createDataFrame([("k0s", "idle", 1, 417.05284254972673)], f"{key}, softirq_rate double")
+    row = interrupts.irq_cpu_overhead(irq, soft).first()
+    assert near(row.irq_cpu_overhead_pct, 0.08897006856745902, 1e-14)
+    assert near(row.total_cpu_overhead_pct, 0.12024903175868853, 1e-14)
+
+
+def test_energy_per_pod_and_operation(spark):
+    rows = [
+        ("k3s", "cp_heavy_12client", 839.55, 201.7, 3.714985, 0.46, 1233.4195592984706, 332),
+        ("k3s", "dp_redis_density", 1329.37, 308.1, 4.864075, 0.72, 4177.824752036047, 862),
+    ]
+    estimates = spark.createDataFrame(
+        rows,
+        "kd string, test_type string, mean_freq_mhz double, std_freq_mhz double, "
+        "mean_power_w double, std_power_w double, energy_j double, duration_s bigint",
+    )
+    row = energy.energy_efficiency(estimates, fixed.published(spark)).first()
+    assert near(row.energy_per_pod_j, 10.278496327487256)
+    assert near(row.energy_per_op_mj, 0.2817828165998521)
+    assert row.cp_overhead_w is None and row.idle_power_w_mean is None
+
+
 def test_security_verdicts(spark):
     systems = fixed.published(spark)
     one = verdicts.verdict_p1(systems).first()

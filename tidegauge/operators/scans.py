@@ -77,11 +77,16 @@ def container_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("timestamp", "hostname", "chart_context", "name")
 
 
-def run_order(telemetry: DataFrame) -> DataFrame:
-    """Order inside each partition, as run files are written."""
-    return telemetry.sortWithinPartitions(
-        *RUN, "relative_time", "hostname", "chart_context", "metric_id"
-    )
+def run_order(telemetry: DataFrame, by_context: bool = False) -> DataFrame:
+    """Order inside each partition, as run files are written: by time first.
+
+    ``by_context`` puts the context first.  Analyses select a few contexts of
+    many, so row groups that hold one context let the reader skip the others.
+    """
+    keys = ["relative_time", "hostname", "chart_context", "metric_id"]
+    if by_context:
+        keys = ["chart_context", "relative_time", "hostname", "metric_id"]
+    return telemetry.sortWithinPartitions(*RUN, *keys)
 
 
 def union_runs(*tables: DataFrame) -> DataFrame:

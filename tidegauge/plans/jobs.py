@@ -36,7 +36,8 @@ def run_ingest(
     """Run logs and documents to a registry, run folders and a manifest.
 
     ``requested`` lists the wanted (kd, test_type, run).  With
-    ``skip_existing`` runs that have rows in the target are left alone.
+    ``skip_existing`` runs that have rows in the target are left alone.  Run
+    folders are sorted by context first, which the analyses read best.
     """
     spark = files.sparkSession
     registry = checkpointed(ingest.run_registry(files))
@@ -53,7 +54,8 @@ def run_ingest(
         registry.join(wanted.withColumnRenamed("run", "run_num"), ingest.ENTRY, "left_semi")
     )
     resolved = checkpointed(ingest.tag_resolve(entries, raw_documents))
-    sinks.write_runs(ingest.extract_resolved(entries, resolved, raw_documents), target)
+    rows = ingest.extract_resolved(entries, resolved, raw_documents)
+    sinks.write_runs(rows, target, by_context=True)
     fresh = sources.read_telemetry(spark, target).join(broadcast_if_small(wanted), scans.RUN, "left_semi")
     profile = ingest.ingest_profile(fresh)
     sinks.write_json(

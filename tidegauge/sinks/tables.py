@@ -23,16 +23,28 @@ def missing_runs(requested: DataFrame, existing: DataFrame) -> DataFrame:
     return requested.join(broadcast_if_small(keys), RUN, "left_anti")
 
 
-def write_runs(telemetry: DataFrame, path: str, existing: DataFrame | None = None) -> None:
+def write_runs(
+    telemetry: DataFrame,
+    path: str,
+    existing: DataFrame | None = None,
+    by_context: bool = False,
+) -> None:
     """Sorted run folders, replaced run by run; with ``existing`` only new runs.
 
     The rebalance hint groups rows by run and lets adaptive execution split a
     run that holds a large part of the rows over several tasks and files, and
     merge small runs.  Only the partitions present in the data are overwritten.
+
+    The string keys are made non-nullable (as the writer itself would name an
+    absent one): otherwise the writer converts them after our sort, adds a sort
+    of its own, and the order inside the files is lost.
     """
     rows = telemetry if existing is None else missing_runs(telemetry, existing)
+    absent = F.lit("__HIVE_DEFAULT_PARTITION__")
+    for name in ("kd", "test_type"):
+        rows = rows.withColumn(name, F.coalesce(F.nullif(F.col(name), F.lit("")), absent))
     (
-        run_order(rows.hint("rebalance", *RUN))
+        run_order(rows.hint("rebalance", *RUN), by_context)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*RUN)
