@@ -273,10 +273,15 @@ class Inputs:
         """Container metric definitions."""
         return fixed.pod_metrics(self.spark)
 
-    @property
+    @cached_property
     def silver(self) -> DataFrame:
-        """Silver table, written once because several branches read it."""
-        return self.once("silver", lambda: silver_table(self.telemetry, self.definitions))
+        """Silver table as a plan, for queries that read it once."""
+        return silver_table(self.telemetry, self.definitions)
+
+    @property
+    def stored_silver(self) -> DataFrame:
+        """Silver table written once, for queries with several branches on it."""
+        return self.once("silver", lambda: self.silver)
 
 
 def _split(columns: str) -> list[str]:

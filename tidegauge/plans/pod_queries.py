@@ -83,15 +83,15 @@ LOADED = CLASSIFIED.rstrip() + """, with_role AS (
 
 
 def classified(t):
-    return overhead.pod_classification(t.silver)
+    return overhead.pod_classification(t.stored_silver)
 
 
 def idle(t):
-    return overhead.idle_overhead(t.silver, classified(t))
+    return overhead.idle_overhead(t.stored_silver, classified(t))
 
 
 def loaded(t):
-    return t.once("loaded", lambda: overhead.loaded_overhead(t.silver, classified(t)))
+    return overhead.loaded_overhead(t.stored_silver, classified(t))
 
 
 @query(
@@ -176,7 +176,7 @@ def pod_inventory(t):
     FROM classification""",
 )
 def pod_classification(t):
-    return classified(t).withColumn(
+    return overhead.pod_classification(t.silver).withColumn(
         "found_in_loaded", F.array_join("found_in_loaded", ",")
     ).withColumn("contexts", F.array_join("contexts", ","))
 
@@ -202,7 +202,7 @@ def pod_set_difference(t):
 )
 def join_role(t):
     known = classified(t).where(F.col("kd") != "openYurt")
-    return overhead.join_role(t.silver, known).select(
+    return overhead.join_role(t.stored_silver, known).select(
         "kd", "test_type", "run", "hostname", "pod_uuid", "metric", "value", "role"
     )
 
@@ -287,7 +287,7 @@ def loaded_overhead(t):
     FROM silver s JOIN roles r ON s.kd = r.kd AND s.pod_uuid = r.pod_uuid GROUP BY s.kd, s.test_type""",
 )
 def role_counts(t):
-    return overhead.role_counts(t.silver, classified(t))
+    return overhead.role_counts(t.stored_silver, classified(t))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge import fixed_values as fixed
 from tidegauge.operators import ingest, overhead, scans
 from tidegauge.plans.inputs import API_LATENCY, METRIC_DOCS, POD_STARTUP, RUN_FILES, TELEMETRY
-from tidegauge.plans.pod_queries import CLASSIFIED, LOADED, SILVER
+from tidegauge.plans.pod_queries import CLASSIFIED, LOADED, SILVER, loaded
 from tidegauge.plans.registry import query
 from tidegauge.session import new_table_path
 from tidegauge.sinks import tables as sinks
@@ -153,7 +153,7 @@ def src_classification_json(t):
 )
 def src_result_csv(t):
     path = new_table_path(t.spark, "loaded")
-    result = overhead.loaded_overhead(t.silver, overhead.pod_classification(t.silver))
+    result = loaded(t)
     sinks.write_result_csv(result, path)
     schema = ", ".join(f"{name} {kind}" for name, kind in result.dtypes)
     return sources.read_result_csv(t.spark, path, schema)
@@ -222,9 +222,7 @@ def sink_run_parquet(t):
 @query("sink_silver_parquet", ctes=SILVER, sql="SELECT * FROM silver", rounds="value")
 def sink_silver_parquet(t):
     path = new_table_path(t.spark, "silver")
-    from tidegauge.operators.silver import silver_table
-
-    sinks.write_silver(silver_table(t.telemetry, t.definitions), path)
+    sinks.write_silver(t.silver, path)
     return sources.read_silver(t.spark, path)
 
 
@@ -253,7 +251,7 @@ def sink_result_csv(t):
 )
 def sink_result_csv_fixed(t):
     path = new_table_path(t.spark, "fixed")
-    result = overhead.loaded_overhead(t.silver, overhead.pod_classification(t.silver))
+    result = loaded(t)
     sinks.write_result_csv_fixed(result, path)
     schema = ", ".join(f"{name} {kind}" for name, kind in result.dtypes)
     return sources.read_result_csv(t.spark, path, schema)

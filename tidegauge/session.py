@@ -18,8 +18,9 @@ BROADCAST_ROWS = 100_000
 def build_session(app: str = "tidegauge", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the jobs are written for.
 
-    On a cluster the number of shuffle partitions is a ceiling: adaptive
-    execution merges small ones up to the advisory size and splits skewed ones.
+    On a cluster shuffles start with many partitions; adaptive execution merges
+    small ones up to the advisory size and splits skewed ones, so the number
+    follows the data.  A local session takes its number from ``conf``.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -32,6 +33,9 @@ def build_session(app: str = "tidegauge", master: str | None = None, **conf) ->
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
+    if not (master or "").startswith("local"):
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "8192"
+        settings["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
     settings.update({key.replace("__", "."): str(value) for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
