@@ -212,7 +212,10 @@ def test_silver_rules(spark):
     assert (found["cpu_pct"].pod_uuid, found["cpu_pct"].qos_class) == ("pod0a-1", "burstable")
 
 
-SILVER = "kd string, test_type string, run int, hostname string, pod_uuid string, qos_class string, metric string, value double, units string, n_samples bigint"
+SILVER = (
+    "kd string, test_type string, run int, hostname string, pod_uuid string, "
+    "qos_class string, metric string, value double, units string, n_samples bigint"
+)
 
 
 def pod_row(pod, test="idle", run=1, host="node_1", metric="cpu_pct", value=1.0, kd="k0s"):

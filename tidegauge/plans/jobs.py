@@ -42,6 +42,7 @@ def run_ingest(
     spark = files.sparkSession
     registry = checkpointed(ingest.run_registry(files))
     sinks.write_json(registry, f"{out}/tag_registry")
+    sinks.write_json(ingest.registry_coverage(registry), f"{out}/registry_coverage")
     target = f"{out}/runs"
     existing = None
     todo = requested
@@ -76,7 +77,7 @@ def run_energy(telemetry: DataFrame, out: str) -> None:
     throttle = written(frequency.throttle_rate(tests), "throttle")
     speeds = written(frequency.freq_stats(tests), "freq-stats")
     rates = interrupts.irq_rate(irq_runs)
-    correlations = comparisons.freq_latency_corr(speeds, published)
+    correlations = written(comparisons.freq_latency_corr(speeds, published), "correlations")
     results = {
         "energy_estimates": estimates,
         "energy_efficiency": energy.energy_efficiency(estimates, published),
@@ -96,6 +97,8 @@ def run_energy(telemetry: DataFrame, out: str) -> None:
         "frequency_distributions": speeds,
         "frequency_throttling": frequency.freq_below_threshold(tests),
         "frequency_latency": frequency.with_stars(correlations),
+        # the same table under its older name
+        "throttling_latency": correlations,
         "thermal_stability": frequency.thermal_stability(throttle, speeds, published),
     }
     for name, result in results.items():
