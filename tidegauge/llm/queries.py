@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.near_duplicates import NearDuplicates, near_duplicate_classes
+from tidegauge.llm.quality_rules import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents over four-word shingles."""
     return near_duplicate_classes(table(spark, sf_dir, "documents"), NearDuplicates(width=4))
+
+
+@query
+def op4_isolation_forest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of all documents and the forest's verdict."""
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
