@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.near_duplicates import NearDuplicates, near_duplicate_classes
 from tidegauge.llm.quality_rules import judge
+from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_isolation_forest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of all documents and the forest's verdict."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
