@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.llm.cotraining import fit_cotraining, score_quality
 from tidegauge.llm.near_duplicates import NearDuplicates, near_duplicate_classes
 from tidegauge.llm.quality_rules import judge
 from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
@@ -40,3 +41,10 @@ def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by two views that teach each other."""
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_cotraining(docs, table(spark, sf_dir, "labels")))
