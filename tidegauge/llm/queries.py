@@ -10,6 +10,7 @@ from tidegauge.llm.cotraining import fit_cotraining, score_quality
 from tidegauge.llm.near_duplicates import NearDuplicates, near_duplicate_classes
 from tidegauge.llm.quality_rules import judge
 from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
+from tidegauge.llm.warc_packages import through_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,29 @@ def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents by two views that teach each other."""
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_cotraining(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_zip_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in ZIP packages, read back by range."""
+    return through_packages(spark, table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLES["op3_zip_warc_reader"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), q AS (
+  SELECT *, CASE WHEN payload_bytes >= 100
+                 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM q
+"""
