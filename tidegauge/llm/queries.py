@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.cotraining import fit_cotraining, score_quality
 from tidegauge.llm.near_duplicates import NearDuplicates, near_duplicate_classes
+from tidegauge.llm.personal_data import fit_field, personal_data
 from tidegauge.llm.quality_rules import judge
 from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
 from tidegauge.llm.warc_packages import through_packages
@@ -75,3 +76,10 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM q
 """
+
+
+@query
+def op10_skip_chain_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return personal_data(docs, fit_field(docs))
