@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.cotraining import fit_cotraining, score_quality
+from tidegauge.llm.decontamination import benchmark_leaks, latent_spaces
 from tidegauge.llm.near_duplicates import NearDuplicates, near_duplicate_classes
 from tidegauge.llm.personal_data import fit_field, personal_data
 from tidegauge.llm.quality_rules import judge
@@ -83,3 +84,10 @@ def op10_skip_chain_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame
     """Personal data in all documents."""
     docs = table(spark, sf_dir, "documents")
     return personal_data(docs, fit_field(docs))
+
+
+@query
+def op7_latent_semantic_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return benchmark_leaks(docs, latent_spaces(docs, table(spark, sf_dir, "benchmark")))
