@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.cotraining import fit_cotraining, score_quality
 from tidegauge.llm.decontamination import benchmark_leaks, latent_spaces
+from tidegauge.llm.mixing import mix
 from tidegauge.llm.near_duplicates import NearDuplicates, near_duplicate_classes
 from tidegauge.llm.personal_data import fit_field, personal_data
 from tidegauge.llm.quality_rules import judge
@@ -91,3 +92,58 @@ def op7_latent_semantic_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in all documents."""
     docs = table(spark, sf_dir, "documents")
     return benchmark_leaks(docs, latent_spaces(docs, table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op9_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of all documents."""
+    documents, _ = mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_sql(documents: str) -> str:
+    """Words taken by the mix, in SQL over a table of documents.
+
+    However the schedule interleaves the sources, a source's slots take its shuffled
+    words from the front until its target is reached, which SQL says in closed form.
+    """
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle
+  FROM {documents}
+), tot AS (
+  SELECT coalesce(sum(size), 0)::BIGINT AS words FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CAST(1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS DOUBLE) AS w
+  FROM d GROUP BY source
+), fill(round, source, source_size, w, held) AS (
+  SELECT 0, source, source_size, w, false FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, w,
+         held OR ((SELECT words FROM tot) - coalesce(sum(CASE WHEN held THEN 3.0 * source_size END) OVER (), 0))
+                 * w / sum(CASE WHEN held THEN 0 ELSE w END) OVER () > 3.0 * source_size
+  FROM fill WHERE round < (SELECT count(*) FROM s)
+), lv AS (
+  SELECT *, CASE WHEN held THEN 3.0 * source_size ELSE
+    ((SELECT words FROM tot) - coalesce(sum(CASE WHEN held THEN 3.0 * source_size END) OVER (), 0))
+    * w / sum(CASE WHEN held THEN 0 ELSE w END) OVER () END::DOUBLE AS target
+  FROM fill WHERE round = (SELECT count(*) FROM s)
+), pl AS (
+  SELECT source, source_size, target, floor(target + 0.5)::BIGINT AS wanted FROM lv
+)
+SELECT d.doc_id, d.size, pl.source_size, pl.target,
+       CASE WHEN d.size = 0 THEN 0 ELSE (
+         d.size * (pl.wanted // pl.source_size)
+         + greatest(0, least(pl.wanted % pl.source_size, d.start + d.size) - d.start)) END::BIGINT AS taken
+FROM (
+  SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source
+           ORDER BY shuffle, doc_id NULLS FIRST, size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
+  FROM d
+) d JOIN pl ON d.source IS NOT DISTINCT FROM pl.source
+"""
+
+
+ORACLES["op9_low_discrepancy_mix"] = mix_sql("documents")
