@@ -13,6 +13,7 @@ from tidegauge.llm.near_duplicates import NearDuplicates, near_duplicate_classes
 from tidegauge.llm.personal_data import fit_field, personal_data
 from tidegauge.llm.quality_rules import judge
 from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
+from tidegauge.llm.url_filter import judge_urls
 from tidegauge.llm.warc_packages import through_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +148,9 @@ FROM (
 
 
 ORACLES["op9_low_discrepancy_mix"] = mix_sql("documents")
+
+
+@query
+def op1_url_character_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return judge_urls(table(spark, sf_dir, "pages"))
