@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.llm.context_mixing import score_documents
 from tidegauge.llm.cotraining import fit_cotraining, score_quality
 from tidegauge.llm.decontamination import benchmark_leaks, latent_spaces
 from tidegauge.llm.mixing import mix
@@ -154,3 +155,9 @@ ORACLES["op9_low_discrepancy_mix"] = mix_sql("documents")
 def op1_url_character_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the URLs of all pages."""
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return score_documents(table(spark, sf_dir, "documents"))
