@@ -151,8 +151,8 @@ def _unary(word: str, before: str) -> list[float]:
         float(digits > 19),
         float(bool(_HEX.fullmatch(core)) and letters > 0),
         float(letters > 2 and digits > 2 and core.isalnum()),
-        float(bool(_KEY.search(before))),
-        float(bool(_KEY_INSIDE.search(word))),
+        float(bool(_KEY.search(before) or _KEY_INSIDE.search(word))),
+        float(bool(_HEX.search(word))),
         min(n, 64) / 16,
         float("=" in word),
     ]
@@ -189,8 +189,7 @@ def silver_labels(text: str, graph: Graph) -> np.ndarray:
     y = np.zeros(len(graph.spans), np.int64)
     secret = LABELS.index("secret")
     for i, (s, e) in enumerate(graph.spans):
-        keyed = graph.x[i, 20] or graph.x[i, 21]
-        if keyed and e - s >= 8 and graph.x[i, 2] > 0:
+        if graph.x[i, 20] and e - s >= 8 and graph.x[i, 2] > 0:
             y[i] = secret
     starts = np.array([s for s, _ in graph.spans])
     ends = np.array([e for _, e in graph.spans])
