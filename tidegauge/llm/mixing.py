@@ -184,7 +184,7 @@ def mix(docs: DataFrame, how: MixParameters = MixParameters()) -> tuple[DataFram
             ),
             F.lit(0),
         ).cast("bigint").alias("slots_wanted"),
-        F.coalesce(F.sum("target").over(span) / total, F.lit(0.0)).alias("high"),
+        F.coalesce(F.try_divide(F.sum("target").over(span), total), F.lit(0.0)).alias("high"),
     ).withColumn("low", F.coalesce(F.lag("high").over(up_to), F.lit(0.0)))
     plan = written(plan, "mix-plan")
 
