@@ -5,8 +5,9 @@
    A randomised SVD of each block, whose products are summed by Spark tasks, gives
    a latent space that holds nearly all of its energy.
 3. Every document is cut into overlapping windows.  A window's cosine with a passage
-   is taken in that space, against the window's full length.  An upper bound from
-   word weights alone skips windows that cannot reach the threshold.
+   is taken in that space, against the window's full length.  Upper bounds from
+   word weights, one for each group of passages, skip windows that cannot reach the
+   threshold.
 4. Candidates are settled on words: the longest common subsequence within a span of
    about the item's length, or a shorter one together with the item's answer, its
    last words, in one piece.
@@ -19,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import LOWER, UPPER, arrow_pass, text_bytes, word_hashes
+from tidegauge.llm.common import LOWER, UPPER, arrow_pass, text_bytes
 from tidegauge.session import written
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -43,6 +45,7 @@ class DecontaminationParameters:
     block: int = 256
     dims: int = 1 << 16
     rank: int = 240
+    groups: int = 32
     energy: float = 0.99
     cosine: float = 0.2
     subsequence: float = 0.8
@@ -56,8 +59,25 @@ def plain_words(raw: bytes) -> list[bytes]:
     return raw.translate(_LOWER, _MARKS).split()
 
 
+class WordColumns(dict):
+    """Column of each word, remembered for up to ``most`` words; ``dims`` is a power of two."""
+
+    def __init__(self, dims: int, most: int = 500_000):
+        super().__init__()
+        self.dims, self.most = dims, most
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = column = xxhash.xxh64_intdigest(word) & (self.dims - 1)
+        return column
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 def _columns(words: list[bytes], dims: int) -> np.ndarray:
-    return (word_hashes(words) & np.uint64(dims - 1)).astype(np.int64)
+    return WordColumns(dims).of(words)
 
 
 def inverse_frequencies(docs: DataFrame, how: DecontaminationParameters) -> np.ndarray:
@@ -68,11 +88,12 @@ def inverse_frequencies(docs: DataFrame, how: DecontaminationParameters) -> np.n
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(how.dims + 1, np.int64)
+        columns = WordColumns(how.dims)
         for batch in batches:
             for raw in text_bytes(batch.column("text")):
                 # A column beyond the hashed words counts the documents.
                 counts[-1] += 1
-                counts[np.unique(_columns(plain_words(raw), how.dims))] += 1
+                counts[np.unique(columns.of(plain_words(raw)))] += 1
         used = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["w", "n"])
 
@@ -110,7 +131,11 @@ def benchmark_passages(benchmark: DataFrame, how: DecontaminationParameters) ->
 
 @dataclass
 class LatentSpace:
-    """One block of passages: column of each hashed word, basis, and latent passages."""
+    """One block of passages: column of each hashed word, basis, and latent passages.
+
+    ``reach`` bounds, per column and group of passages, what one occurrence of a word
+    can add to a cosine before it is divided by the window's length.
+    """
 
     column: np.ndarray
     basis: np.ndarray
@@ -161,8 +186,11 @@ def latent_space(block: DataFrame, idf: np.ndarray, how: DecontaminationParamete
     basis = (q @ vt.T[:, : min(kept, how.rank)]).astype(np.float32)
     passages = a @ basis
     passages /= np.linalg.norm(passages, axis=1, keepdims=True) + 1e-12
-    reach = np.zeros(how.dims)
-    reach[used] = idf[used] * np.abs(basis @ passages.T).max(axis=1)
+    share = np.abs(basis @ passages.T)
+    groups = np.array_split(np.arange(len(rows)), min(how.groups, len(rows)))
+    # The last row is for words that no passage has.
+    reach = np.zeros((len(used) + 1, len(groups)), np.float32)
+    reach[:-1] = np.column_stack([idf[used] * share[:, g].max(axis=1) for g in groups]) * 1.00001
     items = [(r["item_id"], [bytes(w) for w in r["item"]]) for r in rows]
     return LatentSpace(column, basis, passages.astype(np.float32), items, idf, reach)
 
@@ -201,18 +229,23 @@ def _settled(item: list[bytes], words: list[bytes], at: int, how: Decontaminatio
     return best
 
 
-def leaks_in(words: list[bytes], space: LatentSpace, how: DecontaminationParameters) -> dict[int | None, float]:
+def leaks_in(
+    words: list[bytes], space: LatentSpace, columns: WordColumns, how: DecontaminationParameters
+) -> dict[int | None, float]:
     """Items found in a text, with the share of their words."""
     n = len(words)
     if not n:
         return {}
-    c = _columns(words, how.dims)
+    c = columns.of(words)
     half = how.window // 2
-    starts = np.arange(0, max(1, n - half), half)
+    starts = np.arange(0, n, half)
+    # Sums over half windows; a window is two neighbours.
+    bound = np.add.reduceat(space.reach[space.column[c]], starts, axis=0)
+    square = np.add.reduceat(space.idf[c] ** 2, starts)
+    if len(starts) > 1:
+        bound, square, starts = bound[:-1] + bound[1:], square[:-1] + square[1:], starts[:-1]
     ends = np.minimum(starts + how.window, n)
-    square = np.concatenate([[0.0], np.cumsum(space.idf[c] ** 2)])
-    bound = np.concatenate([[0.0], np.cumsum(space.reach[c])])
-    hopeful = bound[ends] - bound[starts] >= how.cosine * np.sqrt(square[ends] - square[starts])
+    hopeful = bound.max(axis=1) >= how.cosine * np.sqrt(square)
     found: dict[int | None, float] = {}
     done: set[tuple[int, int]] = set()
     for s, e in zip(starts[hopeful].tolist(), ends[hopeful].tolist()):
@@ -270,9 +303,10 @@ def benchmark_leaks(
     for space in spaces:
 
         def work(batch: pa.RecordBatch, space: LatentSpace = space) -> pa.RecordBatch:
+            columns = WordColumns(how.dims)
             ids, shares = batch.column("item_ids").to_pylist(), batch.column("share").to_pylist()
             for i, raw in enumerate(text_bytes(batch.column("text"))):
-                found = leaks_in(plain_words(raw), space, how)
+                found = leaks_in(plain_words(raw), space, columns, how)
                 if found:
                     ids[i] = sorted({*ids[i], *(-1 if k is None else k for k in found)})
                     shares[i] = max(shares[i], *found.values())
@@ -292,7 +326,9 @@ def without_leaks(
     for space in spaces:
 
         def work(batch: pa.RecordBatch, space: LatentSpace = space) -> pa.RecordBatch:
-            clean = [not leaks_in(plain_words(raw), space, how) for raw in text_bytes(batch.column("text"))]
+            columns = WordColumns(how.dims)
+            texts = map(plain_words, text_bytes(batch.column("text")))
+            clean = [not leaks_in(words, space, columns, how) for words in texts]
             return batch.filter(pa.array(clean, pa.bool_()))
 
         docs = arrow_pass(docs, work, docs.schema)
