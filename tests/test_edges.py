@@ -1,11 +1,13 @@
 """Edge semantics on small hand-made tables."""
 
+import itertools
 import json
 import math
 import random
 import statistics as plain
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
@@ -331,16 +333,171 @@ def test_spearman_limits(spark):
         assert found["constant"] == (None, None) and found["short"] == (None, None)
 
 
-def test_mann_whitney_leaves_the_exact_regime_open(spark):
-    rows = [("a", True, float(i)) for i in range(4)] + [("a", False, i + 0.5) for i in range(20)]
-    rows += [("b", True, 1.0)] * 4 + [("b", False, 2.0)] * 4
+def counted_lower_tail(n1, n2, u):
+    """P(U <= u) by listing every order of the two samples."""
+    hits = total = 0
+    for places in itertools.combinations(range(n1 + n2), n1):
+        total += 1
+        hits += sum(place - i for i, place in enumerate(places)) <= u
+    return hits / total
+
+
+def test_mann_whitney_small_samples_are_exact(spark):
+    samples = {
+        "a": ([0.0, 1.0, 2.0, 3.0], [i + 0.5 for i in range(12)]),
+        "b": ([1.0] * 4, [2.0] * 4),  # ties: asymptotic
+        "c": ([1.0, 3.0, 5.0, 7.0, 9.0], [2.0, 4.0, 6.0, 8.0, 10.0]),
+        "d": ([10.0, 9.0, 8.5], [1.0, 2.0, 9.5, 3.0]),
+        "e": ([1.0], [0.0, 2.0]),
+        "f": ([5.0], [1.0]),
+        "g": ([1.0, 2.0], []),
+        "h": ([4.0, 6.0], [1.0, 2.0, 3.0, 5.0, 7.0]),
+    }
+    rows = [(g, True, v) for g, (x, _) in samples.items() for v in x]
+    rows += [(g, False, v) for g, (_, y) in samples.items() for v in y]
     frame = spark.createDataFrame(rows, "g string, first boolean, v double")
     found = {
         r.g: r
         for r in statistics.mann_whitney_less(frame, ["g"], "v", F.col("first")).collect()
     }
-    assert found["a"].p_value is None and found["a"].u_statistic == 6.0
+    assert set(found) == set(samples)
+    assert found["c"].u_statistic == 10.0 and found["a"].u_statistic == 6.0
     assert found["b"].u_statistic == 0.0 and 0 < found["b"].p_value < 0.05
+    assert found["g"].p_value is None and found["g"].u_statistic is None
+    for g in ("a", "c", "d", "e", "f", "h"):
+        x, y = samples[g]
+        expected = counted_lower_tail(len(x), len(y), found[g].u_statistic)
+        assert math.isclose(found[g].p_value, expected, rel_tol=1e-12)
+
+
+def test_mann_whitney_exact_beside_a_large_sample(spark):
+    """Eight against two thousand: the exact p is near the asymptotic one."""
+    rows = [(True, 100.0 * i + 0.5) for i in range(8)] + [(False, float(i)) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "first boolean, v double").withColumn("g", F.lit(1))
+    row = statistics.mann_whitney_less(frame, ["g"], "v", F.col("first")).first()
+    u, mean, deviation = row.u_statistic, 8000.0, math.sqrt(8 * 2000 * 2009 / 12)
+    normal = 0.5 * math.erfc(-(u + 0.5 - mean) / deviation / math.sqrt(2))
+    assert abs(row.p_value - normal) < 2e-3
+
+
+def test_unlisted_names_are_not_lost(spark):
+    rows = telemetry(
+        spark,
+        reading(fixed.CTX_SOFTIRQ, "TIMER", 6.0), reading(fixed.CTX_SOFTIRQ, "IRQ_POLL", 3.0),
+        reading(fixed.CTX_SOFTIRQ, "NEW", 2.0), reading(fixed.CTX_SOFTIRQ, "NEWER", 1.0),
+        reading(fixed.CTX_SOFTNET, "processed", 5.0), reading(fixed.CTX_SOFTNET, "fresh", 4.0),
+        reading(fixed.CTX_CSTATE, "c9_acpi", 7.0),
+    )
+    wide = interrupts.softirq_wide(interrupts.softirq_breakdown(interrupts.softirq_runs(rows))).first()
+    shares = [v for k, v in wide.asDict().items() if k.endswith("_proportion") and v is not None]
+    assert math.isclose(sum(shares), 1.0) and wide.IRQ_POLL_mean == 3.0 and wide.other_mean == 3.0
+    net = interrupts.softnet_summary(rows).first()
+    assert (net.processed_mean, net.other_mean, net.other_max) == (5.0, 4.0, 4.0)
+    assert interrupts.cstate_breakdown(rows, fixed.nodes(spark)).first().other_mean == 7.0
+
+
+def test_runs_with_one_kind_of_interrupt_stay(spark):
+    rows = telemetry(spark, reading(fixed.CTX_IRQ, "i", 40.0)).unionByName(
+        telemetry(spark, reading(fixed.CTX_SOFTIRQ, "TIMER", 10.0)).withColumn("run", F.lit(2))
+    )
+    found = {r.run: r for r in interrupts.irq_cpu_overhead(interrupts.interrupt_runs(rows)).collect()}
+    assert found[1].irq_rate == 40.0 and found[1].softirq_rate is None
+    assert found[2].irq_rate is None and found[2].softirq_rate == 10.0
+    assert all(r.total_cpu_overhead_pct > 0 for r in found.values())
+
+
+def test_kruskal_does_not_depend_on_the_last_bits(spark):
+    rows = [("k0s", 0.1 + 0.2), ("k0s", 1.0), ("k3s", 0.3), ("k3s", 2.0), ("k8s", 3.0)]
+    nudged = [("k0s", 0.3), ("k0s", 1.0), ("k3s", 0.1 + 0.2), ("k3s", 2.0), ("k8s", 3.0)]
+    results = [
+        statistics.kruskal_wallis(
+            spark.createDataFrame([("t", kd, v) for kd, v in sample], "t string, kd string, v double"),
+            ["t"], "kd", "v",
+        ).first().kruskal_h
+        for sample in (rows, nudged, rows[::-1])
+    ]
+    assert len(set(results)) == 1
+
+
+def test_decimals_round_the_binary_value(spark):
+    values = [14.0172285, 5e-07, -5e-07, 800.5, 2.5, -3.25]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    texts = [r.x for r in sinks.fixed_decimals(frame.coalesce(1)).collect()]
+    assert texts == ["%.6f" % v for v in values]
+    whole = frame.coalesce(1).select(labels.fixed_text(F.col("x"), 0).alias("x")).collect()
+    assert [r.x for r in whole] == ["%.0f" % v for v in values]
+
+
+def test_series_rows_and_files_are_not_lost(spark, tmp_path):
+    header = "hostname,value,timestamp\n"
+    (tmp_path / "k0s-idle-1-cpu.csv").write_text(header + "node_1,text,1\nnode_2,96.5,102.5\nnode_3,95,3\n")
+    (tmp_path / "k3s-idle-1-cpu.csv").write_text(header + "node_1,1,1\nnode_1,1,1,9\n")
+    (tmp_path / "k3s-idle-2-cpu.csv").write_text(header + "node_1,97\n")
+    rows = benchmarks.read_idle_series(spark, str(tmp_path)).collect()
+    assert sorted((r.run, r.hostname, r.value, r.timestamp) for r in rows if r.kd == "k0s") == [
+        ("k0s-idle-1", "node_1", None, 1), ("k0s-idle-1", "node_2", 96.5, None),
+        ("k0s-idle-1", "node_3", 95.0, 3),
+    ]
+    assert [(r.run, r.value, r.timestamp) for r in rows if r.kd == "k3s"] == [("k3s-idle-2", 97.0, None)]
+    refused = [r.file for r in benchmarks.refused_series_files(spark, str(tmp_path)).collect()]
+    assert len(refused) == 1 and refused[0].endswith("k3s-idle-1-cpu.csv")
+
+
+def test_broken_documents_are_an_error(spark, tmp_path):
+    (tmp_path / "docs.json").write_text('{"timestamp": 1}\n{"timestamp": \n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        documents.read_documents(spark, str(tmp_path), "json").collect()
+    with pytest.raises(AnalysisException):
+        documents.read_documents(spark, str(tmp_path / "absent"), required=True)
+
+
+def test_time_bounds_reach_the_scan(spark, tmp_path):
+    registry, docs = registry_and_documents(spark)
+    path = str(tmp_path / "documents")
+    sinks.write_documents(docs, path)
+    stored = documents.read_documents(spark, path)
+    plan = ingest.tag_hits(registry, stored)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(timestamp,0)" in plan and "LessThanOrEqual(timestamp,20000)" in plan
+    assert "PartitionFilters: [isnotnull(day" in plan
+    window = documents.read_stored_documents(spark, path, 1000, 9000)
+    plan = documents.documents_of_tag(window, "idle-1", 1000, 9000)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and ".tag = idle-1)" in plan
+
+
+def test_silver_folders_of_systems_that_are_gone_go(spark, tmp_path):
+    row = {c: None for c in schemas.SILVER_COLUMNS}
+    kinds = dict(sources.read_silver(spark, str(tmp_path / "none")).dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in schemas.SILVER_COLUMNS)
+    path = str(tmp_path / "silver")
+    for kds in (("k0s", "k3s"), ("k0s",)):
+        rows = [tuple((row | {"kd": kd}).values()) for kd in kds]
+        sinks.write_silver(spark.createDataFrame(rows, schema), path)
+    assert [r.kd for r in sources.read_silver(spark, path).collect()] == ["k0s"]
+
+
+def test_unknown_roles_and_gaps(spark):
+    """What the registered queries do not meet: a system without classification, a missing test."""
+    estimates = spark.createDataFrame(
+        [("k0s", "idle", 800.5, 1.0, 0.1)],
+        "kd string, test_type string, mean_freq_mhz double, mean_power_w double, std_power_w double",
+    )
+    grid = energy.completeness_matrix(estimates, fixed.published(spark)).collect()
+    labels_found = {(r.kd, r.test_type): r.freq_label for r in grid}
+    assert labels_found["k0s", "idle"] == "800" and labels_found["k0s", "dp_redis_density"] == "N/A"
+
+
+def test_job_folder_goes_with_the_job(spark):
+    with session.job_folder(spark, "job") as folder:
+        table = session.written(spark.range(3), "table")
+        assert table.count() == 3 and folder.rpartition("/")[2] in table.inputFiles()[0]
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(folder)
+
+
+def test_broadcast_limit_is_in_bytes(spark):
+    wide = spark.range(10).select(*[F.lit("x").alias(f"c{i}") for i in range(50)])
+    assert session.declared_width(wide.schema) > 50 * 64
+    assert session.fits_broadcast(wide)
 
 
 def test_trend_of_constant_is_null(spark):

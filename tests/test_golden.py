@@ -164,7 +164,8 @@ def test_interrupt_cost(spark):
     key = "kd string, test_type string, run int"
     irq = spark.createDataFrame([("k0s", "idle", 1, 1186.2675808994536)], f"{key}, irq_rate double")
     soft = spark.createDataFrame([("k0s", "idle", 1, 417.05284254972673)], f"{key}, softirq_rate double")
-    row = interrupts.irq_cpu_overhead(irq, soft).first()
+    both = irq.join(soft, ["kd", "test_type", "run"], "full")
+    row = interrupts.irq_cpu_overhead(both).first()
     assert near(row.irq_cpu_overhead_pct, 0.08897006856745902, 1e-14)
     assert near(row.total_cpu_overhead_pct, 0.12024903175868853, 1e-14)
 

@@ -7,14 +7,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidegauge.plans import catalogue
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalogue.queries()
+ORACLES = catalogue.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):

@@ -90,8 +90,10 @@ SYSTEM_FAMILIES = [
     "mem", "cpufreq", "cpu", "cpuidle", "pci", "netfilter",
 ]
 SOFTIRQ_CATEGORIES = [
-    "BLOCK", "HI", "HRTIMER", "NET_RX", "NET_TX", "RCU", "SCHED", "TASKLET", "TIMER",
+    "BLOCK", "HI", "HRTIMER", "IRQ_POLL", "NET_RX", "NET_TX", "RCU", "SCHED", "TASKLET", "TIMER",
 ]
+# where unlisted categories, dimensions and states are put in wide tables
+OTHER = "other"
 SOFTNET_DIMENSIONS = ["dropped", "flow_limit_count", "processed", "received_rps", "squeezed"]
 CSTATES = ["active", "c1_acpi", "c2_acpi", "c3_acpi", "poll"]
 

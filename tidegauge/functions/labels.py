@@ -19,6 +19,16 @@ def stars(p_value: Column) -> Column:
     )
 
 
+def fixed_text(value: Column, decimals: int) -> Column:
+    """A number as text with a fixed number of decimals; NULL stays NULL.
+
+    The binary value is rounded, half to even, as C's ``%.6f`` does; Spark's
+    ``format_string`` would round the shortest decimal text half up.
+    """
+    pattern = "0." + "0" * decimals if decimals else "0"
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def verdict_text(supported: Column, strength: Column) -> Column:
     """Readable verdict; NULL support is inconclusive."""
     return (

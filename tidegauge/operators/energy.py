@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
+from tidegauge.functions.labels import fixed_text
 from tidegauge.functions import power as model
 from tidegauge.functions.telemetry import is_worker_core
 from tidegauge.operators.scans import on_hosts
@@ -208,7 +209,7 @@ def completeness_matrix(estimates: DataFrame, published: DataFrame) -> DataFrame
         *TEST,
         F.col("mean_freq_mhz").isNotNull().alias("has_data"),
         F.when(F.col("mean_freq_mhz").isNull(), "N/A")
-        .otherwise(F.format_string("%.0f", "mean_freq_mhz"))
+        .otherwise(fixed_text(F.col("mean_freq_mhz"), 0))
         .alias("freq_label"),
         F.coalesce("mean_power_w", F.lit(0.0)).alias("power_w"),
         F.coalesce("std_power_w", F.lit(0.0)).alias("power_std_w"),

@@ -98,21 +98,55 @@ def all_zero_throttle(rates: DataFrame) -> DataFrame:
     )
 
 
-def thermal_stability(
-    rates: DataFrame, frequencies: DataFrame, published: DataFrame
-) -> DataFrame:
+def thermal_levels(telemetry: DataFrame) -> DataFrame:
+    """Per (kd, test): highest throttling, mean and lowest frequency, from one scan."""
+    throttling = (F.col("chart_context") == fixed.CTX_THROTTLE) & (
+        F.col("hostname") == fixed.MASTER
+    )
+    clock = (
+        (F.col("chart_context") == fixed.CTX_FREQ)
+        & F.col("hostname").isin(fixed.WORKERS)
+        & F.col("metric_id").isin(fixed.WORKER_CORES)
+    )
+    speed = F.when(clock, F.col("value"))
+    seconds = (
+        in_contexts(telemetry, [fixed.CTX_THROTTLE, fixed.CTX_FREQ])
+        .where(throttling | clock)
+        .groupBy(*RUN, "relative_time")
+        .agg(
+            F.when(
+                F.count_if(throttling) > 0,
+                F.coalesce(F.sum(F.when(throttling, F.col("value"))), F.lit(0.0)),
+            ).alias("events"),
+            F.sum(speed).alias("_sum"),
+            F.count(speed).alias("_n"),
+            F.min(speed).alias("_min"),
+            F.count_if(clock).alias("_seen"),
+        )
+    )
+    return seconds.groupBy(*TEST).agg(
+        F.max("events").alias("throttle_rate_max"),
+        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_freq_mhz"),
+        F.min("_min").alias("min_freq_mhz"),
+        (F.sum("_seen") > 0).alias("has_frequencies"),
+    )
+
+
+def thermal_stability(levels: DataFrame, published: DataFrame) -> DataFrame:
     """Per kd: highest throttling, mean of mean frequencies, lowest frequency.
 
-    Every system keeps its row, with NULLs where it has no data.  The number
-    of runs is the nominal one: tests seen times runs per test.
+    ``levels`` has one row per (kd, test).  Every system keeps its row, with NULLs
+    where it has no data.  The number of runs is the nominal one: tests with
+    frequencies times runs per test.
     """
-    hot = rates.groupBy("kd").agg(F.max("throttle_rate_max").alias("master_throttle_events"))
-    speed = frequencies.groupBy("kd").agg(
+    tests = F.count_if(F.col("has_frequencies"))
+    found = levels.groupBy("kd").agg(
+        F.max("throttle_rate_max").alias("master_throttle_events"),
         F.avg("mean_freq_mhz").alias("worker_mean_freq_mhz"),
         F.min("min_freq_mhz").alias("worker_min_freq_mhz"),
-        (F.count("*") * fixed.RUNS_PER_TEST).alias("runs_analysed"),
+        F.when(tests > 0, tests * fixed.RUNS_PER_TEST).alias("runs_analysed"),
     )
-    return published.select("kd").join(hot, "kd", "left").join(speed, "kd", "left")
+    return published.select("kd").join(found, "kd", "left")
 
 
 def with_stars(correlations: DataFrame) -> DataFrame:

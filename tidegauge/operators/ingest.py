@@ -10,6 +10,7 @@ from tidegauge.functions import tags
 from tidegauge.session import checkpointed, fits_broadcast
 
 ENTRY = ["kd", "test_type", "run_num"]
+SECONDS_PER_DAY = 86_400
 BUCKET_SECONDS = 3600
 
 
@@ -94,9 +95,20 @@ def tag_candidates(registry: DataFrame) -> DataFrame:
     )
 
 
-def documents_in_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
+def stored_day(documents: DataFrame) -> list[str]:
+    """The day column of documents that are stored by day."""
+    return [name for name in documents.columns if name == "day"]
+
+
+def documents_in_windows(
+    documents: DataFrame, windows: DataFrame, existence: bool = False
+) -> DataFrame:
     """Documents whose tag and time fall into a window.
 
+    The earliest start and latest end of all windows bound the scan.  With
+    ``existence`` only (tag, time) matters, and before a shuffle documents are
+    folded to distinct pairs on the map side.
+
     ``windows`` has ``candidate``, ``start_ts``, ``end_ts`` and any other
     columns.  A small window table is broadcast and the documents stream past
     it.  A larger one is unfolded into hours and joined on (tag, hour): each
@@ -104,9 +116,18 @@ def documents_in_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
     large part of all documents is spread over its hours.
     """
     tagged = documents.withColumn("candidate", F.col("labels.tag"))
+    bounds = windows.agg(F.min("start_ts").alias("first"), F.max("end_ts").alias("last")).first()
+    if bounds["first"] is not None and bounds["last"] is not None:
+        first, last = bounds["first"], bounds["last"]
+        tagged = tagged.where(F.col("timestamp").between(first, last))
+        if "day" in tagged.columns:  # stored by day: choose the folders too
+            days = F.col("day").between(first // SECONDS_PER_DAY, last // SECONDS_PER_DAY)
+            tagged = tagged.where(days).drop("day")
     inside = F.col("timestamp").between(F.col("start_ts"), F.col("end_ts"))
     if fits_broadcast(windows):
         return tagged.join(F.broadcast(windows), "candidate").where(inside)
+    if existence:
+        tagged = tagged.select("candidate", "timestamp").distinct()
     hour = F.floor(F.col("timestamp") / BUCKET_SECONDS)
     first = F.floor(F.col("start_ts") / BUCKET_SECONDS)
     last = F.floor(F.col("end_ts") / BUCKET_SECONDS)
@@ -129,7 +150,9 @@ def tag_hits(registry: DataFrame, documents: DataFrame) -> DataFrame:
     probes = tag_candidates(usable_runs(registry)).select(
         *ENTRY, "start_ts", "end_ts", "position", "candidate"
     )
-    found = documents_in_windows(documents.select("labels", "timestamp"), probes)
+    found = documents_in_windows(
+        documents.select("labels", "timestamp", *stored_day(documents)), probes, existence=True
+    )
     return found.select(*ENTRY, "position", "candidate").distinct()
 
 
@@ -158,7 +181,7 @@ def extract_resolved(
         F.col("resolved_tag").alias("candidate"), "start_ts", "end_ts",
     )
     rows = documents_in_windows(
-        documents.select("labels", *fixed.DOCUMENT_FIELDS), windows
+        documents.select("labels", *fixed.DOCUMENT_FIELDS, *stored_day(documents)), windows
     ).withColumnsRenamed({"id": "metric_id", "name": "metric_name"})
     return relative_time(rows).select(
         "kd", "test_type", "run", "relative_time", "hostname", "chart_context", "chart_id",
@@ -196,6 +219,16 @@ def ingest_profile(telemetry: DataFrame) -> DataFrame:
     )
 
 
+def run_sizes(telemetry: DataFrame) -> DataFrame:
+    """Per run: files and their size in kB; ``telemetry`` is read from run folders."""
+    run = ["kd", "test_type", "run"]
+    files = telemetry.select(*run, "_metadata.file_path", "_metadata.file_size")
+    each = files.groupBy(*run, "file_path").agg(F.max("file_size").alias("_size"))
+    return each.groupBy(*run).agg(
+        F.count("*").alias("n_files"), F.round(F.sum("_size") / 1024, 1).alias("file_kb")
+    )
+
+
 def manifest(
     requested: DataFrame,
     registry: DataFrame,

@@ -6,7 +6,10 @@ inflate each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
@@ -92,23 +95,36 @@ def softirq_breakdown(categories: DataFrame) -> DataFrame:
     return means.withColumn("proportion", share).join(totals, TEST)
 
 
+def listed_or_other(column: str, names: list[str]) -> Column:
+    """The value if it is listed, else ``other``: a pivot then loses no row."""
+    return F.when(F.col(column).isin(names), F.col(column)).otherwise(fixed.OTHER)
+
+
 def softirq_wide(breakdown: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Categories side by side as ``{category}_mean`` and ``{category}_proportion``."""
+    """Categories side by side as ``{category}_mean`` and ``{category}_proportion``.
+
+    Unlisted categories are added up under ``other``, so shares add up to 1.
+    """
     names = categories or fixed.SOFTIRQ_CATEGORIES
     return (
-        breakdown.groupBy(*TEST, "total_softirq_rate_mean")
-        .pivot("category", names)
-        .agg(F.max("rate_mean").alias("mean"), F.max("proportion").alias("proportion"))
+        breakdown.withColumn("category", listed_or_other("category", names))
+        .groupBy(*TEST, "total_softirq_rate_mean")
+        .pivot("category", [*names, fixed.OTHER])
+        .agg(F.sum("rate_mean").alias("mean"), F.sum("proportion").alias("proportion"))
     )
 
 
 def softnet_summary(telemetry: DataFrame, dimensions: list[str] | None = None) -> DataFrame:
-    """Per run: mean and maximum of every network soft-interrupt dimension."""
+    """Per run: mean and maximum of every network soft-interrupt dimension.
+
+    Readings of unlisted dimensions share the columns of ``other``.
+    """
     names = dimensions or fixed.SOFTNET_DIMENSIONS
     return (
         on_hosts(in_contexts(telemetry, [fixed.CTX_SOFTNET]), fixed.WORKERS)
+        .withColumn("metric_id", listed_or_other("metric_id", names))
         .groupBy(*RUN)
-        .pivot("metric_id", names)
+        .pivot("metric_id", [*names, fixed.OTHER])
         .agg(F.avg("value").alias("mean"), F.max("value").alias("max"))
     )
 
@@ -118,27 +134,56 @@ def cstate_breakdown(
 ) -> DataFrame:
     """Per run and node type: mean and deviation of every idle state.
 
-    ``nodes`` has one row per host of the fixed cluster, hence the broadcast.
+    Readings of unlisted states share the columns of ``other``.  ``nodes`` has one row per host of the fixed cluster, hence the broadcast.
     """
     names = states or fixed.CSTATES
     return (
         in_contexts(telemetry, [fixed.CTX_CSTATE])
         .join(F.broadcast(nodes.select("hostname", "node_type")), "hostname")
+        .withColumn("metric_id", listed_or_other("metric_id", names))
         .groupBy(*RUN, "node_type")
-        .pivot("metric_id", names)
+        .pivot("metric_id", [*names, fixed.OTHER])
         .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     )
 
 
-def irq_cpu_overhead(irq_runs: DataFrame, softirq_totals: DataFrame) -> DataFrame:
-    """CPU share spent on hard and soft interrupts, per run."""
+def interrupt_runs(telemetry: DataFrame) -> DataFrame:
+    """Hard and soft interrupt rate of each run, from one scan.
+
+    A cell is a second of the hard interrupts or a category of the soft ones.  A
+    run with one kind only has NULL for the other.
+    """
+    present = [
+        F.coalesce(F.max(F.when(F.col("hostname") == host, 1)), F.lit(0)) for host in fixed.WORKERS
+    ]
+    hard = F.col("chart_context") == fixed.CTX_IRQ
+    cell = F.when(hard, F.col("relative_time").cast("string")).otherwise(F.col("metric_id"))
+    cells = (
+        on_hosts(in_contexts(telemetry, [fixed.CTX_IRQ, fixed.CTX_SOFTIRQ]), fixed.WORKERS)
+        .groupBy(*RUN, hard.alias("_hard"), cell.alias("_cell"))
+        .agg(
+            (F.coalesce(F.sum("value"), F.lit(0.0)) / reduce(add, present)).alias("_second"),
+            F.coalesce(F.avg("value"), F.lit(0.0)).alias("_category"),
+        )
+    )
+    return cells.groupBy(*RUN).agg(
+        F.avg(F.when(F.col("_hard"), F.col("_second"))).alias("irq_rate"),
+        F.sum(F.when(~F.col("_hard"), F.col("_category"))).alias("softirq_rate"),
+    )
+
+
+def irq_cpu_overhead(rates: DataFrame) -> DataFrame:
+    """CPU share spent on hard and soft interrupts, per run.
+
+    ``rates`` has irq_rate and softirq_rate; an absent kind adds nothing to the total.
+    """
     cost = F.lit(fixed.CPU_PCT_PER_INTERRUPT)
     return (
-        irq_runs.join(softirq_totals, RUN)
-        .withColumn("irq_cpu_overhead_pct", F.col("irq_rate") * cost)
+        rates.withColumn("irq_cpu_overhead_pct", F.col("irq_rate") * cost)
         .withColumn("softirq_cpu_overhead_pct", F.col("softirq_rate") * cost)
         .withColumn(
             "total_cpu_overhead_pct",
-            F.col("irq_cpu_overhead_pct") + F.col("softirq_cpu_overhead_pct"),
+            F.coalesce("irq_cpu_overhead_pct", F.lit(0.0))
+            + F.coalesce("softirq_cpu_overhead_pct", F.lit(0.0)),
         )
     )

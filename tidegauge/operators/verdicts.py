@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
-from tidegauge.functions.labels import graded, strength_score, verdict_text
+from tidegauge.functions.labels import fixed_text, graded, strength_score, verdict_text
 from tidegauge.operators.statistics import spearman_of_systems
 
 
@@ -29,9 +29,7 @@ def _verdict(
     lines = [
         F.concat(
             F.lit(f"{name} = "),
-            F.when(F.col(name).isNull(), "n/a").otherwise(
-                F.format_string("%.4f", F.col(name).cast("double"))
-            ),
+            F.coalesce(fixed_text(F.col(name).cast("double"), 4), F.lit("n/a")),
         )
         for name in names
     ]
@@ -119,7 +117,7 @@ def verdict_p3(test: DataFrame, means: DataFrame) -> DataFrame:
     stats = (
         test.select(
             F.lit(1).alias("_one"),
-            F.col("u_statistic").alias("mann_whitney_u"),
+            F.col("u_statistic").alias("mann_whitney_U"),
             F.col("p_value").alias("mann_whitney_p"),
         )
         .join(means.withColumn("_one", F.lit(1)), "_one")
@@ -135,7 +133,7 @@ def verdict_p3(test: DataFrame, means: DataFrame) -> DataFrame:
     )
     return _verdict(
         stats, "P3", supported, strength,
-        ["mann_whitney_u", "mann_whitney_p", "mean_lightweight_ms", "mean_heavy_ms",
+        ["mann_whitney_U", "mann_whitney_p", "mean_lightweight_ms", "mean_heavy_ms",
          "ratio_heavy_to_lw"],
     )
 
@@ -201,6 +199,31 @@ def verdict_p14(points: DataFrame) -> DataFrame:
     return _verdict(stats, "P14", supported, strength, stats.columns)
 
 
+def evidence_rows(proposition_id: str, name: str, rows: DataFrame, value: str) -> DataFrame:
+    """One number per row of a result table: proposition, name, kd, test_type, value."""
+    absent = F.lit(None).cast("string")
+    columns = {
+        "kd": F.col("kd") if "kd" in rows.columns else absent,
+        "test_type": F.col("test_type") if "test_type" in rows.columns else absent,
+    }
+    return rows.select(
+        F.lit(proposition_id).alias("proposition_id"),
+        F.lit(name).alias("name"),
+        *[column.cast("string").alias(key) for key, column in columns.items()],
+        F.col(value).cast("double").alias("value"),
+    )
+
+
+def with_numbers(verdicts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Verdicts with their numbers as an array of (name, kd, test_type, value).
+
+    ``numbers`` has a row per result, system and test, so an array is that short.
+    """
+    entry = F.struct("name", "kd", "test_type", "value")
+    listed = numbers.groupBy("proposition_id").agg(F.sort_array(F.collect_list(entry)).alias("numbers"))
+    return verdicts.join(listed, "proposition_id", "left")
+
+
 def verdict_summary(verdicts: DataFrame) -> DataFrame:
     """How many hypotheses are supported, and the mean strength score."""
     return verdicts.agg(

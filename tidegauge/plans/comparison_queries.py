@@ -179,6 +179,38 @@ def mann_whitney_less(t):
     )
 
 
+POD_CREATE = API_LATENCY.rstrip() + f""", measured AS (
+  SELECT tests, kd IN ('k0s', 'k3s') AS light, medians AS v FROM api_latency
+  WHERE tests = 'cp_heavy_12client' AND operations = 'pod' AND metrics = 'create' AND medians IS NOT NULL
+    AND kd IN ('k0s', 'k3s', 'k8s', 'kubeEdge', 'openYurt')
+), ranked AS (
+  SELECT *, rank() OVER (PARTITION BY tests ORDER BY v) + (count(*) OVER (PARTITION BY tests, v) - 1) / 2.0 AS r,
+    count(*) OVER (PARTITION BY tests, v) AS ties
+  FROM measured
+), sums AS (
+  SELECT tests, count(*) FILTER (light) AS n1, count(*) FILTER (NOT light) AS n2,
+    sum(r) FILTER (light) AS rs, sum(CAST(ties AS DOUBLE) * ties - 1) AS tie
+  FROM ranked GROUP BY tests
+), rank_test AS (
+  SELECT tests, n1, n2, rs - n1 * (n1 + 1) / 2.0 AS u,
+    (n1 * n2 / 2.0 - 0.5 - (rs - n1 * (n1 + 1) / 2.0))
+      / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - tie / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1)))) AS z
+  FROM sums
+)
+"""
+
+
+@query(
+    "mann_whitney_pod_create", ctes=POD_CREATE, rounds="p_value", digits=8,
+    sql=f"""SELECT tests, n1, n2, u AS u_statistic, {Z_TAIL.format(z="z")} AS p_value FROM rank_test""",
+)
+def mann_whitney_pod_create(t):
+    pods = comparisons.operation_rows(t.api_latency, "pod", "create")
+    return statistics.mann_whitney_less(
+        pods, ["tests"], "medians", comparisons.lightweight_flag()
+    )
+
+
 @query(
     "linear_trend", ctes=POD_STARTUP, rounds="slope intercept",
     sql="""SELECT kd, regr_slope(medians, number_of_pods) AS slope,
@@ -409,7 +441,7 @@ VERDICTS = (
   UNION ALL SELECT 'P3', p < 0.05 AND mean_lightweight_ms < mean_heavy_ms,
     CASE WHEN p < 0.01 AND ratio_heavy_to_lw > 1.5 THEN 'strong' WHEN p < 0.05 THEN 'moderate'
       WHEN mean_lightweight_ms < mean_heavy_ms THEN 'weak' ELSE 'inconclusive' END, u,
-    printf('mann_whitney_u = %.4f; mann_whitney_p = %.4f; mean_lightweight_ms = %.4f; mean_heavy_ms = %.4f; ratio_heavy_to_lw = %.4f',
+    printf('mann_whitney_U = %.4f; mann_whitney_p = %.4f; mean_lightweight_ms = %.4f; mean_heavy_ms = %.4f; ratio_heavy_to_lw = %.4f',
       u, p, mean_lightweight_ms, mean_heavy_ms, ratio_heavy_to_lw), 5 FROM mw_all, means
   UNION ALL SELECT 'P10', k3s > ke AND s > 3,
     CASE WHEN s > 10 THEN 'strong' WHEN s > 5 THEN 'moderate' WHEN s > 2 THEN 'weak' ELSE 'inconclusive' END, s,
@@ -429,7 +461,7 @@ VERDICTS = (
 MAIN_STATISTIC = {
     "p1": "spearman_rho_cpu",
     "p2": "k0s_system_cpu_growth_factor",
-    "p3": "mann_whitney_u",
+    "p3": "mann_whitney_U",
     "p10": "efficiency_spread",
     "p12": "spearman_rho",
     "p14": "spearman_rho_cpu",

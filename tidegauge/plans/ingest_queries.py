@@ -192,7 +192,7 @@ def ingest_profile(t):
     ctes=HITS.rstrip() + f""", profile AS ({PROFILE.format(table="extracted")}
 ), requested AS (SELECT DISTINCT kd, 'idle' AS test_type, run FROM metric_docs
 ), statuses AS (
-  SELECT q.*, CASE WHEN q.kd = 'k3s' THEN 'skipped' WHEN g.kd IS NULL THEN 'not_found'
+  SELECT q.*, CASE WHEN g.kd IS NULL THEN 'not_found'
       WHEN r.kd IS NULL THEN 'tag_failed' ELSE 'ok' END AS status, g.end_ts - g.start_ts AS d
   FROM requested q LEFT JOIN run_registry g ON q.kd = g.kd AND q.run = g.run_num
   LEFT JOIN resolved r ON q.kd = r.kd AND q.run = r.run_num
@@ -204,11 +204,10 @@ def ingest_profile(t):
 )
 def sink_manifest(t):
     entries = checkpointed(registry(t))
-    resolved = ingest.tag_resolve(entries, t.documents)
-    profile = ingest.ingest_profile(ingest.extract_run(entries, t.documents))
-    existing = requested(t).where(F.col("kd") == "k3s")
+    resolved = checkpointed(ingest.tag_resolve(entries, t.documents))
+    profile = ingest.ingest_profile(ingest.extract_resolved(entries, resolved, t.documents))
     path = new_table_path(t.spark, "manifest")
-    rows = ingest.manifest(requested(t), entries, resolved, profile, existing)
+    rows = ingest.manifest(requested(t), entries, resolved, profile)
     sinks.write_json(rows, path)
     schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
     return t.spark.read.schema(schema).json(path)

@@ -6,7 +6,8 @@ where several results need it, and writes every result from the executors.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +25,24 @@ from tidegauge.operators import (
     statistics,
     verdicts,
 )
-from tidegauge.session import broadcast_if_small, checkpointed, written
+from tidegauge.session import broadcast_if_small, checkpointed, job_folder, written
 from tidegauge.sinks import tables as sinks
 from tidegauge.sources import telemetry as sources
 
 
+def in_job_folder(job: Callable[..., None]) -> Callable[..., None]:
+    """Run a job with a folder of its own for the tables it writes on its way."""
+
+    @wraps(job)
+    def run(first: DataFrame | SparkSession, *args, **kwargs) -> None:
+        spark = first if isinstance(first, SparkSession) else first.sparkSession
+        with job_folder(spark, job.__name__):
+            job(first, *args, **kwargs)
+
+    return run
+
+
+@in_job_folder
 def run_ingest(
     files: DataFrame, raw_documents: DataFrame, requested: DataFrame, out: str,
     skip_existing: bool = True,
@@ -57,14 +71,16 @@ def run_ingest(
     resolved = checkpointed(ingest.tag_resolve(entries, raw_documents))
     rows = ingest.extract_resolved(entries, resolved, raw_documents)
     sinks.write_runs(rows, target, by_context=True)
-    fresh = sources.read_telemetry(spark, target).join(broadcast_if_small(wanted), scans.RUN, "left_semi")
+    stored = sources.read_telemetry(spark, target)
+    fresh = stored.join(broadcast_if_small(wanted), scans.RUN, "left_semi")
     profile = ingest.ingest_profile(fresh)
+    manifest = ingest.manifest(requested, registry, resolved, profile, existing)
     sinks.write_json(
-        ingest.manifest(requested, registry, resolved, profile, existing),
-        f"{out}/extraction_manifest",
+        manifest.join(ingest.run_sizes(stored), scans.RUN, "left"), f"{out}/extraction_manifest"
     )
 
 
+@in_job_folder
 def run_energy(telemetry: DataFrame, out: str) -> None:
     """All energy, interrupt, throttling and frequency results."""
     spark = telemetry.sparkSession
@@ -87,9 +103,11 @@ def run_energy(telemetry: DataFrame, out: str) -> None:
         "interrupt_amplification": interrupts.irq_amplification(rates),
         "interrupt_cross_kd": statistics.irq_cross_kd(irq_runs),
         "interrupt_cpu_overhead": interrupts.irq_cpu_overhead(
-            irq_runs, interrupts.softirq_run_totals(soft_runs)
+            irq_runs.join(interrupts.softirq_run_totals(soft_runs), scans.RUN, "full")
         ),
         "softirq_breakdown": interrupts.softirq_wide(interrupts.softirq_breakdown(soft_runs)),
+        # one row per category, whatever its name
+        "softirq_categories": interrupts.softirq_breakdown(soft_runs),
         "softnet_analysis": interrupts.softnet_summary(tests),
         "cstate_breakdown": interrupts.cstate_breakdown(tests, nodes),
         "throttling_rates": throttle,
@@ -99,12 +117,18 @@ def run_energy(telemetry: DataFrame, out: str) -> None:
         "frequency_latency": frequency.with_stars(correlations),
         # the same table under its older name
         "throttling_latency": correlations,
-        "thermal_stability": frequency.thermal_stability(throttle, speeds, published),
+        "thermal_stability": frequency.thermal_stability(
+            throttle.join(
+                speeds.withColumn("has_frequencies", F.lit(True)), ["kd", "test_type"], "full"
+            ),
+            published,
+        ),
     }
     for name, result in results.items():
         sinks.write_result_csv(result, f"{out}/{name}")
 
 
+@in_job_folder
 def run_overhead(telemetry: DataFrame, out: str) -> None:
     """Silver table, classification, idle and loaded overhead, tax."""
     spark = telemetry.sparkSession
@@ -130,6 +154,7 @@ def run_overhead(telemetry: DataFrame, out: str) -> None:
         sinks.write_result_csv_fixed(result, f"{out}/{name}")
 
 
+@in_job_folder
 def run_hypotheses(
     spark: SparkSession,
     startup: DataFrame,
@@ -137,8 +162,12 @@ def run_hypotheses(
     growth: DataFrame,
     series: DataFrame,
     out: str,
+    loaded: DataFrame | None = None,
 ) -> None:
-    """The six verdicts, start-up tables and the check of published idle CPU."""
+    """The six verdicts with their numbers, start-up tables, the check of published idle CPU.
+
+    With ``loaded`` (loaded overhead) workload shares are among the numbers.
+    """
     published = fixed.published(spark)
     points = published.select("kd", "idle_cpu_pct").join(comparisons.svc_create_median(api), "kd")
     test = statistics.mann_whitney_less(
@@ -153,15 +182,49 @@ def run_hypotheses(
         verdicts.verdict_p12(published),
         verdicts.verdict_p14(published),
     ]
+    at_scale = written(comparisons.startup_at_scale(startup), "startup-at-scale")
+    slowdown = comparisons.slowdown_ratio(at_scale)
+    by_test = written(comparisons.startup_by_kd_test(startup), "startup-by-test")
+    efficiency = written(
+        comparisons.latency_efficiency(comparisons.throughput_efficiency(published)), "efficiency"
+    )
+    create_test = statistics.mann_whitney_less(
+        comparisons.operation_rows(api, "pod", "create"), ["tests"], "medians",
+        comparisons.lightweight_flag(),
+    )
+    create_test = written(create_test, "pod-create-test").withColumnRenamed("tests", "test_type")
+    means = written(comparisons.group_mean_ratio(startup), "group-means")
+    numbers = [
+        verdicts.evidence_rows("P2", "startup_at_scale_ms", at_scale, "latency_ms"),
+        verdicts.evidence_rows("P2", "slowdown", slowdown, "slowdown"),
+        verdicts.evidence_rows("P2", "service_create_median_ms", points, "median_ms"),
+        verdicts.evidence_rows("P2", "growth_factor", growth, "growth_factor"),
+        verdicts.evidence_rows(
+            "P3", "startup_mean_ms", by_test.withColumnRenamed("tests", "test_type"), "mean_ms"
+        ),
+        verdicts.evidence_rows("P3", "pod_create_mann_whitney_U", create_test, "u_statistic"),
+        verdicts.evidence_rows("P3", "pod_create_mann_whitney_p", create_test, "p_value"),
+        *[verdicts.evidence_rows("P3", name, means, name) for name in means.columns],
+        verdicts.evidence_rows("P10", "ops_per_cpu", efficiency, "ops_per_cpu"),
+    ]
+    if loaded is not None:
+        shares = overhead.workload_share(loaded)
+        numbers.append(verdicts.evidence_rows("P10", "workload_share_pct", shares, "workload_share_pct"))
+    evidence = written(reduce(lambda a, b: a.unionByName(b), numbers), "verdict-numbers")
     table = written(reduce(lambda a, b: a.unionByName(b), rows), "verdicts")
-    sinks.write_verdicts(table, f"{out}/proposition_validation", f"{out}/proposition_details")
-    at_scale = comparisons.startup_at_scale(startup)
-    efficiency = comparisons.latency_efficiency(comparisons.throughput_efficiency(published))
+    sinks.write_verdicts(
+        verdicts.with_numbers(table, evidence),
+        f"{out}/proposition_validation",
+        f"{out}/proposition_details",
+    )
     results = {
         "verdict_summary": verdicts.verdict_summary(table),
-        "startup_by_kd_test": comparisons.startup_by_kd_test(startup),
+        "verdict_numbers": evidence,
+        "group_mean_ratio": means,
+        "pod_create_rank_test": create_test,
+        "startup_by_kd_test": by_test,
         "startup_at_scale": at_scale,
-        "slowdown": comparisons.slowdown_ratio(at_scale),
+        "slowdown": slowdown,
         "service_create_median": points,
         "efficiency_ranking": comparisons.efficiency_ranking(efficiency, "ops_per_cpu"),
         "idle_cpu_check": comparisons.cross_validation(

@@ -196,13 +196,12 @@ def pod_set_difference(t):
     ctes=CLASSIFIED,
     sql="""SELECT s.kd, s.test_type, s.run, s.hostname, s.pod_uuid, s.metric, s.value,
       coalesce(r.role, 'unknown') AS role
-    FROM silver s LEFT JOIN (SELECT * FROM roles WHERE kd <> 'openYurt') r
+    FROM silver s LEFT JOIN roles r
       ON s.kd = r.kd AND s.pod_uuid = r.pod_uuid""",
     rounds="value",
 )
 def join_role(t):
-    known = classified(t).where(F.col("kd") != "openYurt")
-    return overhead.join_role(t.stored_silver, known).select(
+    return overhead.join_role(t.stored_silver, classified(t)).select(
         "kd", "test_type", "run", "hostname", "pod_uuid", "metric", "value", "role"
     )
 
@@ -262,14 +261,13 @@ def idle_overhead_totals(t):
 @query(
     "top_pods",
     ctes=IDLE,
-    sql="""SELECT kd, hostname, pod_uuid, qos_class, mean, position FROM (
-      SELECT *, CAST(row_number() OVER (PARTITION BY kd ORDER BY mean DESC, hostname, pod_uuid, qos_class) AS INT) AS position
-      FROM idle_overhead WHERE metric = 'cpu_pct') WHERE position <= 5""",
+    sql="""SELECT kd, hostname, pod_uuid, qos_class, mean FROM idle_overhead WHERE metric = 'cpu_pct'
+    ORDER BY kd, mean DESC, hostname, pod_uuid, qos_class""",
     rounds="mean",
 )
 def top_pods(t):
-    return overhead.top_pods(idle(t), "cpu_pct", 5).select(
-        "kd", "hostname", "pod_uuid", "qos_class", "mean", "position"
+    return overhead.top_pods(idle(t), "cpu_pct").select(
+        "kd", "hostname", "pod_uuid", "qos_class", "mean"
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidegauge import fixed_values as fixed
 from tidegauge.operators import frequency, interrupts, statistics
 from tidegauge.plans.inputs import TELEMETRY
 from tidegauge.plans.registry import query
@@ -130,16 +131,21 @@ def share_of_total(t):
     return breakdown(t).select("kd", "test_type", "category", "proportion")
 
 
+def in_column(column: str, name: str, listed: list[str]) -> str:
+    """SQL condition of one column of a wide table; ``other`` takes what is not listed."""
+    if name != fixed.OTHER:
+        return f"{column} = '{name}'"
+    names = ", ".join(f"'{n}'" for n in listed)
+    return f"({column} IS NULL OR {column} NOT IN ({names}))"
+
+
+SOFT_NAMES = [*fixed.SOFTIRQ_CATEGORIES, fixed.OTHER]
 SOFT_WIDE = ", ".join(
-    f"max(rate_mean) FILTER (category = '{c}') AS {c}_mean, "
-    f"max(proportion) FILTER (category = '{c}') AS {c}_proportion"
-    for c in ["BLOCK", "HI", "HRTIMER", "NET_RX", "NET_TX", "RCU", "SCHED", "TASKLET", "TIMER"]
-)
-SOFT_COLUMNS = " ".join(
-    f"{c}_{part}"
-    for c in ["BLOCK", "HI", "HRTIMER", "NET_RX", "NET_TX", "RCU", "SCHED", "TASKLET", "TIMER"]
-    for part in ("mean", "proportion")
+    f"sum({value}) FILTER ({in_column('category', c, fixed.SOFTIRQ_CATEGORIES)}) AS {c}_{part}"
+    for c in SOFT_NAMES
+    for value, part in (("rate_mean", "mean"), ("proportion", "proportion"))
 )
+SOFT_COLUMNS = " ".join(f"{c}_{part}" for c in SOFT_NAMES for part in ("mean", "proportion"))
 
 
 @query(
@@ -153,7 +159,7 @@ def softirq_wide(t):
     return interrupts.softirq_wide(breakdown(t))
 
 
-SOFTNET = ["dropped", "flow_limit_count", "processed", "received_rps", "squeezed"]
+SOFTNET = [*fixed.SOFTNET_DIMENSIONS, fixed.OTHER]
 
 
 @query(
@@ -161,8 +167,9 @@ SOFTNET = ["dropped", "flow_limit_count", "processed", "received_rps", "squeezed
     ctes=TELEMETRY,
     sql="SELECT kd, test_type, run, "
     + ", ".join(
-        f"avg(value) FILTER (metric_id = '{d}') AS {d}_mean, max(value) FILTER (metric_id = '{d}') AS {d}_max"
+        f"{how}(value) FILTER ({in_column('metric_id', d, fixed.SOFTNET_DIMENSIONS)}) AS {d}_{part}"
         for d in SOFTNET
+        for how, part in (("avg", "mean"), ("max", "max"))
     )
     + f" FROM telemetry WHERE chart_context = 'system.softnet_stat' AND {WORKERS} GROUP BY kd, test_type, run",
     rounds=" ".join(f"{d}_{part}" for d in SOFTNET for part in ("mean", "max")),
@@ -171,7 +178,7 @@ def softnet_summary(t):
     return interrupts.softnet_summary(t.telemetry)
 
 
-STATES = ["active", "c1_acpi", "c2_acpi", "c3_acpi", "poll"]
+STATES = [*fixed.CSTATES, fixed.OTHER]
 
 
 @query(
@@ -179,8 +186,9 @@ STATES = ["active", "c1_acpi", "c2_acpi", "c3_acpi", "poll"]
     ctes=TELEMETRY,
     sql="""SELECT kd, test_type, run, CASE hostname WHEN 'master' THEN 'master' ELSE 'worker' END AS node_type, """
     + ", ".join(
-        f"avg(value) FILTER (metric_id = '{s}') AS {s}_mean, stddev_samp(value) FILTER (metric_id = '{s}') AS {s}_std"
+        f"{how}(value) FILTER ({in_column('metric_id', s, fixed.CSTATES)}) AS {s}_{part}"
         for s in STATES
+        for how, part in (("avg", "mean"), ("stddev_samp", "std"))
     )
     + """ FROM telemetry WHERE chart_context = 'cpuidle.cpu_cstate_residency_time'
     GROUP BY kd, test_type, run, CASE hostname WHEN 'master' THEN 'master' ELSE 'worker' END""",
@@ -195,14 +203,13 @@ def cstate_breakdown(t):
     ctes=RATES,
     sql="""SELECT kd, test_type, run, irq_rate, softirq_rate, irq_rate * 0.000075 AS irq_cpu_overhead_pct,
       softirq_rate * 0.000075 AS softirq_cpu_overhead_pct,
-      irq_rate * 0.000075 + softirq_rate * 0.000075 AS total_cpu_overhead_pct
-    FROM irq_runs JOIN soft_totals USING (kd, test_type, run)""",
+      coalesce(irq_rate * 0.000075, 0.0) + coalesce(softirq_rate * 0.000075, 0.0) AS total_cpu_overhead_pct
+    FROM irq_runs FULL JOIN soft_totals USING (kd, test_type, run)""",
     rounds="irq_rate softirq_rate",
     irq_cpu_overhead_pct=9, softirq_cpu_overhead_pct=9, total_cpu_overhead_pct=9,
 )
 def irq_cpu_overhead(t):
-    totals = interrupts.softirq_run_totals(interrupts.softirq_runs(t.telemetry))
-    return interrupts.irq_cpu_overhead(interrupts.irq_run_rate(t.telemetry), totals)
+    return interrupts.irq_cpu_overhead(interrupts.interrupt_runs(t.telemetry))
 
 
 @query(
@@ -259,9 +266,7 @@ def freq_below_threshold(t):
     rounds="master_throttle_events worker_mean_freq_mhz worker_min_freq_mhz",
 )
 def thermal_stability(t):
-    return frequency.thermal_stability(
-        frequency.throttle_rate(t.telemetry), frequency.freq_stats(t.telemetry), t.published
-    )
+    return frequency.thermal_stability(frequency.thermal_levels(t.telemetry), t.published)
 
 
 def cross_kd(t):

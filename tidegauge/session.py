@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows above which a table that grows with the data is no longer broadcast.
-BROADCAST_ROWS = 100_000
+# Size above which a table that grows with the data is no longer broadcast.
+BROADCAST_BYTES = 32 << 20
+# Declared width of a value of no fixed size, such as a string.
+VALUE_BYTES = 64
+
+# Folder of the job that is running, if one is.
+_job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
 
 
 def build_session(app: str = "tidegauge", master: str | None = None, **conf) -> SparkSession:
@@ -63,7 +70,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor sees, as the cluster names it.
 
     Only a local session without the setting gets a folder of its own; there
-    driver and executors are one process.
+    driver and executors are one process.  A ``file:`` folder named by the cluster
+    is taken at its word: it has to be a mount that all machines share.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -77,8 +85,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other job uses."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or in the running job's, that nothing else uses."""
+    folder = _job_folder.get() or shared_folder(spark)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for the tables that a job writes on its way; it goes when the job ends.
+
+    Registered queries return lazy results that still read such tables, so they
+    stay in the shared folder until the cluster cleans it.
+    """
+    path = new_table_path(spark, name)
+    token = _job_folder.set(path)
+    try:
+        yield path
+    finally:
+        _job_folder.reset(token)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -101,11 +127,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows to learn whether ``df`` is small."""
+def declared_width(schema: T.StructType) -> int:
+    """Bytes of a row by its declared types."""
+    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    wide = ("bigint", "double", "timestamp", "timestamp_ntz")
+    return 16 + sum(
+        fixed.get(kind, 8 if kind in wide else VALUE_BYTES)
+        for kind in (field.dataType.simpleString() for field in schema.fields)
+    )
+
+
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether ``df`` is small: its rows times their declared width, or a row limit."""
+    if max_rows is None:
+        max_rows = BROADCAST_BYTES // declared_width(df.schema)
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row check; beyond it the join shuffles."""
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast hint behind a size check; beyond it the join shuffles."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.labels import fixed_text
 from tidegauge.operators.scans import RUN, run_order
 from tidegauge.schemas import SILVER_COLUMNS
 from tidegauge.session import broadcast_if_small, checkpointed
@@ -53,8 +54,32 @@ def write_runs(
 
 
 def write_silver(silver: DataFrame, path: str) -> None:
-    """Silver table in canonical column order, one folder per kd."""
-    silver.select(*SILVER_COLUMNS).write.mode("overwrite").partitionBy("kd").parquet(path)
+    """Silver table in canonical column order, one folder per kd.
+
+    The whole table is replaced, so folders of systems that are gone go too.
+    """
+    (
+        silver.select(*SILVER_COLUMNS)
+        .hint("rebalance", "kd")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("kd")
+        .parquet(path)
+    )
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Raw documents as Parquet, one folder per day, sorted by tag and time inside."""
+    day = F.floor(F.col("timestamp") / 86_400).alias("day")
+    (
+        documents.select("*", day)
+        .hint("rebalance", "day")
+        .sortWithinPartitions("day", "labels.tag", "timestamp")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("day")
+        .parquet(path)
+    )
 
 
 def write_result_csv(result: DataFrame, path: str) -> None:
@@ -66,7 +91,7 @@ def fixed_decimals(result: DataFrame, decimals: int = 6) -> DataFrame:
     """Floating-point columns as text with a fixed number of decimals; NULL stays NULL."""
     return result.select(
         *[
-            F.when(F.col(name).isNotNull(), F.format_string(f"%.{decimals}f", name)).alias(name)
+            fixed_text(F.col(name), decimals).alias(name)
             if kind in ("double", "float")
             else F.col(name)
             for name, kind in result.dtypes

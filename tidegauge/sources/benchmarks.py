@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge import schemas
+from tidegauge.session import broadcast_if_small
 from tidegauge.sources.files import or_empty
 
 SERIES = r"([A-Za-z0-9]+-idle-[^/]*?)-(cpu|ram)(?:\.csv)?(?:/[^/]*)?$"
@@ -28,33 +29,46 @@ def read_api_latency(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, schemas.API_LATENCY_CSV).withColumnsRenamed(schemas.CSV_RENAMES)
 
 
-def read_idle_series(spark: SparkSession, path: str, metric: str = "cpu") -> DataFrame:
-    """Idle series of the systems that the file names attribute.
-
-    System and run come from the name (``k0s-idle-3,k0s-idle-4,-cpu.csv``), as
-    a file or as a folder of part files.  Unreadable files are skipped.
-    """
+def _series_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of all series files as text, with a column for what a row has too many."""
+    schema = "hostname string, value string, timestamp string, _extra string"
 
     def read() -> DataFrame:
         files = (
-            spark.read.schema(schemas.SYSTEM_SERIES_CSV)
+            spark.read.schema(schema)
             .option("header", True)
             .option("recursiveFileLookup", True)
-            .option("ignoreCorruptFiles", True)
-            .option("mode", "DROPMALFORMED")
             .csv(path)
         )
-        location = F.col("_metadata.file_path")
-        name = F.regexp_extract(location, SERIES, 1)
-        return files.select(
-            "hostname", "value", "timestamp",
-            name.alias("run"),
-            F.regexp_extract(name, r"^(\w+)-idle-", 1).alias("kd"),
-            F.regexp_extract(location, SERIES, 2).alias("_metric"),
-        )
+        return files.select("*", F.col("_metadata.file_path").alias("file"))
+
+    return or_empty(spark, f"{schema}, file string", read)
+
 
-    schema = f"{schemas.SYSTEM_SERIES_CSV}, run string, kd string, _metric string"
-    rows = or_empty(spark, schema, read)
+def refused_series_files(spark: SparkSession, path: str) -> DataFrame:
+    """Series files that are left out as a whole: some row has too many fields."""
+    return _series_cells(spark, path).where(F.col("_extra").isNotNull()).select("file").distinct()
+
+
+def read_idle_series(spark: SparkSession, path: str, metric: str = "cpu") -> DataFrame:
+    """Idle series of the systems that the file names attribute.
+
+    System and run come from the name (``k0s-idle-3,k0s-idle-4,-cpu.csv``), as
+    a file or as a folder of part files.  A cell that is no number becomes NULL
+    and its row stays.  A file with a row of too many fields is left out whole
+    (``refused_series_files`` lists them); a file that cannot be read is an error.
+    """
+    location = F.col("file")
+    name = F.regexp_extract(location, SERIES, 1)
+    refused = broadcast_if_small(refused_series_files(spark, path))
+    rows = _series_cells(spark, path).join(refused, "file", "left_anti").select(
+        "hostname",
+        F.col("value").try_cast("double").alias("value"),
+        F.col("timestamp").try_cast("bigint").alias("timestamp"),
+        name.alias("run"),
+        F.regexp_extract(name, r"^(\w+)-idle-", 1).alias("kd"),
+        F.regexp_extract(location, SERIES, 2).alias("_metric"),
+    )
     return rows.where(
         F.col("kd").isin(ATTRIBUTABLE) & (F.col("_metric") == metric)
     ).drop("_metric")

@@ -16,14 +16,38 @@ RUN_FILE = (
     r"/(?:file_name=)?([^/=]+?)(?:/part-[^/]*)?$"
 )
 
+# part files belong to a log or marker that was written as a folder of parts
+RUN_FILES_READ = f"{{{fixed.LOG_PREFIX}*,{fixed.START_MARKER},{fixed.END_MARKER},part-*}}"
+SECONDS_PER_DAY = 86_400
 
-def read_documents(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
-    """Documents as JSON lines or Parquet."""
+
+def read_documents(
+    spark: SparkSession, path: str, form: str = "parquet", required: bool = False
+) -> DataFrame:
+    """Documents as Parquet by day (``sinks.write_documents``) or JSON lines.
+
+    Bounds on ``timestamp`` reach the scan; on stored Parquet they also choose the
+    day folders.  A broken JSON line is an error.
+    """
     schema = schemas.DOCUMENTS
-    rows = or_empty(spark, schema, lambda: spark.read.schema(schema).format(form).load(path))
+    reader = spark.read.schema(schema).format(form)
+    if form == "json":
+        reader = reader.option("mode", "FAILFAST")
+    rows = or_empty(spark, schema, lambda: reader.load(path), required)
     return rows.withColumn("value", clean_number(F.col("value")))
 
 
+def read_stored_documents(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """Stored documents of a closed time window: only its day folders are listed and read."""
+    days = f"{schemas.DOCUMENTS}, day bigint"
+    rows = or_empty(spark, days, lambda: spark.read.schema(days).parquet(path))
+    inside = F.col("timestamp").between(start, end)
+    within = F.col("day").between(start // SECONDS_PER_DAY, end // SECONDS_PER_DAY)
+    return rows.where(inside & within).drop("day").withColumn(
+        "value", clean_number(F.col("value"))
+    )
+
+
 def documents_of_tag(documents: DataFrame, tag: str, start: int, end: int) -> DataFrame:
     """The nine wanted fields of one tag inside a closed time window."""
     return documents.where(
@@ -37,14 +61,16 @@ def read_registry(spark: SparkSession, path: str, whole: bool = False) -> DataFr
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text of every file below ``{kd}/{test}/{run directory}/``.
+    """Whole text of the logs and markers below ``{kd}/{test}/{run directory}/``.
 
-    Files of a run are small; each is one row.
+    Only these three kinds of file are opened; they are small, and each is one row.
     """
     schema = "kd string, test_type string, run_dir string, file_name string, text string"
 
     def read() -> DataFrame:
-        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+        files = spark.read.text(
+            path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=RUN_FILES_READ
+        )
         location = F.col("_metadata.file_path")
         return files.select(
             *[
@@ -52,6 +78,12 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
                 for place, name in enumerate(["kd", "test_type", "run_dir", "file_name"], start=1)
             ],
             F.col("value").alias("text"),
-        ).where(F.col("run_dir") != "")
+        ).where(
+            (F.col("run_dir") != "")
+            & (
+                F.col("file_name").startswith(fixed.LOG_PREFIX)
+                | F.col("file_name").isin(fixed.START_MARKER, fixed.END_MARKER)
+            )
+        )
 
     return or_empty(spark, schema, read)
