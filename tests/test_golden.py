@@ -188,19 +188,20 @@ def test_energy_per_pod_and_operation(spark):
 
 def test_security_verdicts(spark):
     systems = fixed.published(spark)
-    one = verdicts.verdict_p1(systems).first()
+    one = verdicts.verdict_p1(verdicts.system_correlations(systems)).first()
     assert one.verdict == "SUPPORTED (strong)"
     assert near(one.statistics["spearman_rho_cpu"], 0.894427190999916)
     assert near(one.statistics["spearman_p_cpu"], 0.040519326353834)
-    twelve = verdicts.verdict_p12(systems).first()
+    twelve = verdicts.verdict_p12(verdicts.system_correlations(systems)).first()
     assert near(twelve.statistics["spearman_rho"], 0.917662935482247)
     assert near(twelve.statistics["spearman_p"], 0.028008456010146)
-    assert verdicts.verdict_p14(systems).first().verdict == "SUPPORTED (strong)"
+    assert verdicts.verdict_p14(verdicts.system_correlations(systems)).first().verdict == "SUPPORTED (strong)"
 
 
 def test_efficiency_verdict(spark):
+    published = fixed.published(spark)
     row = verdicts.verdict_p10(
-        comparisons.throughput_efficiency(fixed.published(spark))
+        verdicts.system_correlations(published), comparisons.throughput_efficiency(published)
     ).first()
     assert row.verdict == "SUPPORTED (strong)"
     assert near(row.statistics["spearman_rho"], 0.2)
@@ -217,7 +218,7 @@ def test_growth_verdict(spark):
         [("k0s", "cp_heavy_12client", 9.210057111018246)],
         "kd string, test_type string, growth_factor double",
     )
-    row = verdicts.verdict_p2(points, growth).first()
+    row = verdicts.verdict_p2(verdicts.system_correlations(points), growth).first()
     assert row.verdict == "SUPPORTED (strong)"
     assert near(row.statistics["spearman_rho_svc_create"], 0.3)
 

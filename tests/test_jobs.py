@@ -31,6 +31,8 @@ def test_ingest_job_skips_what_exists(spark, tmp_path):
     assert states["k0s", 1] == "skipped" and states["k0s", 4] == "ok"
     assert states["openYurt", 3] == "tag_failed" and states["openYurt", 5] == "not_found"
     assert sources.read_telemetry(spark, f"{tmp_path}/runs").count() > before
+    sizes = spark.read.json(f"{tmp_path}/extraction_manifest").where("status = 'ok'").collect()
+    assert all(r.file_kb > 0 and r.n_files >= 1 for r in sizes)
 
 
 def test_energy_job(spark, tmp_path):
@@ -68,3 +70,10 @@ def test_hypotheses_job(spark, tmp_path):
     assert found["P1"] == found["P2"] == "SUPPORTED (strong)"
     summary = rows_of(spark, tmp_path / "verdict_summary")[0]
     assert summary.n_total == "6"
+    numbers = rows_of(spark, tmp_path / "verdict_numbers")
+    names = {r.name for r in numbers}
+    assert {"startup_at_scale_ms", "service_create_median_ms", "slowdown", "growth_factor",
+            "pod_create_mann_whitney_p", "mean_edge_max_ms", "ops_per_cpu"} <= names
+    details = {r.proposition_id: r for r in spark.read.json(f"{tmp_path}/proposition_details").collect()}
+    assert details["P3"].statistics["mann_whitney_U"] > 0
+    assert {n.name for n in details["P2"].numbers} >= {"startup_at_scale_ms", "slowdown"}

@@ -84,11 +84,13 @@ CTX_SOFTNET = "system.softnet_stat"
 CTX_THROTTLE = "cpu.core_throttling"
 CTX_CSTATE = "cpuidle.cpu_cstate_residency_time"
 CGROUP_PREFIX = "k8s.cgroup."
+# the published form, class and pod apart; and the two in one group, cut apart later
+CHART_ID_PARTS_PATTERN = r"^cgroup_k8s_kubepods_(\w+)_(pod[0-9a-f-]+)_[0-9a-f]+\..+"
 CHART_ID_PATTERN = r"^cgroup_k8s_kubepods_(\w+_pod[0-9a-f-]+)_[0-9a-f]+\..+"
-SYSTEM_FAMILIES = [
-    "system", "disk", "disk_ext", "net", "ip", "ipv4", "ipv6",
-    "mem", "cpufreq", "cpu", "cpuidle", "pci", "netfilter",
-]
+SYSTEM_CONTEXT_PATTERN = (
+    r"^(system\.|disk\.|disk_ext\.|net\.|ip\.|ipv4\.|ipv6\."
+    r"|mem\.|cpufreq\.|cpu\.|cpuidle\.|pci\.|netfilter\.)"
+)
 SOFTIRQ_CATEGORIES = [
     "BLOCK", "HI", "HRTIMER", "IRQ_POLL", "NET_RX", "NET_TX", "RCU", "SCHED", "TASKLET", "TIMER",
 ]

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
 
-SYSTEM_CONTEXT_PATTERN = "^(" + "|".join(f"{name}\\." for name in fixed.SYSTEM_FAMILIES) + ")"
-
 
 def clean_number(value: Column) -> Column:
     """NaN becomes NULL, so aggregates skip it."""
@@ -25,7 +23,7 @@ def epoch_seconds(stamp: str) -> Column:
 
 def is_system_context(context: Column) -> Column:
     """Context belongs to one of the system families."""
-    return context.rlike(SYSTEM_CONTEXT_PATTERN)
+    return context.rlike(fixed.SYSTEM_CONTEXT_PATTERN)
 
 
 def is_worker_core(metric: Column) -> Column:

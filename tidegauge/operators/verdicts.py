@@ -45,6 +45,29 @@ def _verdict(
     )
 
 
+# What the verdicts correlate over systems: name and the two columns.
+CORRELATED = {
+    "cpu": ("security_pct", "idle_cpu_pct"),
+    "ram": ("security_pct", "idle_ram_mib"),
+    "svc_create": ("idle_cpu_pct", "median_ms"),
+    "efficiency": ("dp_ops", "idle_cpu_inverse"),
+    "setup": ("security_pct", "setup_hours"),
+}
+
+
+def system_correlations(points: DataFrame) -> DataFrame:
+    """All correlations of the verdicts in one row, from one row of points per system.
+
+    Columns that ``points`` lacks are taken as NULL, and so are their correlations.
+    """
+    inverse = F.try_divide(F.lit(1.0), F.col("idle_cpu_pct"))
+    known = points.withColumn("idle_cpu_inverse", inverse)
+    for column in {c for pair in CORRELATED.values() for c in pair}:
+        if column not in known.columns:
+            known = known.withColumn(column, F.lit(None).cast("double"))
+    return _system_correlations(known, **CORRELATED)
+
+
 def _system_correlations(points: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
     """One row with ``spearman_rho_{name}`` and ``spearman_p_{name}`` per pair."""
     entries = F.array(
@@ -68,11 +91,11 @@ def _system_correlations(points: DataFrame, **pairs: tuple[str, str]) -> DataFra
     )
 
 
-def verdict_p1(points: DataFrame) -> DataFrame:
+FOOTPRINT = ["spearman_rho_cpu", "spearman_rho_ram", "spearman_p_cpu", "spearman_p_ram"]
+
+
+def verdict_p1(correlations: DataFrame) -> DataFrame:
     """Security goes with idle CPU and idle RAM (both must hold)."""
-    stats = _system_correlations(
-        points, cpu=("security_pct", "idle_cpu_pct"), ram=("security_pct", "idle_ram_mib")
-    )
     cpu, ram = F.col("spearman_rho_cpu"), F.col("spearman_rho_ram")
     strength = graded(
         ((cpu > 0.7) & (ram > 0.7), "strong"),
@@ -81,24 +104,22 @@ def verdict_p1(points: DataFrame) -> DataFrame:
         otherwise="inconclusive",
     )
     supported = F.coalesce((cpu > 0.3) & (ram > 0.3), F.lit(False))
-    return _verdict(stats, "P1", supported, strength, stats.columns)
+    return _verdict(correlations, "P1", supported, strength, FOOTPRINT)
 
 
-def verdict_p2(points: DataFrame, growth: DataFrame) -> DataFrame:
+def verdict_p2(correlations: DataFrame, growth: DataFrame) -> DataFrame:
     """System CPU grows under load.
 
-    ``points`` has idle CPU and service-create latency per system; ``growth``
-    has the growth factor per (kd, test), of which the k0s control-plane one
-    decides.
+    ``growth`` has the growth factor per (kd, test), of which the k0s
+    control-plane one decides.
     """
     wanted = (F.col("kd") == "k0s") & (F.col("test_type") == "cp_heavy_12client")
     factor = growth.where(wanted).agg(
         F.max("growth_factor").alias("k0s_system_cpu_growth_factor")
     )
-    correlation = _system_correlations(points, svc_create=("idle_cpu_pct", "median_ms"))
     # both sides are global aggregates of one row
     stats = factor.withColumn("_one", F.lit(1)).join(
-        correlation.withColumn("_one", F.lit(1)), "_one"
+        correlations.withColumn("_one", F.lit(1)), "_one"
     )
     grown, rho = F.col("k0s_system_cpu_growth_factor"), F.col("spearman_rho_svc_create")
     supported = F.coalesce(grown > 3.0, F.lit(False)) | F.coalesce(rho > 0.3, F.lit(False))
@@ -138,16 +159,12 @@ def verdict_p3(test: DataFrame, means: DataFrame) -> DataFrame:
     )
 
 
-def verdict_p10(efficiency: DataFrame) -> DataFrame:
+def verdict_p10(correlations: DataFrame, efficiency: DataFrame) -> DataFrame:
     """Efficient systems do the same work at lower cost.
 
-    ``efficiency`` has one row per system with throughput, idle CPU, operations
-    per CPU and the spread.
+    ``efficiency`` has one row per system with operations per CPU and the spread.
     """
-    stats = _system_correlations(
-        efficiency.withColumn("_inverse", F.try_divide(F.lit(1.0), F.col("idle_cpu_pct"))),
-        efficiency=("dp_ops", "_inverse"),
-    ).withColumn("_one", F.lit(1))
+    stats = correlations.withColumn("_one", F.lit(1))
 
     def of(kd: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("kd") == kd, F.col("ops_per_cpu"))), F.lit(0.0))
@@ -172,10 +189,11 @@ def verdict_p10(efficiency: DataFrame) -> DataFrame:
     )
 
 
-def verdict_p12(points: DataFrame) -> DataFrame:
+def verdict_p12(correlations: DataFrame) -> DataFrame:
     """Security goes with set-up effort."""
-    stats = _system_correlations(points, setup=("security_pct", "setup_hours")).withColumnsRenamed(
-        {"spearman_rho_setup": "spearman_rho", "spearman_p_setup": "spearman_p"}
+    stats = correlations.select(
+        F.col("spearman_rho_setup").alias("spearman_rho"),
+        F.col("spearman_p_setup").alias("spearman_p"),
     )
     rho = F.col("spearman_rho")
     strength = graded((rho > 0.7, "strong"), (rho > 0.4, "moderate"), otherwise="weak")
@@ -183,11 +201,8 @@ def verdict_p12(points: DataFrame) -> DataFrame:
     return _verdict(stats, "P12", supported, strength, stats.columns)
 
 
-def verdict_p14(points: DataFrame) -> DataFrame:
+def verdict_p14(correlations: DataFrame) -> DataFrame:
     """A small footprint goes with weak security (either resource suffices)."""
-    stats = _system_correlations(
-        points, cpu=("idle_cpu_pct", "security_pct"), ram=("idle_ram_mib", "security_pct")
-    )
     cpu, ram = F.col("spearman_rho_cpu"), F.col("spearman_rho_ram")
     strength = graded(
         ((cpu > 0.7) | (ram > 0.7), "strong"),
@@ -196,7 +211,7 @@ def verdict_p14(points: DataFrame) -> DataFrame:
         otherwise="inconclusive",
     )
     supported = F.coalesce((cpu > 0.3) | (ram > 0.3), F.lit(False))
-    return _verdict(stats, "P14", supported, strength, stats.columns)
+    return _verdict(correlations, "P14", supported, strength, FOOTPRINT)
 
 
 def evidence_rows(proposition_id: str, name: str, rows: DataFrame, value: str) -> DataFrame:

@@ -18,14 +18,11 @@ from tidegauge.session import new_table_path, written
 from tidegauge.sinks import tables as sinks
 from tidegauge.sources import telemetry as sources
 
-PUBLISHED = """published(kd, security_pct, idle_cpu_pct, idle_ram_mib, setup_hours, dp_ops, dp_latency_ms, startup_120_ms) AS (
-  SELECT kd, CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE), CAST(d AS DOUBLE), CAST(e AS DOUBLE),
-    CAST(f AS DOUBLE), CAST(g AS DOUBLE)
-  FROM (VALUES ('k0s', 23.69, 4.0, 370.0, 3.0, 16800.0, 11.9, 7500.0),
-    ('k3s', 7.21, 1.5, 348.0, 2.0, 17200.0, 11.6, 6800.0),
-    ('k8s', 55.0, 5.2, 415.0, 5.0, 19000.0, 10.5, 7200.0),
-    ('kubeEdge', 55.0, 6.8, 440.0, 14.0, 4750.0, 42.1, 30000.0),
-    ('openYurt', 55.0, 5.6, 425.0, 14.0, 18200.0, 11.0, 7800.0)) AS v(kd, a, b, c, d, e, f, g)
+_MEASURED = fixed.PUBLISHED_SCHEMA.replace(" string", "").replace(" double", "").split(", ")
+_SYSTEMS = ",\n    ".join(str(row) for row in fixed.PUBLISHED)
+PUBLISHED = f"""published AS (
+  SELECT kd, {", ".join(f"CAST({name} AS DOUBLE) AS {name}" for name in _MEASURED[1:])}
+  FROM (VALUES {_SYSTEMS}) AS v({", ".join(_MEASURED)})
 )"""
 
 
@@ -348,19 +345,35 @@ def footprint(t):
     return t.once("footprint", lambda: comparisons.idle_footprint(t.telemetry))
 
 
-def secured(t):
-    """Measured idle use beside the published security score."""
-    security = t.published.select("kd", "security_pct")
-    return comparisons.join_kd_constants(footprint(t), security)
+def points(t):
+    """One row per system with everything the verdicts correlate, written once."""
+
+    def build():
+        effort = t.pod_startup.groupBy("kd").agg(
+            (F.avg("medians") / 3_600_000).alias("setup_hours")
+        )
+        published = t.published.select("kd", "security_pct", "dp_ops")
+        return (
+            comparisons.join_kd_constants(footprint(t), published)
+            .join(comparisons.svc_create_median(t.api_latency), "kd", "left")
+            .join(effort, "kd", "left")
+        )
+
+    return t.once("points", build)
+
+
+def correlations(t):
+    """All correlations over systems in one row, written once."""
+    return t.once("correlations", lambda: verdicts.system_correlations(points(t)))
 
 
 def p1(t):
-    return verdicts.verdict_p1(secured(t))
+    return verdicts.verdict_p1(correlations(t))
 
 
 def p2(t):
-    points = footprint(t).join(comparisons.svc_create_median(t.api_latency), "kd")
-    return verdicts.verdict_p2(points, overhead.growth_factor(loaded(t)))
+    growth = t.once("growth", lambda: overhead.growth_factor(loaded(t)))
+    return verdicts.verdict_p2(correlations(t), growth)
 
 
 def p3(t):
@@ -370,22 +383,15 @@ def p3(t):
 
 
 def p10(t):
-    rows = comparisons.join_kd_constants(
-        footprint(t).select("kd", "idle_cpu_pct"), t.published.select("kd", "dp_ops")
-    )
-    return verdicts.verdict_p10(comparisons.throughput_efficiency(rows))
+    return verdicts.verdict_p10(correlations(t), comparisons.throughput_efficiency(points(t)))
 
 
 def p12(t):
-    effort = t.pod_startup.groupBy("kd").agg(
-        (F.avg("medians") / 3_600_000).alias("setup_hours")
-    )
-    security = t.published.select("kd", "security_pct")
-    return verdicts.verdict_p12(comparisons.join_kd_constants(effort, security))
+    return verdicts.verdict_p12(correlations(t))
 
 
 def p14(t):
-    return verdicts.verdict_p14(secured(t))
+    return verdicts.verdict_p14(correlations(t))
 
 
 VERDICT_ROWS = {"p1": p1, "p2": p2, "p3": p3, "p10": p10, "p12": p12, "p14": p14}
@@ -429,7 +435,7 @@ VERDICTS = (
 ), spread AS (
   SELECT max(dp_ops / cpu) / greatest(min(dp_ops / cpu), 1.0) AS s, max(dp_ops / cpu) FILTER (kd = 'k3s') AS k3s,
     max(dp_ops / cpu) FILTER (kd = 'kubeEdge') AS ke FROM published JOIN idle_cpu USING (kd)
-), outcomes AS (
+), outcomes AS (  -- fixed values: the thresholds of the verdict rules
   SELECT 'P1' AS proposition_id, cpu > 0.3 AND ram > 0.3 AS supported,
     CASE WHEN cpu > 0.7 AND ram > 0.7 THEN 'strong' WHEN cpu > 0.4 OR ram > 0.4 THEN 'moderate'
       WHEN cpu > 0.2 OR ram > 0.2 THEN 'weak' ELSE 'inconclusive' END AS strength, cpu AS main_statistic,

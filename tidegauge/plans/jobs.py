@@ -169,18 +169,21 @@ def run_hypotheses(
     With ``loaded`` (loaded overhead) workload shares are among the numbers.
     """
     published = fixed.published(spark)
-    points = published.select("kd", "idle_cpu_pct").join(comparisons.svc_create_median(api), "kd")
+    points = written(
+        published.join(comparisons.svc_create_median(api), "kd", "left"), "points"
+    )
+    correlations = written(verdicts.system_correlations(points), "correlations-of-systems")
     test = statistics.mann_whitney_less(
         startup.withColumn("scope", F.lit("all")), ["scope"], "medians",
         comparisons.lightweight_flag(),
     )
     rows = [
-        verdicts.verdict_p1(published),
-        verdicts.verdict_p2(points, growth),
+        verdicts.verdict_p1(correlations),
+        verdicts.verdict_p2(correlations, growth),
         verdicts.verdict_p3(test, comparisons.group_mean_ratio(startup)),
-        verdicts.verdict_p10(comparisons.throughput_efficiency(published)),
-        verdicts.verdict_p12(published),
-        verdicts.verdict_p14(published),
+        verdicts.verdict_p10(correlations, comparisons.throughput_efficiency(published)),
+        verdicts.verdict_p12(correlations),
+        verdicts.verdict_p14(correlations),
     ]
     at_scale = written(comparisons.startup_at_scale(startup), "startup-at-scale")
     slowdown = comparisons.slowdown_ratio(at_scale)
@@ -225,7 +228,7 @@ def run_hypotheses(
         "startup_by_kd_test": by_test,
         "startup_at_scale": at_scale,
         "slowdown": slowdown,
-        "service_create_median": points,
+        "service_create_median": points.select("kd", "idle_cpu_pct", "median_ms"),
         "efficiency_ranking": comparisons.efficiency_ranking(efficiency, "ops_per_cpu"),
         "idle_cpu_check": comparisons.cross_validation(
             comparisons.measured_idle_cpu(series), published

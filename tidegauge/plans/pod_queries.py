@@ -4,27 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegauge import fixed_values as fixed
 from tidegauge.functions import telemetry as cells
 from tidegauge.operators import overhead, silver
 from tidegauge.plans.inputs import TELEMETRY
 from tidegauge.plans.registry import query
 
-DEFINITIONS = """, definitions(chart_context, metric, metric_units, dims, dim_agg) AS (VALUES
-  ('k8s.cgroup.cpu', 'cpu_pct', '%', ['user', 'system'], 'sum'),
-  ('k8s.cgroup.mem_usage', 'mem_mib', 'MiB', ['ram'], 'max'),
-  ('k8s.cgroup.mem_utilization', 'mem_util_pct', '%', NULL, 'max'),
-  ('k8s.cgroup.net_net', 'net_kbps', 'kbit/s', ['received', 'sent'], 'sum'),
-  ('k8s.cgroup.io', 'io_kibs', 'KiB/s', ['read', 'write'], 'sum'),
-  ('k8s.cgroup.pgfaults', 'pgfaults', 'faults/s', ['pgfault', 'pgmajfault'], 'sum'),
-  ('k8s.cgroup.throttled', 'throttled', 'events/s', ['throttled'], 'sum'),
-  ('k8s.cgroup.cpu_some_pressure', 'cpu_pressure', '%', ['some 10'], 'max'),
-  ('k8s.cgroup.memory_some_pressure', 'mem_pressure', '%', ['some 10'], 'max')
+
+
+def _sql_list(values: list[str] | None) -> str:
+    return "NULL" if values is None else "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_DEFINED = ",\n  ".join(
+    f"('{context}', '{name}', '{units}', {_sql_list(dims)}, '{how}')"
+    for context, name, units, dims, how in fixed.POD_METRICS
+)
+DEFINITIONS = f""", definitions(chart_context, metric, metric_units, dims, dim_agg) AS (VALUES
+  {_DEFINED}
 )"""
-PARSED = TELEMETRY.rstrip() + DEFINITIONS + r""", parsed AS (
-  SELECT *, regexp_extract(chart_id, '^cgroup_k8s_kubepods_(\w+)_(pod[0-9a-f-]+)_[0-9a-f]+\..+', 2) AS pod_uuid,
-    regexp_extract(chart_id, '^cgroup_k8s_kubepods_(\w+)_(pod[0-9a-f-]+)_[0-9a-f]+\..+', 1) AS qos_class
+PARSED = TELEMETRY.rstrip() + DEFINITIONS + f""", parsed AS (
+  SELECT *, regexp_extract(chart_id, '{fixed.CHART_ID_PARTS_PATTERN}', 2) AS pod_uuid,
+    regexp_extract(chart_id, '{fixed.CHART_ID_PARTS_PATTERN}', 1) AS qos_class
   FROM telemetry
-  WHERE regexp_matches(chart_id, '^cgroup_k8s_kubepods_(\w+)_(pod[0-9a-f-]+)_[0-9a-f]+\..+')
+  WHERE regexp_matches(chart_id, '{fixed.CHART_ID_PARTS_PATTERN}')
 )
 """
 SILVER = PARSED.rstrip() + """, kept AS (
@@ -229,10 +232,7 @@ def idle_overhead(t):
     return idle(t)
 
 
-PIVOT_METRICS = [
-    "cpu_pct", "cpu_pressure", "io_kibs", "mem_mib", "mem_pressure", "mem_util_pct", "net_kbps",
-    "pgfaults", "throttled",
-]
+PIVOT_METRICS = fixed.POD_METRIC_NAMES
 
 
 @query(
