@@ -571,7 +571,7 @@ def test_resolve_and_extract(spark, monkeypatch):
     expected += [("k3s", 1, at - 5000) for at in range(5000, 20001, 500)]
     assert rows == sorted(expected)
     # the shuffled form for many windows gives the same rows
-    monkeypatch.setattr(ingest, "fits_broadcast", lambda _: False)
+    monkeypatch.setattr(ingest, "rows_fit_broadcast", lambda *_: False)
     assert run() == (resolved, rows)
 
 

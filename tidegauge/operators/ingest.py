@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
 from tidegauge.functions import tags
-from tidegauge.session import checkpointed, fits_broadcast
+from tidegauge.session import checkpointed, rows_fit_broadcast
 
 ENTRY = ["kd", "test_type", "run_num"]
 SECONDS_PER_DAY = 86_400
@@ -116,7 +116,9 @@ def documents_in_windows(
     large part of all documents is spread over its hours.
     """
     tagged = documents.withColumn("candidate", F.col("labels.tag"))
-    bounds = windows.agg(F.min("start_ts").alias("first"), F.max("end_ts").alias("last")).first()
+    bounds = windows.agg(
+        F.count("*").alias("n"), F.min("start_ts").alias("first"), F.max("end_ts").alias("last")
+    ).first()
     if bounds["first"] is not None and bounds["last"] is not None:
         first, last = bounds["first"], bounds["last"]
         tagged = tagged.where(F.col("timestamp").between(first, last))
@@ -124,7 +126,7 @@ def documents_in_windows(
             days = F.col("day").between(first // SECONDS_PER_DAY, last // SECONDS_PER_DAY)
             tagged = tagged.where(days).drop("day")
     inside = F.col("timestamp").between(F.col("start_ts"), F.col("end_ts"))
-    if fits_broadcast(windows):
+    if rows_fit_broadcast(bounds["n"], windows.schema):
         return tagged.join(F.broadcast(windows), "candidate").where(inside)
     if existence:
         tagged = tagged.select("candidate", "timestamp").distinct()

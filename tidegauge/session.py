@@ -137,6 +137,11 @@ def declared_width(schema: T.StructType) -> int:
     )
 
 
+def rows_fit_broadcast(rows: int, schema: T.StructType) -> bool:
+    """Whether that many rows are small by their declared width."""
+    return rows * declared_width(schema) <= BROADCAST_BYTES
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """Whether ``df`` is small: its rows times their declared width, or a row limit."""
     if max_rows is None:
