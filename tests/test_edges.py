@@ -396,6 +396,27 @@ def test_unlisted_names_are_not_lost(spark):
     assert interrupts.cstate_breakdown(rows, fixed.nodes(spark)).first().other_mean == 7.0
 
 
+def test_moments_give_both_frequency_tables(spark):
+    rng = random.Random(3)
+    rows = telemetry(
+        spark,
+        *[
+            reading(fixed.CTX_FREQ, "cpu0", rng.choice([None, rng.uniform(600, 1800)]), at=i % 7,
+                    kd=rng.choice(["k0s", "k3s"]), run=rng.randrange(1, 4))
+            for i in range(300)
+        ],
+    )
+    moments = frequency.run_moments(rows)
+    for direct, derived in (
+        (frequency.freq_stats(rows), frequency.stats_of(moments)),
+        (frequency.freq_below_threshold(rows), frequency.below_of(moments)),
+    ):
+        assert direct.columns == derived.columns
+        pairs = zip(*[df.orderBy("kd", *direct.columns[1:2], "min_freq_mhz").collect() for df in (direct, derived)])
+        for a, b in pairs:
+            assert all(math.isclose(x, y, rel_tol=1e-9) if isinstance(x, float) else x == y for x, y in zip(a, b))
+
+
 def test_runs_with_one_kind_of_interrupt_stay(spark):
     rows = telemetry(spark, reading(fixed.CTX_IRQ, "i", 40.0)).unionByName(
         telemetry(spark, reading(fixed.CTX_SOFTIRQ, "TIMER", 10.0)).withColumn("run", F.lit(2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
@@ -62,6 +62,64 @@ def freq_below_threshold(
     )
 
 
+def run_moments(
+    telemetry: DataFrame, threshold: float = fixed.FREQ_MAX_MHZ * fixed.LOW_FREQ_SHARE
+) -> DataFrame:
+    """Per run: count, mean, deviation, minimum and share below the threshold.
+
+    Both frequency tables follow from this one pass (``stats_of``, ``below_of``).
+    """
+    return (
+        worker_frequencies(telemetry)
+        .groupBy(*RUN)
+        .agg(
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            F.min("value").alias("least"),
+            F.stddev_pop("value").alias("deviation"),
+            F.avg(F.when(F.col("value") < threshold, 100.0).otherwise(0.0)).alias("pct_below"),
+            F.count_distinct("relative_time").alias("n_samples"),
+        )
+        .withColumn("threshold_mhz", F.lit(float(threshold)))
+    )
+
+
+def stats_of(moments: DataFrame) -> DataFrame:
+    """``freq_stats`` from the moments of runs.
+
+    Squares about the pooled mean are those about the run means plus those of the
+    run means themselves; the windows span the runs of a test.
+    """
+    test = Window.partitionBy(*TEST)
+    n = F.col("n")
+    pooled = F.try_divide(F.sum(n * F.col("mean")).over(test), F.sum(n).over(test))
+    square = n * (F.col("deviation") * F.col("deviation") + F.pow(F.col("mean") - pooled, 2))
+    return (
+        moments.withColumns({"_mean": pooled, "_square": square})
+        .groupBy(*TEST)
+        .agg(
+            F.max("_mean").alias("mean_freq_mhz"),
+            F.min("least").alias("min_freq_mhz"),
+            F.sqrt(F.try_divide(F.sum("_square"), F.sum("n"))).alias("std_freq_mhz"),
+        )
+        .withColumn("freq_cv", variation(F.col("mean_freq_mhz"), F.col("std_freq_mhz")))
+    )
+
+
+def below_of(moments: DataFrame) -> DataFrame:
+    """``freq_below_threshold`` from the moments of runs."""
+    return moments.select(
+        *RUN,
+        F.col("mean").alias("mean_freq_mhz"),
+        F.col("least").alias("min_freq_mhz"),
+        F.col("pct_below").alias("pct_below_threshold"),
+        "n_samples",
+        F.col("deviation").alias("freq_std_mhz"),
+        "threshold_mhz",
+        variation(F.col("mean"), F.col("deviation")).alias("freq_cv"),
+    )
+
+
 def throttle_runs(telemetry: DataFrame) -> DataFrame:
     """Per run: throttle events per second summed over the master's cores."""
     seconds = (

@@ -91,7 +91,8 @@ def run_energy(telemetry: DataFrame, out: str) -> None:
     irq_runs = written(interrupts.irq_run_rate(tests), "irq-runs")
     soft_runs = written(interrupts.softirq_runs(tests), "softirq-runs")
     throttle = written(frequency.throttle_rate(tests), "throttle")
-    speeds = written(frequency.freq_stats(tests), "freq-stats")
+    moments = written(frequency.run_moments(tests), "freq-moments")
+    speeds = written(frequency.stats_of(moments), "freq-stats")
     rates = interrupts.irq_rate(irq_runs)
     correlations = written(comparisons.freq_latency_corr(speeds, published), "correlations")
     results = {
@@ -113,7 +114,7 @@ def run_energy(telemetry: DataFrame, out: str) -> None:
         "throttling_rates": throttle,
         "throttling_zero": frequency.all_zero_throttle(throttle),
         "frequency_distributions": speeds,
-        "frequency_throttling": frequency.freq_below_threshold(tests),
+        "frequency_throttling": frequency.below_of(moments),
         "frequency_latency": frequency.with_stars(correlations),
         # the same table under its older name
         "throttling_latency": correlations,

@@ -17,13 +17,15 @@ def normalised(telemetry: DataFrame) -> DataFrame:
     return telemetry.withColumn("value", clean_number(F.col("value")))
 
 
-def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
+def read_telemetry(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
     """Telemetry partitioned by kd, test_type and run.
 
-    A predicate on the run key selects folders without opening files.
+    A predicate on the run key selects folders without opening files.  With
+    ``required`` an absent path is an error: pass it for the root of a job, whose
+    results an empty table would overwrite.
     """
     schema = schemas.TELEMETRY_PARTITIONED
-    rows = or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(path))
+    rows = or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(path), required)
     return normalised(rows)
 
 
