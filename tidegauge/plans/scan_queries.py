@@ -124,11 +124,22 @@ def idle_series(t):
     )
 
 
-@query("src_silver", ctes=SILVER, sql="SELECT * FROM silver", rounds="value")
+@query(
+    "src_silver",
+    ctes=SILVER,
+    sql="""SELECT *, 'all' AS scope FROM silver
+    UNION ALL SELECT *, 'k0s' FROM silver WHERE kd = 'k0s'""",
+    rounds="value",
+)
 def src_silver(t):
+    # the stored table whole, and by a predicate that chooses one folder
     path = new_table_path(t.spark, "silver")
     sinks.write_silver(t.silver, path)
-    return sources.read_silver(t.spark, path)
+    stored = sources.read_silver(t.spark, path)
+    one = stored.where(F.col("kd") == "k0s")
+    return stored.withColumn("scope", F.lit("all")).unionByName(
+        one.withColumn("scope", F.lit("k0s"))
+    )
 
 
 @query(
