@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidegauge.llm import context_mixing, decontamination, mixing, near_duplicates, personal_data, warc_packages
@@ -100,6 +101,17 @@ def test_classes_on_edges(spark, edge_docs):
     assert near_duplicates.one_of_each(edge_docs.limit(0)).count() == 0
 
 
+def test_bloom_filter_misses_nothing(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    for bits in (1 << 27, 1 << 10):  # ample, and saturated
+        perhaps = near_duplicates.may_be_in(keys, bits)
+        assert keys.where(perhaps(F.col("h"))).count() == 5000
+    others = spark.range(10_000, 30_000).select(F.xxhash64("id").alias("h"))
+    perhaps = near_duplicates.may_be_in(keys)
+    assert others.where(perhaps(F.col("h"))).count() < 800
+    assert others.where(near_duplicates.may_be_in(keys.limit(0))(F.col("h"))).count() == 0
+
+
 def test_one_of_equal_ids_stays(spark):
     rows = [(7, "some words that repeat"), (7, "some words that repeat"), (7, "Some words that repeat"), (None, "q"), (None, "q")]
     left = near_duplicates.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -414,9 +426,12 @@ def test_scores_against_brute_force(spark):
 def test_join_gives_what_frequent_words_give(spark):
     """A count that comes by the join changes the score as if the task had known it."""
     logs, counts = np.array([-3.0, -5.0, -2.0]), np.array([40.0, 7.0, 0.0])
-    ids = np.array([0, 1, 0, 2, 1])
-    full, _ = context_mixing.document_logs(logs[ids], counts[ids], ids, 0.3, 100, 50.0)
-    part, lift = context_mixing.document_logs(logs[ids], np.full(5, -1.0), ids, 0.3, 100, 50.0)
+    ids, start = np.array([0, 1, 0, 2, 1, 0, 0]), np.array([0, 5])
+    before = np.concatenate([context_mixing.seen_before(ids[:5]), context_mixing.seen_before(ids[5:])])
+    assert before.tolist() == [0, 0, 1, 0, 1, 0, 1]
+    full, _ = context_mixing.document_logs(logs[ids], counts[ids], before, start, 0.3, 100, 50.0)
+    part, lift = context_mixing.document_logs(logs[ids], np.full(7, -1.0), before, start, 0.3, 100, 50.0)
+    assert full[5] == full[0] and np.allclose(full[6], np.log10((1 - 0 / 51) * (0.3 * 1e-3 + 0.7 * 0.4)))
     assert np.allclose(full, part + np.log10(1 + counts[ids] * 10.0**lift))
 
 
@@ -436,8 +451,10 @@ def test_words_of_a_text_share_one_probability():
     p = 10.0 ** mixer.word_logs(words)
     assert 0.9 < p.sum() <= 1.0
     # Copies of a word cost less and less inside a text.
-    ids = np.zeros(40, int)
-    logs, _ = context_mixing.document_logs(np.full(40, -4.0), np.zeros(40), ids, 0.5, 10, 50.0)
+    before = context_mixing.seen_before(np.zeros(40, int))
+    logs, _ = context_mixing.document_logs(
+        np.full(40, -4.0), np.zeros(40), before, np.array([0]), 0.5, 10, 50.0
+    )
     assert logs[-1] > logs[0]
 
 

@@ -24,9 +24,10 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import LOWER, UPPER, arrow_pass, shingle_hashes, text_bytes
@@ -287,6 +288,43 @@ def _confirmed(how: NearDuplicates) -> Callable[[pa.Table], list[tuple[bytes, by
     return work
 
 
+def _identity(doc_id: Column, text_hash: Column) -> Column:
+    """One hash of what a row is found by."""
+    return F.xxhash64(F.coalesce(doc_id.cast("bigint"), F.lit(-1)), text_hash)
+
+
+def may_be_in(keys: DataFrame, most_bits: int = 1 << 27) -> Callable[[Column], Column]:
+    """A test of a 64-bit hash against those in ``keys`` (column h): surely not, or perhaps.
+
+    A Bloom filter of 16 bits a key and at most ``most_bits`` (16 MB), which bounds
+    what is sent to the tasks.  Beyond that it answers perhaps more often; whatever
+    passes is joined exactly, so nothing depends on it but the size of a shuffle.
+    """
+    wanted = 16 * max(1, keys.count())
+    bits = min(most_bits, 1 << max(16, (wanted - 1).bit_length()))
+    mask = F.lit(bits - 1).cast("bigint")
+    places = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
+    words = (
+        keys.select(places.alias("place"))
+        .groupBy(F.shiftright("place", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits"))
+        .toArrow()
+    )
+    filled = np.zeros(bits >> 6, np.int64)
+    filled[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    filled = filled.view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def perhaps(h: pd.Series) -> pd.Series:
+        x = h.to_numpy().astype(np.int64).view(np.uint64)
+        hit = np.ones(len(x), bool)
+        for place in (x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)):
+            hit &= (filled[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(hit)
+
+    return perhaps
+
+
 def families(texts: DataFrame, how: NearDuplicates) -> DataFrame:
     """(node, root) of texts tied by enough equal coordinates."""
     postings = written(_postings(texts, how), "postings")
@@ -316,7 +354,10 @@ def confirmed_links(docs: DataFrame, texts: DataFrame, family: DataFrame, how: N
         F.coalesce("doc_id", F.lit(-1)).alias("w_id"), F.col("text_hash").alias("w_hash"),
         F.col("key").alias("w_key"), "root",
     )
-    full = _identified(docs).join(
+    # Only texts that are perhaps in a family are shuffled.
+    perhaps = may_be_in(members.select(_identity(F.col("doc_id"), F.col("text_hash")).alias("h")))
+    found = _identified(docs).where(perhaps(_identity(F.col("doc_id"), F.col("text_hash"))))
+    full = found.join(
         wanted,
         (F.coalesce("doc_id", F.lit(-1)) == F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")),
     ).select("w_key", "root", "text")
@@ -390,8 +431,14 @@ def one_of_each(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> Data
         .select(F.coalesce("doc_id", F.lit(-1)).alias("_g_id"), F.col("text_hash").alias("_g_hash"))
         .distinct()
     )
-    left = docs.join(
-        gone, (doc_id == F.col("_g_id")) & (F.xxhash64("text") == F.col("_g_hash")), "left_anti"
+    gone = written(gone, "gone")
+    # Rows that are surely not among them stay as they are, without a shuffle.
+    perhaps = may_be_in(gone.select(_identity(F.col("_g_id"), F.col("_g_hash")).alias("h")))
+    unsure = perhaps(_identity(F.col("doc_id"), F.xxhash64("text")))
+    left = docs.where(~unsure).unionByName(
+        docs.where(unsure).join(
+            gone, (doc_id == F.col("_g_id")) & (F.xxhash64("text") == F.col("_g_hash")), "left_anti"
+        )
     )
     equal = classes.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1")
     if equal.limit(1).count():
