@@ -36,7 +36,7 @@ class MixParameters:
     repeats: int = 3
     block: int = 4096
     slots: int = 1 << 17
-    bucket: int = 1 << 15
+    bucket: int = 1 << 13
 
 
 def sized(docs: DataFrame) -> DataFrame:
