@@ -88,8 +88,18 @@ def arrow_pass(
 
 
 def hashed_sample(df: DataFrame, rows: int, *order: str) -> DataFrame:
-    """``rows`` rows in the order of a hash of ``order``: a fixed, bounded sample."""
+    """At most ``rows`` rows in the order of a hash of ``order``: a fixed, bounded sample.
+
+    Every task sends its first rows to be merged.  Of a large table, rows are
+    therefore first thinned by the same hash to about twice the number wanted, so
+    that what is sent does not grow with the number of tasks.  ``df`` is read
+    twice; pass it written if it is dear.
+    """
     key = F.xxhash64(*[F.col(c) for c in order], F.lit("sample"))
+    total = df.count()
+    if total > 2 * rows:
+        width = 1 << 30
+        df = df.where(F.pmod(key, F.lit(width)) < max(1, int(width * (2 * rows / total))))
     return df.orderBy(key, *order).limit(rows)
 
 

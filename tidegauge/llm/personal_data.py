@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import arrow_pass, hashed_sample, text_bytes
+from tidegauge.session import written
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["other", *KINDS]
@@ -306,7 +307,9 @@ def fit_field(docs: DataFrame, how: FieldParameters = FieldParameters()) -> Fiel
     Of a longer text, a stretch of ``how.words`` words at a hashed place is used.
     Without any such text the field labels nothing.
     """
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h")).distinct()
+    some = written(
+        docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h")).distinct(), "candidate-texts"
+    )
     # Bounded by its parameter, so it may be broadcast.
     chosen = F.broadcast(hashed_sample(some, how.texts, "h"))
     texts = docs.select("text", F.xxhash64("text").alias("h")).join(chosen, "h")

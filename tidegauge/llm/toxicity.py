@@ -179,7 +179,9 @@ def fit_toxicity(
             names=["doc_id", "toxic", "part", "x"],
         )
 
-    featured = arrow_pass(taught, work, "doc_id bigint, toxic int, part bigint, x array<double>")
+    featured = written(
+        arrow_pass(taught, work, "doc_id bigint, toxic int, part bigint, x array<double>"), "toxic-features"
+    )
     rows = hashed_sample(featured, how.labelled, "doc_id", "x").collect()
     x = np.array([r["x"] for r in rows]).reshape(-1, N_FEATURES)
     y = np.array([r["toxic"] for r in rows], float)
