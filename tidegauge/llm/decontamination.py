@@ -93,7 +93,7 @@ def inverse_frequencies(docs: DataFrame, how: DecontaminationParameters) -> np.n
             for raw in text_bytes(batch.column("text")):
                 # A column beyond the hashed words counts the documents.
                 counts[-1] += 1
-                counts[np.unique(columns.of(plain_words(raw)))] += 1
+                counts[columns.of(list(set(plain_words(raw))))] += 1
         used = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["w", "n"])
 
