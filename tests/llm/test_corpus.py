@@ -189,6 +189,48 @@ def test_planted_leaks_are_found(spark, edge_docs):
     assert decontamination.without_leaks(docs.limit(0), spaces, how).count() == 0
 
 
+def test_copies_beside_repeated_lines_are_found(spark):
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(600)]
+    texts = [r.choices(vocab, k=400) for _ in range(40)]
+    items = [r.choices(vocab, k=n) for n in range(15, 60, 4)]
+    beside = (["rare"], ["read", "more"], [*items[0][:2]])
+    rows = [(-i, " ".join(t)) for i, t in enumerate(texts, 1)]
+    rows += [
+        (3 * i + k, " ".join([*(f * 48)[:48], *item, *(f * 200)[:200]]))
+        for i, item in enumerate(items)
+        for k, f in enumerate(beside)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    spaces = decontamination.latent_spaces(docs, bench)
+    got = {x["doc_id"]: list(x["item_ids"]) for x in decontamination.benchmark_leaks(docs, spaces).collect()}
+    assert got == {i: [i // 3] if i >= 0 else [] for i, _ in rows}
+
+
+def test_candidates_hold_all_that_words_would_settle():
+    r = random.Random(9)
+    weight, times = np.array([5.0, 1.0, 3.0, 0.5]), np.array([1, 3, 2, 1])
+    words = np.repeat(np.arange(4), times)
+    for share in (0.65, 0.8, 1.0):
+        least = min(
+            weight[list({words[i] for i in kept})].sum()
+            for kept in itertools.combinations(range(7), math.ceil(share * 7))
+        )
+        assert decontamination._needed(weight, times, share) <= least + 1e-9
+    how = decontamination.DecontaminationParameters()
+    column = np.full(how.dims, -1, np.int64)
+    item = [b"%d" % i for i in range(40)]
+    c = decontamination._columns(item, how.dims)
+    column[c] = np.arange(40)
+    reach = np.full((40, 1), 1 / 26 / 0.999, np.float32)
+    space = decontamination.LatentSpace(column, reach, [(3, np.array([0]))], [item], [(1, item)])
+    for _ in range(200):
+        kept = sorted(r.sample(range(35), 21)) + [35, 36, 37, 38, 39]
+        text = [b"x"] * r.randrange(20_000) + [item[i] for i in kept] + [b"x"] * r.randrange(300)
+        assert decontamination.leaks_in(text, space, decontamination.WordColumns(how.dims), how) == {1: 26 / 40}
+
+
 # --- personal data --------------------------------------------------------------------------
 
 

@@ -4,10 +4,10 @@
 2. Benchmark items are cut into passages, weighted by TF-IDF, and taken in blocks.
    A randomised SVD of each block, whose products are summed by Spark tasks, gives
    a latent space that holds nearly all of its energy.
-3. Every document is cut into overlapping windows.  A window's cosine with a passage
-   is taken in that space, against the window's full length.  Upper bounds from
-   word weights, one for each group of passages, skip windows that cannot reach the
-   threshold.
+3. Every document is cut into overlapping windows that hold any span of a passage's
+   length.  Each distinct word of a window adds its product with a passage in that
+   space.  The sum is held against what the passage needs, not against the window's
+   length, so foreign or repeated words beside a copy take nothing from it.
 4. Candidates are settled on words: the longest common subsequence within a span of
    about the item's length, or a shorter one together with the item's answer, its
    last words, in one piece.
@@ -33,8 +33,9 @@ _MARKS = b".,;:!?\"'()[]{}"
 
 @dataclass(frozen=True)
 class DecontaminationParameters:
-    """Windows of ``window`` words at steps of half; ``block`` passages share a latent space.
+    """Passages of ``window`` words at steps of half; ``block`` passages share a latent space.
 
+    Its ``rank`` may reach the block's size, so that no passage is cut off.
     An item of fewer than ``least_words`` words is not looked for: it would turn
     up by chance.  ``subsequence`` is the share of an item's words that must
     recur in order; with its last ``answer`` words in one piece,
@@ -44,10 +45,8 @@ class DecontaminationParameters:
     window: int = 64
     block: int = 256
     dims: int = 1 << 16
-    rank: int = 240
-    groups: int = 32
-    energy: float = 0.99
-    cosine: float = 0.2
+    rank: int = 256
+    energy: float = 1.0
     subsequence: float = 0.8
     with_answer: float = 0.65
     answer: int = 5
@@ -131,27 +130,46 @@ def benchmark_passages(benchmark: DataFrame, how: DecontaminationParameters) ->
 
 @dataclass
 class LatentSpace:
-    """One block of passages: column of each hashed word, basis, and latent passages.
+    """One block of passages: column of each hashed word, and what windows are held against.
 
-    ``reach`` bounds, per column and group of passages, what one occurrence of a word
-    can add to a cosine before it is divided by the window's length.
+    ``reach`` has, per column and passage, the product of a word with the passage in
+    the latent space, as a share of what the passage needs to be a candidate.
+    ``halves`` lists how many half windows surely hold a passage's span, and the
+    passages that need as many.
     """
 
     column: np.ndarray
-    basis: np.ndarray
-    passages: np.ndarray
-    items: list[tuple[int | None, list[bytes]]]
-    idf: np.ndarray
     reach: np.ndarray
+    halves: list[tuple[int, np.ndarray]]
+    passages: list[list[bytes]]
+    items: list[tuple[int | None, list[bytes]]]
 
 
 def _weighted(words: list[bytes], column: np.ndarray, idf: np.ndarray, dims: int) -> np.ndarray:
-    """Unit TF-IDF vector of a passage over the block's columns."""
-    c = _columns(words, dims)
-    x = np.bincount(column[c], idf[c], column.max() + 1)
+    """Unit vector of a passage over the block's columns; products of two weights are in IDF."""
+    c = np.unique(_columns(words, dims))
+    x = np.zeros(column.max() + 1)
+    x[column[c]] = np.sqrt(idf[c])
     return x / (np.linalg.norm(x) + 1e-12)
 
 
+def _span(n: int) -> int:
+    """Words that may hold the recurring part of ``n`` words."""
+    return n + n // 4 + 2
+
+
+def _needed(weight: np.ndarray, times: np.ndarray, share: float) -> float:
+    """The least sum of the weights of distinct words that ``share`` of all words can have.
+
+    ``times`` has how often each occurs.  What the others weigh is bounded by taking
+    the heaviest for its occurrences first, the last one in part.
+    """
+    lost = int(times.sum()) - int(np.ceil(share * times.sum() - 1e-9))
+    order = np.argsort(-weight / times, kind="stable")
+    gone = np.clip(lost - np.concatenate([[0], np.cumsum(times[order])[:-1]]), 0, times[order])
+    return float(weight.sum() - (weight[order] / times[order] * gone).sum())
+
+
 def latent_space(block: DataFrame, idf: np.ndarray, how: DecontaminationParameters) -> LatentSpace:
     """Randomised SVD of a block's TF-IDF matrix A.
 
@@ -185,14 +203,19 @@ def latent_space(block: DataFrame, idf: np.ndarray, how: DecontaminationParamete
     kept = int(np.searchsorted(np.cumsum(s**2) / max(1e-12, (s**2).sum()), how.energy)) + 1
     basis = (q @ vt.T[:, : min(kept, how.rank)]).astype(np.float32)
     passages = a @ basis
-    passages /= np.linalg.norm(passages, axis=1, keepdims=True) + 1e-12
-    share = np.abs(basis @ passages.T)
-    groups = np.array_split(np.arange(len(rows)), min(how.groups, len(rows)))
-    # The last row is for words that no passage has.
-    reach = np.zeros((len(used) + 1, len(groups)), np.float32)
-    reach[:-1] = np.column_stack([idf[used] * share[:, g].max(axis=1) for g in groups]) * 1.00001
+    weight = np.sqrt(idf[used])
+    reach = (weight[:, None] * (basis @ passages.T)).astype(np.float32)
     items = [(r["item_id"], [bytes(w) for w in r["item"]]) for r in rows]
-    return LatentSpace(column, basis, passages.astype(np.float32), items, idf, reach)
+    texts = [[bytes(w) for w in r["passage"]] for r in rows]
+    half = how.window // 2
+    halves: dict[int, list[int]] = {}
+    for i, words in enumerate(texts):
+        c, times = np.unique(column[_columns(words, how.dims)], return_counts=True)
+        # Passages of a longer item overlap by half: one has at least half of the item's share.
+        share = how.with_answer / (1 + (len(items[i][1]) > len(words)))
+        reach[:, i] /= max(1e-9, _needed(reach[c, i], times, share)) * (1 - 1e-3)
+        halves.setdefault(-(-(_span(len(words)) + half - 1) // half), []).append(i)
+    return LatentSpace(column, reach, [(k, np.array(i)) for k, i in sorted(halves.items())], texts, items)
 
 
 def subsequence_length(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
@@ -207,14 +230,16 @@ def subsequence_length(masks: dict[bytes, int], n: int, words: list[bytes]) -> i
     return n - v.bit_count()
 
 
-def _settled(item: list[bytes], words: list[bytes], at: int, how: DecontaminationParameters) -> float:
-    """Best share of the item's words recurring in order in a span near the window; 0 if too few."""
+def _settled(item: list[bytes], words: list[bytes], lo: int, hi: int, how: DecontaminationParameters) -> float:
+    """Best share of the item's words recurring in order in a span between ``lo`` and ``hi``; 0 if too few."""
     n = len(item)
+    near = set(words[lo:hi])
+    if sum(w in near for w in item) < how.with_answer * n:
+        return 0.0
     masks: dict[bytes, int] = {}
     for i, w in enumerate(item):
         masks[w] = masks.get(w, 0) | 1 << i
-    lo, hi = max(0, at - n), min(len(words), at + how.window + n)
-    span, step = n + n // 4 + 2, max(1, n // 8)
+    span, step = _span(n), max(1, n // 8)
     answer = item[-how.answer :]
     best = 0.0
     for s in range(lo, max(lo + 1, hi - span + step), step):
@@ -229,39 +254,53 @@ def _settled(item: list[bytes], words: list[bytes], at: int, how: Decontaminatio
     return best
 
 
+def candidates(c: np.ndarray, space: LatentSpace, how: DecontaminationParameters) -> Iterator[tuple[int, int, int]]:
+    """(passage, start, end) of the windows of a text that may hold a passage.
+
+    A word counts once for every half window it occurs in.
+    """
+    half = how.window // 2
+    n = -(-len(c) // half)
+    known = space.column[c]
+    at = np.nonzero(known >= 0)[0]
+    wide = space.reach.shape[0]
+    own = np.unique(at // half * wide + known[at])
+    if not len(own):
+        return
+    place, column = np.divmod(own, wide)
+    sums = np.zeros((n, space.reach.shape[1]), np.float32)
+    # At most a few thousand words are looked up at once, however long the text.
+    edges = np.searchsorted(place, np.arange(0, n + 128, 128))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if lo < hi:
+            first = np.nonzero(np.diff(place[lo:hi], prepend=-1))[0]
+            sums[place[lo:hi][first]] = np.add.reduceat(space.reach[column[lo:hi]], first, axis=0)
+    for k, passages in space.halves:
+        part = sums[:, passages]
+        total = part[: max(1, n - k + 1)].copy()
+        for j in range(1, min(k, n)):
+            total += part[j : j + len(total)]
+        for s, i in np.argwhere(total >= 1).tolist():
+            yield int(passages[i]), s * half, min(len(c), (s + k) * half)
+
+
 def leaks_in(
     words: list[bytes], space: LatentSpace, columns: WordColumns, how: DecontaminationParameters
 ) -> dict[int | None, float]:
     """Items found in a text, with the share of their words."""
-    n = len(words)
-    if not n:
+    if not words:
         return {}
-    c = columns.of(words)
-    half = how.window // 2
-    starts = np.arange(0, n, half)
-    # Sums over half windows; a window is two neighbours.
-    bound = np.add.reduceat(space.reach[space.column[c]], starts, axis=0)
-    square = np.add.reduceat(space.idf[c] ** 2, starts)
-    if len(starts) > 1:
-        bound, square, starts = bound[:-1] + bound[1:], square[:-1] + square[1:], starts[:-1]
-    ends = np.minimum(starts + how.window, n)
-    hopeful = bound.max(axis=1) >= how.cosine * np.sqrt(square)
     found: dict[int | None, float] = {}
-    done: set[tuple[int, int]] = set()
-    for s, e in zip(starts[hopeful].tolist(), ends[hopeful].tolist()):
-        own, count = np.unique(c[s:e], return_counts=True)
-        weight = count * space.idf[own]
-        known = space.column[own] >= 0
-        x = weight[known] @ space.basis[space.column[own[known]]]
-        cosine = space.passages @ x / np.linalg.norm(weight)
-        for i in np.nonzero(cosine >= how.cosine)[0].tolist():
-            item, text = space.items[i]
-            if found.get(item, 0.0) == 1.0 or (i, s) in done:
-                continue
-            done.add((i, s))
-            share = _settled(text, words, s, how)
-            if share:
-                found[item] = max(found.get(item, 0.0), share)
+    for i, lo, hi in candidates(columns.of(words), space, how):
+        item, text = space.items[i]
+        if found.get(item, 0.0) == 1.0:
+            continue
+        n = len(text)
+        if n > how.window:
+            lo, hi = max(0, lo - n), min(len(words), hi + n)
+        share = _settled(text, words, lo, hi, how)
+        if share:
+            found[item] = max(found.get(item, 0.0), share)
     return found
 
 
