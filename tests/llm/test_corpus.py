@@ -208,6 +208,30 @@ def test_copies_beside_repeated_lines_are_found(spark):
     assert got == {i: [i // 3] if i >= 0 else [] for i, _ in rows}
 
 
+def test_passages_of_long_items_and_short_items_are_found(spark):
+    r = random.Random(10)
+    vocab = [f"v{i}" for i in range(3000)]
+    long = [r.choices(vocab, k=n) for n in (90, 100, 150, 300)]
+    short = [["one"], ["two", "one"], r.choices(vocab, k=5), r.choices(vocab, k=7)]
+    filler = lambda n: r.choices(vocab, k=n)
+    cases = []
+    for i, item in enumerate(long):
+        for s in range(0, len(item) - 63, 32):
+            cases.append(([*filler(50), *item[s : s + 64], *filler(120)], [i]))
+        cases.append(([*filler(50), *item[:20], *filler(120)], []))
+    for i, item in enumerate(short[1:], 5):
+        cases.append(([*filler(40), *item, *filler(40)], [4, 5] if i == 5 else [i]))
+        cases.append(([*filler(40), *item[:-1], "other", item[-1], *filler(40)], [4] if i == 5 else []))
+    cases.append((short[0], [4]))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    bench = spark.createDataFrame(
+        [(i, " ".join(t)) for i, t in enumerate(long + short)], "item_id bigint, text string"
+    )
+    spaces = decontamination.latent_spaces(docs, bench)
+    got = {x["doc_id"]: list(x["item_ids"]) for x in decontamination.benchmark_leaks(docs, spaces).collect()}
+    assert got == {i: hit for i, (_, hit) in enumerate(cases)}
+
+
 def test_candidates_hold_all_that_words_would_settle():
     r = random.Random(9)
     weight, times = np.array([5.0, 1.0, 3.0, 0.5]), np.array([1, 3, 2, 1])

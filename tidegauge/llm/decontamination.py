@@ -9,8 +9,8 @@
    space.  The sum is held against what the passage needs, not against the window's
    length, so foreign or repeated words beside a copy take nothing from it.
 4. Candidates are settled on words: the longest common subsequence within a span of
-   about the item's length, or a shorter one together with the item's answer, its
-   last words, in one piece.
+   about the passage's length, or a shorter one together with its answer, the last
+   words, in one piece.  Longer items are also settled as a whole.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ class DecontaminationParameters:
     """Passages of ``window`` words at steps of half; ``block`` passages share a latent space.
 
     Its ``rank`` may reach the block's size, so that no passage is cut off.
-    An item of fewer than ``least_words`` words is not looked for: it would turn
-    up by chance.  ``subsequence`` is the share of an item's words that must
-    recur in order; with its last ``answer`` words in one piece,
-    ``with_answer`` is enough.
+    An item of fewer than ``least_words`` words must recur as it is, word by word.
+    ``subsequence`` is the share of the words of an item, or of one passage of a
+    longer item, that must recur in order; with the last ``answer`` words in one
+    piece, ``with_answer`` is enough.
     """
 
     window: int = 64
@@ -110,7 +110,7 @@ def benchmark_passages(benchmark: DataFrame, how: DecontaminationParameters) ->
         ids, passages, items = [], [], []
         for item, raw in zip(batch.column("item_id").to_pylist(), text_bytes(batch.column("text"))):
             words = plain_words(raw)
-            if len(words) < how.least_words:
+            if not words:
                 continue
             half = how.window // 2
             starts = range(0, max(1, len(words) - half), half)
@@ -213,6 +213,8 @@ def latent_space(block: DataFrame, idf: np.ndarray, how: DecontaminationParamete
         c, times = np.unique(column[_columns(words, how.dims)], return_counts=True)
         # Passages of a longer item overlap by half: one has at least half of the item's share.
         share = how.with_answer / (1 + (len(items[i][1]) > len(words)))
+        if len(words) < how.least_words:
+            share = 1.0
         reach[:, i] /= max(1e-9, _needed(reach[c, i], times, share)) * (1 - 1e-3)
         halves.setdefault(-(-(_span(len(words)) + half - 1) // half), []).append(i)
     return LatentSpace(column, reach, [(k, np.array(i)) for k, i in sorted(halves.items())], texts, items)
@@ -233,6 +235,8 @@ def subsequence_length(masks: dict[bytes, int], n: int, words: list[bytes]) -> i
 def _settled(item: list[bytes], words: list[bytes], lo: int, hi: int, how: DecontaminationParameters) -> float:
     """Best share of the item's words recurring in order in a span between ``lo`` and ``hi``; 0 if too few."""
     n = len(item)
+    if n < how.least_words:
+        return float(any(words[s : s + n] == item for s in range(lo, hi - n + 1)))
     near = set(words[lo:hi])
     if sum(w in near for w in item) < how.with_answer * n:
         return 0.0
@@ -287,7 +291,7 @@ def candidates(c: np.ndarray, space: LatentSpace, how: DecontaminationParameters
 def leaks_in(
     words: list[bytes], space: LatentSpace, columns: WordColumns, how: DecontaminationParameters
 ) -> dict[int | None, float]:
-    """Items found in a text, with the share of their words."""
+    """Items found in a text, with the best share of their words or of a passage's."""
     if not words:
         return {}
     found: dict[int | None, float] = {}
@@ -295,10 +299,10 @@ def leaks_in(
         item, text = space.items[i]
         if found.get(item, 0.0) == 1.0:
             continue
+        share = _settled(space.passages[i], words, lo, hi, how)
         n = len(text)
-        if n > how.window:
-            lo, hi = max(0, lo - n), min(len(words), hi + n)
-        share = _settled(text, words, lo, hi, how)
+        if n > how.window:  # the whole item may recur where this passage does not
+            share = max(share, _settled(text, words, max(0, lo - n), min(len(words), hi + n), how))
         if share:
             found[item] = max(found.get(item, 0.0), share)
     return found
@@ -327,7 +331,7 @@ def latent_spaces(
 def benchmark_leaks(
     docs: DataFrame, spaces: list[LatentSpace], how: DecontaminationParameters = DecontaminationParameters()
 ) -> DataFrame:
-    """doc_id, contaminated, item_ids (sorted), share (of the best item's words) of every document.
+    """doc_id, contaminated, item_ids (sorted), share (of the best item's or passage's words) of every document.
 
     Each block of items is one pass over all documents, in the same tasks.  NULL
     and empty texts hold no item; an item without an id is reported as -1.
