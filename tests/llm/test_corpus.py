@@ -101,6 +101,26 @@ def test_classes_on_edges(spark, edge_docs):
     assert near_duplicates.one_of_each(edge_docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_enter_a_family_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    alone = " ".join(f"n{i}" for i in range(200))
+    rows = [(1, text)] * 40 + [(2, near)] + [(None, alone)] * 30 + [(None, alone + " more")] * 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    entered = []
+    in_blocks = near_duplicates._in_blocks
+
+    def watched(rows, group, *rest):
+        if group == "root":
+            entered.append(rows)
+        return in_blocks(rows, group, *rest)
+
+    monkeypatch.setattr(near_duplicates, "_in_blocks", watched)
+    got = near_duplicates.near_duplicate_classes(docs).collect()
+    assert [r["count"] for r in entered[0].groupBy("key").count().collect()] == [1] * 4
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == {(1, 1): 40, (2, 1): 1, (None, None): 50}
+
+
 def test_bloom_filter_misses_nothing(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
     for bits in (1 << 27, 1 << 10):  # ample, and saturated

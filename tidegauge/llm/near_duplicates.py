@@ -357,10 +357,11 @@ def confirmed_links(docs: DataFrame, texts: DataFrame, family: DataFrame, how: N
     # Only texts that are perhaps in a family are shuffled.
     perhaps = may_be_in(members.select(_identity(F.col("doc_id"), F.col("text_hash")).alias("h")))
     found = _identified(docs).where(perhaps(_identity(F.col("doc_id"), F.col("text_hash"))))
-    full = found.join(
-        wanted,
-        (F.coalesce("doc_id", F.lit(-1)) == F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")),
-    ).select("w_key", "root", "text")
+    # Equal rows, and one text under NULL ids, are found alike; one of them stands for its key.
+    found = found.select(
+        F.coalesce("doc_id", F.lit(-1)).alias("w_id"), F.col("text_hash").alias("w_hash"), "text"
+    ).dropDuplicates(["w_id", "w_hash"])
+    full = found.join(wanted, ["w_id", "w_hash"]).select("w_key", "root", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(_words(raw), how.width).tobytes() for raw in text_bytes(batch.column("text"))]
