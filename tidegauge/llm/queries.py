@@ -13,6 +13,7 @@ from tidegauge.llm.mixing import mix
 from tidegauge.llm.near_duplicates import NearDuplicates, near_duplicate_classes
 from tidegauge.llm.personal_data import fit_field, personal_data
 from tidegauge.llm.quality_rules import judge
+from tidegauge.llm.source_divergence import source_divergence
 from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
 from tidegauge.llm.url_filter import judge_urls
 from tidegauge.llm.warc_packages import through_packages
@@ -161,3 +162,58 @@ def op1_url_character_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents."""
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of every language over all documents."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms,
+         row_number() OVER () AS doc
+  FROM documents
+), t AS (
+  SELECT lang, source, doc,
+         translate(unnest(terms), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d
+), kept AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 10
+), c AS (
+  SELECT t.lang, t.source, t.term, count(*)::HUGEINT AS n
+  FROM t JOIN kept USING (lang, term) GROUP BY t.lang, t.source, t.term
+), g AS (
+  SELECT g.lang, g.source, coalesce(s.n, 0)::HUGEINT AS n,
+         (SELECT count(*) FROM kept k WHERE k.lang = g.lang)::HUGEINT AS v
+  FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source)
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.n + 2 * g.v) AS p
+  FROM g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)
+), l AS (
+  SELECT lang, term,
+         1 + 1000000000 * (sum(n) + 2) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang))
+           AS q
+  FROM c GROUP BY lang, term
+), pair AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(z.value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN (
+    SELECT a.lang, a.source AS a, b.source AS b, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source
+  ) z ON z.lang = x.lang AND z.a = x.source AND z.b = y.source
+), term AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - l.q) * (p.p - l.q) // (p.p + l.q) AS value
+  FROM p JOIN l USING (lang, term) WHERE p.n > 0 AND p.p > l.q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
