@@ -16,6 +16,7 @@ from tidegauge.llm.quality_rules import judge
 from tidegauge.llm.source_divergence import source_divergence
 from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
 from tidegauge.llm.url_filter import judge_urls
+from tidegauge.llm.vector_cells import near_duplicate_vectors
 from tidegauge.llm.warc_packages import through_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +218,32 @@ WITH d AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+
+@query
+def op11_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors at a cosine of 0.93."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_spherical_cells"] = """
+WITH RECURSIVE r AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER () AS node FROM embeddings
+), ok AS (
+  SELECT * FROM r
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(v, lambda c: c <> 0)) > 0
+), pairs AS (
+  SELECT a.node AS x, b.node AS y
+  FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.node <> b.node
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(x, y) AS (
+  SELECT node, node FROM r UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON pairs.x = reach.y
+), classes AS (
+  SELECT reach.x, min(r.vec_id) AS component_id FROM reach JOIN r ON r.node = reach.y GROUP BY reach.x
+)
+SELECT r.vec_id, (SELECT count(*) FROM pairs WHERE pairs.x = r.node) AS n_links, c.component_id,
+       r.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM r JOIN classes c ON c.x = r.node
+"""
