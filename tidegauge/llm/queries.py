@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegauge.llm.context_mixing import score_documents
 from tidegauge.llm.cotraining import fit_cotraining, score_quality
@@ -18,6 +19,7 @@ from tidegauge.llm.toxicity import fit_toxicity, score_toxicity
 from tidegauge.llm.url_filter import judge_urls
 from tidegauge.llm.vector_cells import near_duplicate_vectors
 from tidegauge.llm.warc_packages import through_packages
+from tidegauge.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -247,3 +249,11 @@ SELECT r.vec_id, (SELECT count(*) FROM pairs WHERE pairs.x = r.node) AS n_links,
        r.vec_id IS NOT DISTINCT FROM c.component_id AS kept
 FROM r JOIN classes c ON c.x = r.node
 """
+
+
+@query
+def op12_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the leading components of their covariance."""
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    # NULL where the exact number is longer than a long
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
