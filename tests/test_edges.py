@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
 from tidegauge import schemas, session
-from tidegauge.functions import labels, power, tags
+from tidegauge.functions import labels, power, probability, tags
 from tidegauge.operators import (
     energy,
     frequency,
@@ -380,6 +380,47 @@ def test_mann_whitney_exact_beside_a_large_sample(spark):
     assert abs(row.p_value - normal) < 2e-3
 
 
+def order_counts(m, n):
+    """Orders of m and n values by U: coefficients of the Gaussian binomial."""
+    counts = [1] + [0] * (m * n)
+    for i in range(1, m + 1):
+        for at in range(m * n, n + i - 1, -1):
+            counts[at] -= counts[at - n - i]
+        for at in range(i, m * n + 1):
+            counts[at] += counts[at - i]
+    return counts
+
+
+def test_exact_tail_against_counted_orders(spark):
+    cases, expected = [], []
+    for m in range(1, 9):
+        for n in (m, m + 1, 23, 60):
+            below, total = 0, math.comb(m + n, m)
+            for u, count in enumerate(order_counts(m, n)):
+                below += count
+                if u % 11 == 0 or u < 3 or u > m * n - 3:
+                    cases.append((m, n, u))
+                    expected.append(below / total)
+    frame = spark.createDataFrame(cases, "m bigint, n bigint, u bigint")
+    found = [r[0] for r in frame.select(probability.exact_rank_sum_lower("m", "n", "u", 8)).collect()]
+    assert all(math.isclose(f, e, rel_tol=1e-12) for f, e in zip(found, expected))
+
+
+def test_exact_tail_of_ten_million(spark):
+    """No work grows with the larger sample: small tails, the middle, and both ends."""
+    n = 10_000_000
+    cases = [(8, n, 3), (7, n + 1, (7 * (n + 1) - 1) // 2), (8, n, 8 * n), (8, n, 8 * n - 1), (3, n, n)]
+    frame = spark.createDataFrame(cases, "m bigint, n bigint, u bigint")
+    found = [r[0] for r in frame.select(probability.exact_rank_sum_lower("m", "n", "u", 8)).collect()]
+    # 0 to 3 split into at most eight parts: 1 + 1 + 2 + 3 ways
+    assert math.isclose(found[0], 7 / math.comb(n + 8, 8), rel_tol=1e-12)
+    assert math.isclose(found[1], 0.5, rel_tol=1e-12)
+    assert found[2] == 1.0 and found[3] == 1.0
+    # j split into at most three parts: (j + 3)^2 / 12 ways, to the next whole number
+    ways = sum(((j + 3) ** 2 + 6) // 12 for j in range(n + 1))
+    assert math.isclose(found[4], ways / math.comb(n + 3, 3), rel_tol=1e-12)
+
+
 def test_unlisted_names_are_not_lost(spark):
     rows = telemetry(
         spark,

@@ -7,7 +7,9 @@ or a continued fraction, folded over a constant or short sequence.
 
 from __future__ import annotations
 
+import json
 import math
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,3 +115,66 @@ def chi_square_upper(x: Column, df: Column) -> Column:
         steps, F.struct(start.alias("term"), start.alias("total")), grow, lambda acc: acc["total"]
     )
     return F.when(x <= 0, F.lit(1.0)).otherwise(base + total)
+
+
+def _order_terms(m: int) -> list[tuple[int, int, float]]:
+    """(k, s, c): the product of (1 - q^(n+i)) for i = 1..m is the sum of c q^(kn+s)."""
+    terms = {(0, 0): 1}
+    for i in range(1, m + 1):
+        step = dict(terms)
+        for (k, s), c in terms.items():
+            step[k + 1, s + i] = step.get((k + 1, s + i), 0) - c
+        terms = step
+    return [(k, s, float(c)) for (k, s), c in sorted(terms.items()) if c]
+
+
+def _period_weights(m: int) -> tuple[int, list[int]]:
+    """L and the polynomial (1 - q^L)^(m+1) / ((1 - q) (1 - q) (1 - q^2) .. (1 - q^m)).
+
+    L is the least common multiple of 1..m.  Each factor (1 - q^L) / (1 - q^i) is a sum
+    of every i-th power, so it multiplies by running sums of every i-th coefficient.
+    """
+    period = math.lcm(*range(1, m + 1))
+    weights = [1] + [0] * ((m + 1) * period - 1)
+    for i in (1, *range(1, m + 1)):
+        for at in range(i, len(weights)):
+            weights[at] += weights[at - i]
+        for at in range(len(weights) - 1, period - 1, -1):
+            weights[at] -= weights[at - period]
+    return period, weights
+
+
+@cache
+def _rank_sum_tables(up_to: int) -> str:
+    """A constant: period, weights and order terms of every size, as SQL that is folded once."""
+    tables = []
+    for size in range(1, up_to + 1):
+        period, weights = _period_weights(size)
+        terms = [{"k": k, "s": s, "c": c} for k, s, c in _order_terms(size)]
+        tables.append({"period": period, "weights": weights, "terms": terms})
+    kind = "period: BIGINT, weights: ARRAY<DOUBLE>, terms: ARRAY<STRUCT<k: BIGINT, s: BIGINT, c: DOUBLE>>"
+    return f"from_json('{json.dumps(tables)}', 'ARRAY<STRUCT<{kind}>>')"
+
+
+def exact_rank_sum_lower(smaller: str, larger: str, u: str, up_to: int) -> Column:
+    """P(U <= u) of the rank-sum statistic without ties; arguments name bigint columns.
+
+    ``smaller`` lies in 1..``up_to``; the other sample has any size.  The number of
+    orders with U <= u is the coefficient of q^u in the product of (1 - q^(n+i)) over
+    (1 - q) and the product of (1 - q^i), i = 1..m.  With the denominator brought to
+    (1 - q^L)^(m+1) a coefficient is at most m + 1 products of a fixed weight and a
+    binomial number, so no counts up to u are formed.  Beyond the middle the mirror
+    image is summed, which keeps the digits of small tails.
+    """
+    m, n = smaller, larger
+    listed = _rank_sum_tables(up_to)
+    beyond = f"2 * {u} > {m} * {n}"
+    last = f"CASE WHEN {beyond} THEN {m} * {n} - {u} - 1 ELSE {u} END"
+    places = f"transform(f.terms, t -> struct(t.c AS c, {last} - t.k * {n} - t.s AS at))"
+    binomial = f"aggregate(sequence(1L, {m}), 1D, (b, i) -> b * CAST(t.at DIV f.period - j + i AS DOUBLE) / i)"
+    weight = "element_at(f.weights, CAST(t.at % f.period + j * f.period + 1 AS INT))"
+    below = f"aggregate(sequence(0L, {m}), 0D, (s, j) -> s + {weight} * {binomial})"
+    count = f"aggregate({places}, 0D, (total, t) -> total + CASE WHEN t.at < 0 THEN 0D ELSE t.c * {below} END)"
+    orders = f"aggregate(sequence(1L, {m}), 1D, (b, i) -> b * CAST({n} + i AS DOUBLE) / i)"
+    share = f"element_at(transform(slice({listed}, CAST({m} AS INT), 1), f -> {count}), 1) / {orders}"
+    return F.expr(f"CASE WHEN {beyond} THEN 1D ELSE 0D END + CASE WHEN {beyond} THEN -1D ELSE 1D END * {share}")

@@ -119,86 +119,21 @@ def mann_whitney_less(rows: DataFrame, by: list[str], value: str, is_first: Colu
     z = F.try_divide(u2 - n1 * n2 / 2 - 0.5, F.sqrt(variance))
     both = (n1 > 0) & (n2 > 0)
     small = both & (F.least("n1", "n2") <= EXACT_UP_TO) & (F.col("_ties") == 0)
-    # a row per key; both forms of p read it
-    tests = written(
-        sums.withColumn("_z", z)
-        .withColumn("u_statistic", F.when(both, u1))
-        .withColumn("_small", small)
-        .select(*by, "n1", "n2", "u_statistic", "_z", "_small"),
-        "rank-tests",
-    )
-    asymptotic = tests.where("not _small").withColumn(
-        "p_value", F.when(both, tails.normal_upper(F.col("_z")))
-    )
-    exact = exact_lower_tail(tests.where("_small"), by)
-    columns = [*by, "n1", "n2", "u_statistic", "p_value"]
-    return asymptotic.select(*columns).unionByName(exact.select(*columns))
-
-
-def _exact_start(m: int) -> list[tuple[int, int, float]]:
-    """(k, s, c): the product of (1 - q^(n+i)) for i = 1..m is the sum of c q^(kn+s)."""
-    terms = {(0, 0): 1.0}
-    for i in range(1, m + 1):
-        step = dict(terms)
-        for (k, s), c in terms.items():
-            step[k + 1, s + i] = step.get((k + 1, s + i), 0.0) - c
-        terms = step
-    return [(k, s, c) for (k, s), c in sorted(terms.items()) if c]
-
-
-def exact_lower_tail(tests: DataFrame, by: list[str]) -> DataFrame:
-    """Add ``p_value``, the exact P(U <= u) without ties.
-
-    With m the smaller sample and n the larger, the number of orders with U = u is
-    the coefficient of q^u in the product of (1 - q^(n+i)) / (1 - q^i), i = 1..m.
-    The numerator's terms are spelled out; each division is a running sum over
-    every i-th row.  Rows stop at u, or at its mirror image beyond the middle.
-    """
-    m = F.least("n1", "n2").cast("bigint")
-    n = F.greatest("n1", "n2").cast("bigint")
-    u = F.floor("u_statistic").cast("bigint")
-    beyond = 2 * u > m * n
-    numbered = tests.withColumns(
-        {
-            "_m": m,
-            "_n": n,
-            "_beyond": beyond,
-            "_last": F.when(beyond, m * n - u - 1).otherwise(u),
-            "_key": F.to_json(F.struct(*[F.col(c) for c in by])),
-        }
-    )
-    # sizes of the smaller sample come from a fixed range, so the terms are a literal
-    terms = F.lit(None)
-    for size in range(1, EXACT_UP_TO + 1):
-        listed = F.array(
-            *[
-                F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), F.lit(c).alias("c"))
-                for k, s, c in _exact_start(size)
-            ]
-        )
-        terms = F.when(F.col("_m") == size, listed).otherwise(terms)
-    keyed = numbered.select("_key", "_m", "_n", "_last")
-    zeros = keyed.where("_last >= 0").select(
-        "_key", "_m", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_u"), F.lit(0.0).alias("_c")
-    )
-    starts = keyed.select("_key", "_m", "_n", "_last", F.inline(terms)).select(
-        "_key", "_m", (F.col("k") * F.col("_n") + F.col("s")).alias("_u"), F.col("c").alias("_c"), "_last"
-    ).where("_u <= _last").drop("_last")
-    counts = zeros.unionByName(starts).groupBy("_key", "_m", "_u").agg(F.sum("_c").alias("_c"))
-    for i in range(1, EXACT_UP_TO + 1):
-        every = Window.partitionBy("_key", F.col("_u") % i).orderBy("_u")
-        divided = F.sum("_c").over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        counts = counts.withColumn("_c", F.when(F.col("_m") >= i, divided).otherwise(F.col("_c")))
-    below = counts.groupBy(F.col("_key").alias("_k")).agg(F.sum("_c").alias("_below"))
-    orders = F.aggregate(
-        F.sequence(F.lit(1), F.col("_m")),
-        F.lit(1.0),
-        lambda product, i: product * (F.col("_n") + i).cast("double") / i.cast("double"),
-    )
-    share = F.coalesce("_below", F.lit(0.0)) / orders
+    exact = tails.exact_rank_sum_lower("_m", "_n", "_u", EXACT_UP_TO)
+    asymptotic = F.when(both, tails.normal_upper(F.col("_z")))
     return (
-        numbered.join(below, F.col("_key") == F.col("_k"), "left")
-        .withColumn("p_value", F.when(F.col("_beyond"), 1 - share).otherwise(share))
+        sums.withColumns(
+            {
+                "_z": z,
+                "u_statistic": F.when(both, u1),
+                "_small": small,
+                "_m": F.least("n1", "n2").cast("bigint"),
+                "_n": F.greatest("n1", "n2").cast("bigint"),
+                "_u": F.floor(u1).cast("bigint"),
+            }
+        )
+        .withColumn("p_value", F.when(F.col("_small"), exact).otherwise(asymptotic))
+        .select(*by, "n1", "n2", "u_statistic", "p_value")
     )
 
 
