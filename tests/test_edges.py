@@ -380,6 +380,25 @@ def test_mann_whitney_exact_beside_a_large_sample(spark):
     assert abs(row.p_value - normal) < 2e-3
 
 
+def test_one_rank_pass_gives_tests_and_medians(spark, many_slices):
+    """Comparisons of all kinds in one ranking agree with one ranking each."""
+    r = random.Random(5)
+    rows = [("t1", float(r.randrange(40)), r.random() < 0.4) for _ in range(300)]
+    rows += [("t2", r.random(), i < 5) for i in range(60)]
+    rows += [("m1", float(r.randrange(9)), None) for _ in range(101)] + [("m2", 4.0, None), ("m2", 7.0, None)]
+    rows += [("t1", None, True), (None, 1.0, True), ("one", 2.0, True)]
+    frame = spark.createDataFrame(rows, "g string, v double, first boolean")
+    found = {x.g: x for x in statistics.rank_pass(frame, ["g"], "v", F.col("first")).collect()}
+    assert set(found) == {"t1", "t2", "m1", "m2", "one"}
+    for x in statistics.mann_whitney_less(frame, ["g"], "v", F.col("first")).collect():
+        y = found[x.g]
+        assert (x.n1, x.n2, x.u_statistic, x.p_value) == (y.n1, y.n2, y.u_statistic, y.p_value)
+    for x in ranks.exact_median(frame, ["g"], "v").collect():
+        values = [v for g, v, _ in rows if g == x.g and v is not None]
+        assert found[x.g].median == x.median == plain.median(values) and found[x.g].n == len(values)
+    assert found["m1"].p_value is None and found["one"].u_statistic is None
+
+
 def order_counts(m, n):
     """Orders of m and n values by U: coefficients of the Gaussian binomial."""
     counts = [1] + [0] * (m * n)

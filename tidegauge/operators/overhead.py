@@ -143,6 +143,18 @@ def loaded_overhead(silver: DataFrame, classification: DataFrame) -> DataFrame:
     )
 
 
+def mean_system_cpu(silver: DataFrame) -> DataFrame:
+    """Mean CPU of system pods per (kd, test): the system CPU part of ``loaded_overhead``.
+
+    The role of a pod is a flag over its own silver rows, so nothing is joined and the
+    silver table is read once: one shuffle by pod, one by run, one by test.
+    """
+    idle = F.max(F.col("test_type") == "idle").over(Window.partitionBy("kd", "pod_uuid"))
+    system = silver.withColumn("_system", idle).where(F.col("_system") & (F.col("metric") == "cpu_pct"))
+    runs = system.groupBy("kd", "test_type", "run").agg(F.sum("value").alias("run_value"))
+    return runs.groupBy("kd", "test_type").agg(F.avg("run_value").alias("mean"))
+
+
 def role_counts(silver: DataFrame, classification: DataFrame) -> DataFrame:
     """Distinct pods per (kd, test), in total and by role."""
     pods = (

@@ -10,7 +10,7 @@ global ranks; no step holds more than one slice of a group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.session import checkpointed
@@ -65,21 +65,24 @@ def rank_average_ties(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return counted.select(*by, value, "n_tied", "n_total", mid_rank().alias("mid_rank"))
 
 
-def exact_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Exact median per key: the values that hold the one or two middle places."""
-    counted = with_running_counts(value_histogram(rows, by, value), by, value)
+def median_places() -> dict[str, Column]:
+    """Whether a counted value holds the lower, and the upper, of the one or two middle places."""
     low = F.floor((F.col("n_total") + 1) / 2)
     high = F.floor((F.col("n_total") + 2) / 2)
     upper_place = F.col("n_below") + F.col("n_tied")
-    holds_low = (F.col("n_below") < low) & (upper_place >= low)
-    holds_high = (F.col("n_below") < high) & (upper_place >= high)
+    return {
+        name: (F.col("n_below") < place) & (upper_place >= place)
+        for name, place in (("_low", low), ("_high", high))
+    }
+
+
+def exact_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Exact median per key: the values that hold the one or two middle places."""
+    counted = with_running_counts(value_histogram(rows, by, value), by, value)
+    places = median_places()
+    ends = [F.max(F.when(holds, F.col(value))) for holds in places.values()]
     return (
-        counted.where(holds_low | holds_high)
+        counted.where(places["_low"] | places["_high"])
         .groupBy(*by)
-        .agg(
-            (
-                (F.max(F.when(holds_low, F.col(value))) + F.max(F.when(holds_high, F.col(value))))
-                / 2
-            ).alias("median")
-        )
+        .agg(((ends[0] + ends[1]) / 2).alias("median"))
     )

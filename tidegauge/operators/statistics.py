@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import probability as tails
 from tidegauge.functions.labels import stars
-from tidegauge.operators.ranks import mid_rank, value_histogram, with_running_counts
+from tidegauge.operators.ranks import median_places, mid_rank, value_histogram, with_running_counts
 from tidegauge.session import written
 
 EXACT_UP_TO = 8
@@ -90,33 +90,36 @@ def spearman_of_systems(points: DataFrame, by: list[str], x: str, y: str) -> Dat
     return _correlation(ranked, by)
 
 
-def mann_whitney_less(rows: DataFrame, by: list[str], value: str, is_first: Column) -> DataFrame:
-    """U of the first sample and the one-sided p that it is smaller.
+def rank_pass(rows: DataFrame, by: list[str], value: str, is_first: Column) -> DataFrame:
+    """Rank tests and medians of many comparisons by one ranking.
 
-    With a sample of at most eight values and no ties p is exact; otherwise it is
-    asymptotic with tie and continuity correction.  An empty sample gives NULL; rows
-    with a NULL key are left out.
+    Rows of all comparisons form one histogram per key, which is ranked once; every
+    figure is a conditional sum over it.  Per key: n, n1, n2, u_statistic, p_value (the
+    first sample is smaller) and median.  Where ``is_first`` is NULL a row counts for n
+    and the median only.  Rows with a NULL key or value are left out.
     """
-    tagged = rows.withColumn("_first", is_first.cast("int"))
-    histogram = (
-        tagged.where(F.col(value).isNotNull() & F.col("_first").isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count("*").alias("n"), F.sum("_first").alias("_n1"))
+    kept = rows.withColumn("_first", is_first.cast("int")).where(F.col(value).isNotNull())
+    for name in by:
+        kept = kept.where(F.col(name).isNotNull())
+    histogram = kept.groupBy(*by, value).agg(
+        F.count("*").alias("n"), F.sum("_first").alias("_n1"), F.sum(1 - F.col("_first")).alias("_n2")
     )
     counted = with_running_counts(histogram, by, value)
     ties = F.col("n_tied").cast("double")
+    places = median_places()
     sums = counted.groupBy(*by).agg(
+        F.sum("n").alias("n"),
         F.sum("_n1").alias("n1"),
-        F.sum(F.col("n") - F.col("_n1")).alias("n2"),
+        F.sum("_n2").alias("n2"),
         F.sum(F.col("_n1") * mid_rank()).alias("_rank_sum"),
         F.sum(ties * ties * ties - ties).alias("_ties"),
+        *[F.max(F.when(holds, F.col(value))).alias(name) for name, holds in places.items()],
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     total = n1 + n2
     u1 = F.col("_rank_sum") - n1 * (n1 + 1) / 2
     u2 = n1 * n2 - u1
     variance = n1 * n2 / 12 * (total + 1 - F.try_divide("_ties", total * (total - 1)))
-    z = F.try_divide(u2 - n1 * n2 / 2 - 0.5, F.sqrt(variance))
     both = (n1 > 0) & (n2 > 0)
     small = both & (F.least("n1", "n2") <= EXACT_UP_TO) & (F.col("_ties") == 0)
     exact = tails.exact_rank_sum_lower("_m", "_n", "_u", EXACT_UP_TO)
@@ -124,19 +127,31 @@ def mann_whitney_less(rows: DataFrame, by: list[str], value: str, is_first: Colu
     return (
         sums.withColumns(
             {
-                "_z": z,
+                "_z": F.try_divide(u2 - n1 * n2 / 2 - 0.5, F.sqrt(variance)),
                 "u_statistic": F.when(both, u1),
                 "_small": small,
                 "_m": F.least("n1", "n2").cast("bigint"),
                 "_n": F.greatest("n1", "n2").cast("bigint"),
                 "_u": F.floor(u1).cast("bigint"),
+                "median": (F.col("_low") + F.col("_high")) / 2,
             }
         )
         .withColumn("p_value", F.when(F.col("_small"), exact).otherwise(asymptotic))
-        .select(*by, "n1", "n2", "u_statistic", "p_value")
+        .select(*by, "n", "n1", "n2", "u_statistic", "p_value", "median")
     )
 
 
+def mann_whitney_less(rows: DataFrame, by: list[str], value: str, is_first: Column) -> DataFrame:
+    """U of the first sample and the one-sided p that it is smaller.
+
+    With a sample of at most eight values and no ties p is exact; otherwise it is
+    asymptotic with tie and continuity correction.  An empty sample gives NULL; rows
+    with a NULL key or flag are left out.
+    """
+    flagged = rows.withColumn("_flag", is_first).where(F.col("_flag").isNotNull())
+    return rank_pass(flagged, by, value, F.col("_flag")).select(*by, "n1", "n2", "u_statistic", "p_value")
+
+
 def kruskal_wallis(
     rows: DataFrame, by: list[str], group: str, value: str, digits: int = 9
 ) -> DataFrame:

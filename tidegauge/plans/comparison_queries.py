@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
@@ -494,8 +492,15 @@ for _name in VERDICT_ROWS:
 
 
 def all_verdicts(t):
-    """The six verdict rows."""
-    return reduce(lambda a, b: a.unionByName(b), [rows(t) for rows in VERDICT_ROWS.values()])
+    """The six verdict rows from one row of statistics; all samples are ranked in one pass."""
+    samples = verdicts.verdict_samples(t.pod_startup, t.api_latency)
+    ranked = written(
+        statistics.rank_pass(samples, ["comparison", "kd"], "value", F.col("is_first")), "rank-pass"
+    )
+    row = verdicts.verdict_statistics(
+        ranked, t.pod_startup, comparisons.idle_footprint(t.telemetry), overhead.mean_system_cpu(t.silver), t.published
+    )
+    return verdicts.all_verdicts(row)
 
 
 @query(

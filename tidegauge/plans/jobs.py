@@ -170,14 +170,17 @@ def run_hypotheses(
     With ``loaded`` (loaded overhead) workload shares are among the numbers.
     """
     published = fixed.published(spark)
-    points = written(
-        published.join(comparisons.svc_create_median(api), "kd", "left"), "points"
+    # both rank tests and the medians per system come from one ranking of all samples
+    ranked = written(
+        statistics.rank_pass(
+            verdicts.verdict_samples(startup, api), ["comparison", "kd"], "value", F.col("is_first")
+        ),
+        "rank-pass",
     )
+    medians = ranked.where("comparison = 'svc_create'").select("kd", F.col("median").alias("median_ms"))
+    points = written(published.join(medians, "kd", "left"), "points")
     correlations = written(verdicts.system_correlations(points), "correlations-of-systems")
-    test = statistics.mann_whitney_less(
-        startup.withColumn("scope", F.lit("all")), ["scope"], "medians",
-        comparisons.lightweight_flag(),
-    )
+    test = ranked.where("comparison = 'startup'")
     rows = [
         verdicts.verdict_p1(correlations),
         verdicts.verdict_p2(correlations, growth),
@@ -192,11 +195,9 @@ def run_hypotheses(
     efficiency = written(
         comparisons.latency_efficiency(comparisons.throughput_efficiency(published)), "efficiency"
     )
-    create_test = statistics.mann_whitney_less(
-        comparisons.operation_rows(api, "pod", "create"), ["tests"], "medians",
-        comparisons.lightweight_flag(),
+    create_test = ranked.where("comparison = 'pod_create'").select(
+        F.lit(comparisons.HEAVY).alias("test_type"), "n1", "n2", "u_statistic", "p_value"
     )
-    create_test = written(create_test, "pod-create-test").withColumnRenamed("tests", "test_type")
     means = written(comparisons.group_mean_ratio(startup), "group-means")
     numbers = [
         verdicts.evidence_rows("P2", "startup_at_scale_ms", at_scale, "latency_ms"),
