@@ -26,11 +26,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import LOWER, UPPER, arrow_pass, shingle_hashes, text_bytes
+from tidegauge.llm.common import LOWER, UPPER, arrow_pass, release_memory, shingle_hashes, text_bytes
 from tidegauge.llm.components import components
 from tidegauge.session import written
 
@@ -56,7 +57,7 @@ class NearDuplicates:
     signature_matches: int = 37
     list_block: int = 1024
     family_block: int = 512
-    block_shingles: int = 1 << 21
+    block_shingles: int = 1 << 20
 
     def multipliers(self) -> np.ndarray:
         rng = np.random.default_rng(7)
@@ -193,10 +194,13 @@ def _runs(
             start = i
         if found:
             yield out(found)
+        del batch
+        release_memory()
     if held:
         pairs = work(pa.Table.from_batches(held))
         if pairs:
             yield out(pairs)
+    release_memory()
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -248,6 +252,13 @@ def _tied(how: NearDuplicates) -> Callable[[pa.Table], list[tuple[bytes, bytes]]
     return work
 
 
+def _flat(shingles: pa.Array) -> np.ndarray:
+    """All hashes of a column of shingle sets in a row, without a copy of each set."""
+    shingles = shingles.cast(pa.large_binary())
+    ends = np.frombuffer(shingles.buffers()[1], np.int64)[shingles.offset : shingles.offset + len(shingles) + 1]
+    return np.frombuffer(shingles.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u8")
+
+
 def _confirmed(how: NearDuplicates) -> Callable[[pa.Table], list[tuple[bytes, bytes]]]:
     """Links of a family block: exact intersections as a product of incidence matrices."""
 
@@ -257,18 +268,19 @@ def _confirmed(how: NearDuplicates) -> Callable[[pa.Table], list[tuple[bytes, by
         if n < 2:
             return []
         side = np.array(rows.column("side").to_pylist())
-        sets = [np.frombuffer(x, "<u8") for x in rows.column("shingles").to_pylist()]
-        sizes = np.array([len(x) for x in sets], np.int64)
-        owner = np.repeat(np.arange(n), sizes)
-        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        sizes = pc.binary_length(rows.column("shingles")).to_numpy().astype(np.int64) // 8
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        flat = np.concatenate([_flat(chunk) for chunk in rows.column("shingles").chunks])
+        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+        del flat
         several = count[column] > 1
-        owner, column = owner[several], column[several]
+        owner, column = owner[several], column[several].astype(np.int32)
         number = np.cumsum(count > 1) - 1
         column = number[column]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         common = np.zeros((n, n), np.float32)
-        wide = 1 << 13
+        wide = 1 << 12
         edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 1 + wide, wide))
         for k in range(len(edges) - 1):
             part = slice(edges[k], edges[k + 1])
