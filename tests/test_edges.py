@@ -3,9 +3,11 @@
 import itertools
 import json
 import math
+import os
 import random
 import statistics as plain
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -20,13 +22,17 @@ from tidegauge.operators import (
     interrupts,
     overhead,
     ranks,
+    scans,
     silver,
+    silver_states,
     statistics,
 )
+from tidegauge.plans.inputs import Inputs
 from tidegauge.sinks import tables as sinks
 from tidegauge.sources import benchmarks, documents
 from tidegauge.sources import telemetry as sources
 
+SMALL = "/root/testdata/sf0.001"
 COLUMNS = schemas.TELEMETRY_PARTITIONED
 
 
@@ -734,6 +740,76 @@ def test_hot_run_is_split_and_sorted_by_context(spark, tmp_path):
     assert contexts == sorted(contexts)
 
 
+def test_files_of_a_large_run_are_disjoint_ranges(spark, tmp_path, many_slices):
+    path = str(tmp_path / "runs")
+    rows = spark.range(0, 40_000, 1, 8).select(
+        ((F.col("id") * 7919) % 5000).alias("relative_time"),
+        F.concat(F.lit("node_"), (F.col("id") % 3).cast("string")).alias("hostname"),
+        F.lit("system.cpu").alias("chart_context"), F.col("id").cast("string").alias("chart_id"),
+        F.lit("system").alias("chart_family"), F.lit("idle").alias("metric_id"),
+        F.lit("idle").alias("metric_name"), F.lit(1.0).alias("value"), F.lit("u").alias("units"),
+        F.lit("k0s").alias("kd"), F.lit("idle").alias("test_type"),
+        F.when(F.col("id") % 100 == 0, 2).otherwise(1).alias("run"),
+    )
+    sinks.write_runs(rows, path)
+    files = sorted((tmp_path / "runs" / "kd=k0s" / "test_type=idle" / "run=1").glob("*.parquet"))
+    assert len(files) > 3
+    keys = ["relative_time", "hostname", "chart_context", "metric_id"]
+    parts = [pq.read_table(f, columns=keys).to_pylist() for f in files]
+    listed = [tuple(r[k] for k in keys) for part in parts for r in part]
+    assert listed == sorted(listed) and len(listed) == 39_600
+    # files outside a bound on time are told by their statistics alone
+    stats = [pq.ParquetFile(f).metadata.row_group(0).column(0).statistics for f in files]
+    assert sum(s.min <= 4900 <= s.max for s in stats) <= 2
+    ordered = scans.sorted_runs(sources.read_telemetry(spark, path))
+    seen = [tuple(r[k] for k in ("run", *keys)) for r in ordered.toLocalIterator()]
+    assert seen == sorted(seen) and ordered.rdd.getNumPartitions() > 1
+
+
+def test_silver_grows_by_the_runs_that_changed(spark, tmp_path):
+    runs, states = str(tmp_path / "runs"), str(tmp_path / "states")
+    definitions = fixed.pod_metrics(spark)
+    source = Inputs(spark, SMALL).telemetry.where("kd = 'k0s' AND test_type = 'idle'")
+    numbers = sorted(r.run for r in source.select("run").distinct().collect())
+    first, second = numbers[0], numbers[1]
+
+    def rows(*wanted, times=1.0):
+        return source.where(F.col("run").isin(*wanted)).withColumn("value", F.col("value") * times)
+
+    def grown():
+        return sorted(map(repr, silver_states.silver_of(silver_states.read_states(spark, states), definitions).collect()))
+
+    def full():
+        return sorted(map(repr, silver.silver_table(sources.read_telemetry(spark, runs), definitions).collect()))
+
+    def changed():
+        return sorted(r.run for r in silver_states.grow_silver(spark, runs, states, definitions).collect())
+
+    assert changed() == [] and grown() == []
+    sinks.write_runs(rows(first), runs)
+    assert changed() == [first] and grown() == full() != []
+    before = grown()
+    # a known run is not opened again: its files can hold anything
+    folder = tmp_path / "runs" / "kd=k0s" / "test_type=idle" / f"run={first}"
+    kept = {f: (f.read_bytes(), f.stat()) for f in folder.glob("*.parquet")}
+    for f, (raw, stat) in kept.items():
+        f.write_bytes(b"x" * len(raw))
+        os.utime(f, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    sinks.write_runs(rows(second), runs)
+    assert changed() == [second]
+    for f, (raw, stat) in kept.items():
+        f.write_bytes(raw)
+        os.utime(f, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    assert grown() == full() and set(before) < set(grown())
+    assert changed() == []
+    # a replaced run, first by other values, then by one without containers
+    sinks.write_runs(rows(first, times=2.0), runs)
+    assert changed() == [first] and grown() == full()
+    sinks.write_runs(telemetry(spark, reading(fixed.CTX_CPU, "idle", 1.0, kd="k0s", run=second)), runs)
+    assert changed() == [second] and grown() == full()
+    assert {r.run for r in silver_states.read_states(spark, states).select("run").distinct().collect()} == {first}
+
+
 def test_shared_folder_follows_the_session(spark):
     folder = session.shared_folder(spark)
     wanted = spark.conf.get("spark.checkpoint.dir", None)

@@ -77,16 +77,30 @@ def container_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("timestamp", "hostname", "chart_context", "name")
 
 
-def run_order(telemetry: DataFrame, by_context: bool = False) -> DataFrame:
-    """Order inside each partition, as run files are written: by time first.
+def run_keys(by_context: bool = False) -> list[str]:
+    """Sort keys of run files: run, then time first, or with ``by_context`` the context.
 
-    ``by_context`` puts the context first.  Analyses select a few contexts of
-    many, so row groups that hold one context let the reader skip the others.
+    Analyses select a few contexts of many, so row groups that hold one context let
+    the reader skip the others.
     """
     keys = ["relative_time", "hostname", "chart_context", "metric_id"]
     if by_context:
         keys = ["chart_context", "relative_time", "hostname", "metric_id"]
-    return telemetry.sortWithinPartitions(*RUN, *keys)
+    return [*RUN, *keys]
+
+
+def run_order(telemetry: DataFrame, by_context: bool = False) -> DataFrame:
+    """Order inside each partition, as run files are written."""
+    return telemetry.sortWithinPartitions(*run_keys(by_context))
+
+
+def sorted_runs(telemetry: DataFrame, by_context: bool = False) -> DataFrame:
+    """Total order of all runs: partitions are disjoint ranges, one after the other.
+
+    The range partitioner cuts inside a run by time, host, context and metric, so a run
+    that holds a third of the rows is spread like any other rows.
+    """
+    return telemetry.orderBy(*run_keys(by_context))
 
 
 def union_runs(*tables: DataFrame) -> DataFrame:

@@ -36,27 +36,34 @@ def with_kept_dimensions(rows: DataFrame) -> DataFrame:
     return rows.where(cells.keeps_dimension(F.col("dims"), F.col("metric_name")))
 
 
-def silver_pod_metrics(telemetry: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Combine dimensions and containers per second, then average the seconds.
+def container_seconds(telemetry: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Sum and maximum per second, of a host's container and metric.
 
-    The pattern runs once per kept row and its result is the grouping key; pod
-    and class are cut out of it afterwards, once per group.  Rows that do not
-    match share one small group per second, which is dropped by an aggregate
-    flag (a filter on the key would be pushed to the scan and match again).
-    Sum and maximum are both formed; the definition then says which counts.
-    Units and rule follow from the metric and are attached after the shuffle.
+    The pattern runs once per kept row and its result is the grouping key ``_container``.
+    Rows that do not match share one small group per second with an empty key; a filter
+    on the key would be pushed to the scan and match again.
     """
     only = telemetry.where(F.col("chart_context").startswith(fixed.CGROUP_PREFIX))
     kept = with_kept_dimensions(with_metric_definition(only, definitions)).select(
         *RUN, "hostname", "metric", "relative_time", "value",
         cells.container_key(F.col("chart_id")).alias("_container"),
     )
-    key = [*RUN, "hostname", "_container", "metric"]
-    seconds = kept.groupBy(*key, "relative_time").agg(
+    return kept.groupBy(*RUN, "hostname", "_container", "metric", "relative_time").agg(
         F.coalesce(F.sum("value"), F.lit(0.0)).alias("_sum"), F.max("value").alias("_max")
     )
+
+
+def silver_pod_metrics(telemetry: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Combine dimensions and containers per second, then average the seconds.
+
+    Pod and class are cut out of the container key once per group; the group of rows
+    that do not match is dropped by an aggregate flag.  Sum and maximum are both formed;
+    the definition then says which counts.  Units and rule follow from the metric and
+    are attached after the shuffle.
+    """
     means = (
-        seconds.groupBy(*key)
+        container_seconds(telemetry, definitions)
+        .groupBy(*RUN, "hostname", "_container", "metric")
         .agg(
             F.avg("_sum").alias("_mean_sum"),
             F.avg("_max").alias("_mean_max"),

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
 from tidegauge.functions import telemetry as cells
-from tidegauge.operators import overhead, silver
+from tidegauge.operators import overhead, silver, silver_states
 from tidegauge.plans.inputs import TELEMETRY
 from tidegauge.plans.registry import query
+from tidegauge.session import new_table_path
+from tidegauge.sinks import tables as sinks
 
 
 
@@ -158,6 +160,17 @@ def silver_table(t):
     return silver.silver_table(t.telemetry, t.definitions)
 
 
+@query("silver_growth", ctes=SILVER, sql="SELECT * FROM silver", rounds="value")
+def silver_growth(t):
+    """The silver table grown in two steps: idle runs first, then those that came later."""
+    runs, states = new_table_path(t.spark, "runs"), new_table_path(t.spark, "silver-states")
+    idle_run = F.col("test_type") == "idle"
+    for part in (t.telemetry.where(idle_run), t.telemetry.where(~idle_run)):
+        sinks.write_runs(part, runs)
+        silver_states.grow_silver(t.spark, runs, states, t.definitions)
+    return silver_states.silver_of(silver_states.read_states(t.spark, states), t.definitions)
+
+
 @query(
     "pod_inventory",
     ctes=CLASSIFIED,

@@ -339,7 +339,7 @@ def project_rename(t):
     sql="SELECT * FROM telemetry ORDER BY kd, test_type, run, relative_time, hostname, chart_context, metric_id",
 )
 def sort_run(t):
-    return scans.run_order(t.telemetry)
+    return scans.sorted_runs(t.telemetry)
 
 
 @query("sort_cgroup", ctes=TELEMETRY, sql=select_renamed(CGROUP) + " ORDER BY timestamp, hostname, chart_context, name")

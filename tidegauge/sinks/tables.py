@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.labels import fixed_text
-from tidegauge.operators.scans import RUN, run_order
+from tidegauge.operators.scans import RUN, run_order, sorted_runs
 from tidegauge.schemas import SILVER_COLUMNS
 from tidegauge.session import broadcast_if_small, checkpointed
 
@@ -32,9 +32,14 @@ def write_runs(
 ) -> None:
     """Sorted run folders, replaced run by run; with ``existing`` only new runs.
 
-    The rebalance hint groups rows by run and lets adaptive execution split a
-    run that holds a large part of the rows over several tasks and files, and
-    merge small runs.  Only the partitions present in the data are overwritten.
+    Rows are range partitioned by run, time, host, context and metric: the files of a
+    large run are disjoint ranges in the order of their names, so together they are
+    sorted, and a time bound skips whole files.  Small runs share a task.  The
+    partitioner draws a sample first, for which ``telemetry`` is computed once more.
+
+    ``by_context`` serves the ingest job, whose rows are dear to compute twice: a
+    rebalance hint groups rows by run and lets adaptive execution split a large run,
+    each file sorted by context.  Only the partitions present in the data are overwritten.
 
     The string keys are made non-nullable (as the writer itself would name an
     absent one): otherwise the writer converts them after our sort, adds a sort
@@ -44,9 +49,9 @@ def write_runs(
     absent = F.lit("__HIVE_DEFAULT_PARTITION__")
     for name in ("kd", "test_type"):
         rows = rows.withColumn(name, F.coalesce(F.nullif(F.col(name), F.lit("")), absent))
+    placed = run_order(rows.hint("rebalance", *RUN), by_context) if by_context else sorted_runs(rows)
     (
-        run_order(rows.hint("rebalance", *RUN), by_context)
-        .write.mode("overwrite")
+        placed.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*RUN)
         .parquet(path)
