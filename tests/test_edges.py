@@ -852,6 +852,42 @@ def test_run_logs_in_plain_folders(spark, tmp_path):
     )
 
 
+def test_long_logs_are_read_by_line(spark, tmp_path):
+    """A log over many splits gives what its whole text gives, wherever the borders fall."""
+    filler = [f'TASK {i} "changed": false, - {i}' for i in range(3000)]
+    announced = ['"msg":', "", '  "100', " -", '160", more']
+    logs = {
+        "idle-1": [*filler[:1500], "[change the tag to first]", *announced, *filler, "[change the tag to x]", '"msg": "1 - 2"'],
+        "idle-2": ['"msg":', "no window", '"7', "- 9\"", *filler, 'ok "msg":"30 -', '50"', '"msg": "1 - 2"'],
+        "idle-3": ['"msg": "8', "- no", '9"', *filler, "-", '5"'],
+        "idle-4": [*filler[:700], *announced[:2], *[""] * 2000, *announced[2:]],
+    }
+    for run, lines in logs.items():
+        folder = tmp_path / "k0s" / "idle" / run
+        folder.mkdir(parents=True)
+        (folder / "ansible_output_1.txt").write_text("\n".join(lines))
+        (folder / "ansible_output_2.txt").write_text("nothing here\n")
+    (tmp_path / "k0s" / "idle" / "idle-3" / "tmp-before.txt").write_text("\n 4 \n\n")
+    (tmp_path / "k0s" / "idle" / "idle-3" / "tmp-after.txt").write_text("4\n5\n")
+    whole = sorted(ingest.run_registry(documents.read_run_logs(spark, str(tmp_path))).collect())
+    found = {r.run_dir: (r.tag, r.start_ts, r.end_ts) for r in whole}
+    assert found == {
+        "idle-1": ("first", 100, 160), "idle-2": ("idle-2", 30, 50),
+        "idle-3": ("idle-3", 4, None), "idle-4": ("idle-4", 100, 160),
+    }
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "4001", "977"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            lines = documents.read_run_log_lines(spark, str(tmp_path))
+            assert size == "128m" or lines.rdd.getNumPartitions() > 40
+            assert sorted(ingest.registry_of(ingest.log_findings(lines)).collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    gone = documents.read_run_log_lines(spark, str(tmp_path / "absent"))
+    assert ingest.registry_of(ingest.log_findings(gone)).collect() == []
+
+
 def test_json_arrays_and_duplicates(spark, tmp_path):
     entries = [
         {"kd": "k0s", "hostname": host, "pod_uuid": "podA", "qos_class": "b", "role": role,

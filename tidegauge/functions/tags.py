@@ -54,3 +54,13 @@ def run_number(run_dir: Column) -> Column:
     """Trailing number of a run directory name."""
     found = F.regexp_extract(run_dir, fixed.RUN_NUMBER_PATTERN, 1)
     return F.nullif(found, F.lit("")).try_cast("int")
+
+
+def may_hold_window(line: Column) -> Column:
+    """Whether a line can hold a part of the announced window, which may run over lines.
+
+    It opens the announcement, or goes on after a break at one of its blanks: with the
+    first number, the dash, or the second number.
+    """
+    goes_on = r'^\s*("\d+\s*($|-)|-\s*($|\d+")|\d+")'
+    return F.contains(line, F.lit('"msg":')) | F.rlike(line, F.lit(goes_on))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
@@ -31,6 +31,72 @@ def run_registry(files: DataFrame) -> DataFrame:
         F.when(name == fixed.START_MARKER, tags.marker_second(text)).alias("file_start"),
         F.when(name == fixed.END_MARKER, tags.marker_second(text)).alias("file_end"),
     )
+    return registry_of(read)
+
+
+FOUND = ["log_tag", "log_start", "log_end", "file_start", "file_end"]
+
+
+def log_findings(lines: DataFrame) -> DataFrame:
+    """What every log and marker file says, from its lines (``read_run_log_lines``).
+
+    One aggregation per split keeps its first tag, its first and last place and the few
+    lines that can be part of a window.  Those that follow each other, also over the
+    border of two splits, are put together, since a window may run over lines; the first
+    one that matches counts.  No file is gathered whole.
+    """
+    file = ["kd", "test_type", "run_dir", "file_name"]
+    name, line, place = F.col("file_name"), F.col("line"), F.col("place")
+    is_log = F.startswith(name, F.lit(fixed.LOG_PREFIX))
+    tag = F.when(is_log, tags.log_tag(line))
+    held = F.when(~is_log | tags.may_hold_window(line), F.struct("place", "line"))
+    blocks = lines.groupBy(*file, "part", "block").agg(
+        F.min("place").alias("first"),
+        F.max("place").alias("last"),
+        F.min_by(tag, F.when(tag.isNotNull(), place)).alias("tag"),
+        F.collect_list(held).alias("held"),
+    )
+    # one row per split of a file
+    order = Window.partitionBy(*file).orderBy("part", "block")
+    numbered = blocks.withColumn("number", F.row_number().over(order))
+    tagged = numbered.groupBy(*file).agg(
+        F.min_by("tag", F.when(F.col("tag").isNotNull(), F.col("number"))).alias("log_tag")
+    )
+    # and of these, only lines that can be part of a window
+    within = Window.partitionBy(*file).orderBy("number", "place")
+    previous = F.lag(F.struct("number", "place", "last")).over(within)
+    follows = ((F.col("previous.number") == F.col("number")) & (F.col("previous.place") + 1 == place)) | (
+        (F.col("previous.number") + 1 == F.col("number"))
+        & (F.col("previous.place") == F.col("previous.last"))
+        & (place == F.col("first"))
+    )
+    pieces = (
+        numbered.select(*file, "number", "first", "last", F.inline("held"))
+        .withColumn("previous", previous)
+        .withColumn("chain", F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(within))
+    )
+    sorted_lines = F.sort_array(F.collect_list(F.struct("number", "place", "line")))
+    texts = pieces.groupBy(*file, "chain").agg(
+        F.array_join(F.transform(sorted_lines, lambda x: x["line"]), "\n").alias("text")
+    )
+    text = F.col("text")
+    start = F.when(is_log, tags.log_window(text, 1))
+    read = texts.groupBy(*file).agg(
+        F.min_by(start, F.when(start.isNotNull(), F.col("chain"))).alias("log_start"),
+        F.min_by(tags.log_window(text, 2), F.when(start.isNotNull(), F.col("chain"))).alias("log_end"),
+        # a marker of several filled lines is no number
+        F.when(F.count("*") == 1, F.max(tags.marker_second(text))).alias("_second"),
+    )
+    return read.join(tagged, file, "full").select(
+        *file, "log_tag", "log_start", "log_end",
+        F.when(name == fixed.START_MARKER, F.col("_second")).alias("file_start"),
+        F.when(name == fixed.END_MARKER, F.col("_second")).alias("file_end"),
+    )
+
+
+def registry_of(read: DataFrame) -> DataFrame:
+    """One entry per run directory from what its files say (``FOUND`` per file)."""
+    name = F.col("file_name")
     # a NULL ordering key takes the row out of min_by and max_by
     per_dir = read.groupBy("kd", "test_type", "run_dir").agg(
         F.min_by("log_tag", F.when(F.col("log_tag").isNotNull(), name)).alias("log_tag"),

@@ -10,6 +10,7 @@ from tidegauge.plans.inputs import METRIC_DOCS, RUN_FILES, TELEMETRY
 from tidegauge.plans.registry import query
 from tidegauge.session import broadcast_if_small, checkpointed, new_table_path
 from tidegauge.sinks import tables as sinks
+from tidegauge.sources import documents
 
 # --- expressions over log texts -----------------------------------------------
 
@@ -95,6 +96,14 @@ REGISTRY = RUN_FILES.rstrip() + """, requested AS (
 )"""
 
 
+def stored_logs(t):
+    """Logs and markers as text files in run folders."""
+    path = new_table_path(t.spark, "logs")
+    rows = t.run_files.select("kd", "test_type", "run_dir", "file_name", "text")
+    rows.write.partitionBy("kd", "test_type", "run_dir", "file_name").text(path)
+    return path
+
+
 def registry(t):
     return ingest.run_registry(t.run_files)
 
@@ -104,7 +113,18 @@ def registry(t):
     sql="SELECT *, end_ts - start_ts AS duration_s FROM run_registry",
 )
 def run_registry(t):
-    return registry(t)
+    return ingest.registry_of(ingest.log_findings(documents.read_run_log_lines(t.spark, stored_logs(t))))
+
+
+@query(
+    "src_run_log_lines", ctes=RUN_FILES,
+    sql="""SELECT * FROM (
+      SELECT kd, test_type, run_dir, file_name, unnest(string_split(text, chr(10))) AS line FROM files
+    ) WHERE trim(line) <> ''""",
+)
+def src_run_log_lines(t):
+    lines = documents.read_run_log_lines(t.spark, stored_logs(t))
+    return lines.select("kd", "test_type", "run_dir", "file_name", "line")
 
 
 @query(

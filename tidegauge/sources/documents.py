@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixed_values as fixed
 from tidegauge import schemas
+from tidegauge.functions.tags import WHITESPACE
 from tidegauge.functions.telemetry import clean_number
 from tidegauge.sources.files import or_empty, read_json
 
@@ -60,10 +61,29 @@ def read_registry(spark: SparkSession, path: str, whole: bool = False) -> DataFr
     return read_json(spark, path, schemas.REGISTRY, whole)
 
 
+def _in_run_folders(files: DataFrame, *columns: str) -> DataFrame:
+    """Key and file name from the path, and only logs and markers."""
+    location = F.col("_metadata.file_path")
+    return files.select(
+        *[
+            F.regexp_extract(location, RUN_FILE, place).alias(name)
+            for place, name in enumerate(["kd", "test_type", "run_dir", "file_name"], start=1)
+        ],
+        *[F.expr(column) for column in columns],
+    ).where(
+        (F.col("run_dir") != "")
+        & (
+            F.col("file_name").startswith(fixed.LOG_PREFIX)
+            | F.col("file_name").isin(fixed.START_MARKER, fixed.END_MARKER)
+        )
+    )
+
+
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """Whole text of the logs and markers below ``{kd}/{test}/{run directory}/``.
 
-    Only these three kinds of file are opened; they are small, and each is one row.
+    Only these three kinds of file are opened, and each is one row; long logs are read
+    by ``read_run_log_lines``.
     """
     schema = "kd string, test_type string, run_dir string, file_name string, text string"
 
@@ -71,19 +91,31 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
         files = spark.read.text(
             path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=RUN_FILES_READ
         )
-        location = F.col("_metadata.file_path")
-        return files.select(
-            *[
-                F.regexp_extract(location, RUN_FILE, place).alias(name)
-                for place, name in enumerate(["kd", "test_type", "run_dir", "file_name"], start=1)
-            ],
-            F.col("value").alias("text"),
-        ).where(
-            (F.col("run_dir") != "")
-            & (
-                F.col("file_name").startswith(fixed.LOG_PREFIX)
-                | F.col("file_name").isin(fixed.START_MARKER, fixed.END_MARKER)
-            )
-        )
+        return _in_run_folders(files, "value AS text")
 
     return or_empty(spark, schema, read)
+
+
+LOG_LINES = (
+    "kd string, test_type string, run_dir string, file_name string, part string, block bigint, "
+    "place bigint, line string"
+)
+
+
+def read_run_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the same files, blank ones left out, with their place in the file.
+
+    A long log is cut into several splits.  Lines are ordered by (part, block, place):
+    the file, the first byte of the split, and a number that rises by one from line to
+    line of a split.
+    """
+
+    def read() -> DataFrame:
+        files = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=RUN_FILES_READ)
+        filled = files.where(F.btrim("value", F.lit(WHITESPACE + "\u0000")) != "")
+        return _in_run_folders(
+            filled.withColumn("place", F.monotonically_increasing_id()),
+            "_metadata.file_path AS part", "_metadata.file_block_start AS block", "place", "value AS line",
+        )
+
+    return or_empty(spark, LOG_LINES, read)
