@@ -852,6 +852,40 @@ def test_run_logs_in_plain_folders(spark, tmp_path):
     )
 
 
+def test_zones_settle_tags_without_documents(spark, tmp_path):
+    path, index = str(tmp_path / "documents"), str(tmp_path / "zones")
+    times = {"a": [100, 5000, 90_000], "k0s-b": [3600, 7000], "c.": [200, 3000], "d": [10, 20]}
+    rows = [
+        ((tag,), at, "h", "c", "c", "c", "i", "i", "u", 1.0) for tag, listed in times.items() for at in listed
+    ]
+    sinks.write_documents(spark.createDataFrame([*rows, ((None,), 5, *rows[0][2:])], schemas.DOCUMENTS), path, index)
+    windows = {
+        1: ("a", 4000, 8000), 2: ("b", 3600, 3600), 3: ("c", 1, 250), 4: ("d", 21, 80_000), 5: ("a", 86_400, 95_000),
+        6: ("none", 1, 100_000), 7: ("a", 90_001, 90_002), 8: ("b", 7100, 3000),
+    }
+    registry = spark.createDataFrame(
+        [("k0s", "idle", f"idle-{n}", n, tag, start, end, end - start) for n, (tag, start, end) in windows.items()],
+        schemas.REGISTRY,
+    )
+    stored, zones = documents.read_documents(spark, path), documents.read_zones(spark, index)
+    want = sorted(ingest.tag_resolve(registry, stored).collect())
+    assert {r.run_num: r.resolved_tag for r in want} == {1: "a", 2: "k0s-b", 3: "c.", 5: "a"}
+    assert zones.where("tag = 'a'").count() == 3 and zones.where("tag IS NULL").count() == 0
+    kept = {f: f.read_bytes() for f in (tmp_path / "documents").rglob("*.parquet")}
+    for f in kept:
+        f.write_bytes(b"no document")
+    assert sorted(ingest.tag_resolve(registry, stored, zones).collect()) == want
+    # a window between the ends of one zone opens the documents, of its day only
+    narrow = spark.createDataFrame([("k0s", "idle", "idle-9", 9, "c", 300, 2900, 2600)], schemas.REGISTRY)
+    wide = spark.createDataFrame([("k0s", "idle", "idle-9", 9, "c", 150, 3100, 2950)], schemas.REGISTRY)
+    for f, raw in kept.items():
+        if "day=0" in str(f):
+            f.write_bytes(raw)
+    by_day = spark.read.schema(schemas.DOCUMENTS + ", day bigint").parquet(path)
+    assert ingest.tag_resolve(narrow, by_day, zones).collect() == []
+    assert [r.resolved_tag for r in ingest.tag_resolve(wide, by_day, zones).collect()] == ["c."]
+
+
 def test_long_logs_are_read_by_line(spark, tmp_path):
     """A log over many splits gives what its whole text gives, wherever the borders fall."""
     filler = [f'TASK {i} "changed": false, - {i}' for i in range(3000)]

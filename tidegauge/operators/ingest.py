@@ -224,11 +224,55 @@ def tag_hits(registry: DataFrame, documents: DataFrame) -> DataFrame:
     return found.select(*ENTRY, "position", "candidate").distinct()
 
 
-def tag_resolve(registry: DataFrame, documents: DataFrame) -> DataFrame:
-    """First candidate of every run that exists; runs without one are absent."""
+def document_zones(documents: DataFrame) -> DataFrame:
+    """(tag, hour, least_ts, greatest_ts): where documents of a tag lie in time."""
+    hour = F.floor(F.col("timestamp") / BUCKET_SECONDS).alias("hour")
     return (
-        tag_hits(registry, documents)
-        .groupBy(*ENTRY)
+        documents.where(F.col("labels.tag").isNotNull() & F.col("timestamp").isNotNull())
+        .groupBy(F.col("labels.tag").alias("tag"), hour)
+        .agg(F.min("timestamp").alias("least_ts"), F.max("timestamp").alias("greatest_ts"))
+    )
+
+
+def tag_hits_by_zones(registry: DataFrame, zones: DataFrame, documents: DataFrame) -> DataFrame:
+    """``tag_hits`` answered from the zones; documents are opened only where those cannot tell.
+
+    Both ends of a zone are times of documents, so an end inside the window settles a
+    candidate.  Only a window that lies between the ends of a single zone stays open.
+    The zones (a row per tag and hour) meet the windows by tag and hour.
+    """
+    probes = tag_candidates(usable_runs(registry)).select(
+        *ENTRY, "start_ts", "end_ts", "position", "candidate"
+    )
+    first, last = (F.floor(F.col(c) / BUCKET_SECONDS) for c in ("start_ts", "end_ts"))
+    unfolded = probes.where("start_ts <= end_ts").withColumn("hour", F.explode(F.sequence(first, last)))
+    inside = [F.col(end).between(F.col("start_ts"), F.col("end_ts")) for end in ("least_ts", "greatest_ts")]
+    around = (F.col("least_ts") < F.col("start_ts")) & (F.col("greatest_ts") > F.col("end_ts"))
+    met = unfolded.join(zones.withColumnRenamed("tag", "candidate"), ["candidate", "hour"])
+    settled = checkpointed(
+        met.groupBy(*ENTRY, "start_ts", "end_ts", "position", "candidate")
+        .agg(F.max(inside[0] | inside[1]).alias("found"), F.max(around).alias("open"))
+        .where("found or open")
+    )
+    keys = [*ENTRY, "position", "candidate"]
+    hits = settled.where("found").select(*keys)
+    unsure = settled.where("not found").drop("found", "open")
+    if not unsure.limit(1).count():
+        return hits
+    looked_up = documents_in_windows(
+        documents.select("labels", "timestamp", *stored_day(documents)), unsure, existence=True
+    )
+    return hits.unionByName(looked_up.select(*keys).distinct())
+
+
+def tag_resolve(registry: DataFrame, documents: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """First candidate of every run that exists; runs without one are absent.
+
+    With the ``zones`` of the documents these are hardly opened.
+    """
+    hits = tag_hits(registry, documents) if zones is None else tag_hits_by_zones(registry, zones, documents)
+    return (
+        hits.groupBy(*ENTRY)
         .agg(F.min_by("candidate", "position").alias("resolved_tag"))
     )
 

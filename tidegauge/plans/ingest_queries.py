@@ -169,9 +169,24 @@ HITS = RUN_FILES.rstrip() + f""", listed AS (SELECT *, {CANDIDATES} AS c FROM ru
 """
 
 
+def stored_documents(t):
+    """Documents stored by day, and the index of their zones."""
+    path, zones = new_table_path(t.spark, "documents"), new_table_path(t.spark, "zones")
+    sinks.write_documents(t.documents, path, zones)
+    return documents.read_documents(t.spark, path), documents.read_zones(t.spark, zones)
+
+
 @query("exists_limit1", ctes=HITS, sql="SELECT * FROM hits")
 def exists_limit1(t):
-    return ingest.tag_hits(checkpointed(registry(t)), t.documents)
+    stored, zones = stored_documents(t)
+    return ingest.tag_hits_by_zones(checkpointed(registry(t)), zones, stored)
+
+
+@query("document_zones", ctes=METRIC_DOCS, sql="""SELECT tag, timestamp // 3600 AS hour,
+      min(timestamp) AS least_ts, max(timestamp) AS greatest_ts
+    FROM metric_docs WHERE tag IS NOT NULL GROUP BY ALL""")
+def document_zones(t):
+    return stored_documents(t)[1]
 
 
 @query("tag_resolve", ctes=HITS, sql="SELECT * FROM resolved")

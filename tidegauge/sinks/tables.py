@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.labels import fixed_text
+from tidegauge.operators.ingest import document_zones
 from tidegauge.operators.scans import RUN, run_order, sorted_runs
-from tidegauge.schemas import SILVER_COLUMNS
+from tidegauge.schemas import DOCUMENTS, SILVER_COLUMNS
 from tidegauge.session import broadcast_if_small, checkpointed
 
 
@@ -73,8 +74,12 @@ def write_silver(silver: DataFrame, path: str) -> None:
     )
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """Raw documents as Parquet, one folder per day, sorted by tag and time inside."""
+def write_documents(documents: DataFrame, path: str, zones: str | None = None) -> None:
+    """Raw documents as Parquet, one folder per day, sorted by tag and time inside.
+
+    With ``zones`` their index (tag, hour, least and greatest second) is written beside
+    them, from the two stored columns that it needs.
+    """
     day = F.floor(F.col("timestamp") / 86_400).alias("day")
     (
         documents.select("*", day)
@@ -85,6 +90,16 @@ def write_documents(documents: DataFrame, path: str) -> None:
         .partitionBy("day")
         .parquet(path)
     )
+    if zones is not None:
+        stored = documents.sparkSession.read.schema(DOCUMENTS).parquet(path)
+        (
+            document_zones(stored)
+            .repartitionByRange("tag", "hour")
+            .sortWithinPartitions("tag", "hour")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .parquet(zones)
+        )
 
 
 def write_result_csv(result: DataFrame, path: str) -> None:

@@ -49,6 +49,12 @@ def read_stored_documents(spark: SparkSession, path: str, start: int, end: int)
     )
 
 
+def read_zones(spark: SparkSession, path: str) -> DataFrame:
+    """Index of stored documents: tag, hour, least and greatest second."""
+    schema = "tag string, hour bigint, least_ts bigint, greatest_ts bigint"
+    return or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(path))
+
+
 def documents_of_tag(documents: DataFrame, tag: str, start: int, end: int) -> DataFrame:
     """The nine wanted fields of one tag inside a closed time window."""
     return documents.where(
