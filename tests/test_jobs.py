@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from tidegauge.operators import overhead
 from tidegauge.plans import jobs
 from tidegauge.plans.inputs import Inputs
 from tidegauge.plans.scan_queries import idle_series
+from tidegauge.sinks import tables as sinks
 from tidegauge.sources import telemetry as sources
 
 FOLDER = "/root/testdata/sf0.001"
@@ -49,6 +51,39 @@ def test_energy_job(spark, tmp_path):
         assert abs(sum(shares) - 1) < 1e-9
 
 
+def test_growing_overhead_equals_the_whole(spark, tmp_path):
+    telemetry = Inputs(spark, FOLDER).telemetry
+    runs, states = f"{tmp_path}/runs", f"{tmp_path}/states"
+    for part, out in ((F.col("run") < 3, "first"), (F.col("run") >= 3, "grown")):
+        sinks.write_runs(telemetry.where(part), runs)
+        jobs.run_growing_overhead(spark, runs, states, f"{tmp_path}/{out}")
+    jobs.run_overhead(telemetry, f"{tmp_path}/whole")
+    for name in ("loaded_overhead", "idle_overhead_totals", "role_counts", "orchestration_tax"):
+        whole, grown = (sorted(map(tuple, rows_of(spark, tmp_path / out / name)), key=str) for out in ("whole", "grown"))
+        assert len(whole) == len(grown) > 0
+        for x, y in zip(whole, grown):
+            assert all(a == b or abs(float(a) - float(b)) < 2e-6 for a, b in zip(x, y))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("silver_", "classes_"))]
+
+
+def test_bucketed_joins_do_not_shuffle(spark, tmp_path):
+    silver = Inputs(spark, FOLDER).stored_silver
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by_pod = ["kd", "pod_uuid"]
+        with sinks.bucketed(silver, "silver", by_pod) as table:
+            with sinks.bucketed(overhead.pod_classification(silver), "classes", by_pod) as classes:
+                joined = overhead.join_role(table, classes)
+                plan = joined._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" in plan and "Exchange" not in plan
+                plain = overhead.join_role(silver, overhead.pod_classification(silver))
+                assert sorted(map(str, joined.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+                assert table.inputFiles() and len(table.inputFiles()) <= 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
 def test_overhead_job(spark, tmp_path):
     jobs.run_overhead(Inputs(spark, FOLDER).telemetry, str(tmp_path))
     silver = sources.read_silver(spark, f"{tmp_path}/silver")

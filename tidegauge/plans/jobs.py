@@ -22,6 +22,7 @@ from tidegauge.operators import (
     overhead,
     scans,
     silver,
+    silver_states,
     statistics,
     verdicts,
 )
@@ -132,27 +133,52 @@ def run_energy(telemetry: DataFrame, out: str) -> None:
 @in_job_folder
 def run_overhead(telemetry: DataFrame, out: str) -> None:
     """Silver table, classification, idle and loaded overhead, tax."""
-    spark = telemetry.sparkSession
-    nodes = fixed.nodes(spark)
     tests = telemetry.where(F.col("test_type").isin(fixed.TEST_TYPES))
-    sinks.write_silver(silver.silver_table(tests, fixed.pod_metrics(spark)), f"{out}/silver")
-    table = sources.read_silver(spark, f"{out}/silver")
-    sinks.write_json(overhead.pod_classification(table), f"{out}/pod_classification")
-    classes = sources.read_classification(spark, f"{out}/pod_classification")
-    idle = written(overhead.idle_overhead(table, classes), "idle")
-    loaded = written(overhead.loaded_overhead(table, classes), "loaded")
-    results = {
-        "idle_overhead": idle,
-        "idle_overhead_pivot": overhead.idle_overhead_pivot(idle),
-        "idle_overhead_totals": overhead.idle_overhead_totals(idle),
-        "loaded_overhead": loaded,
-        "role_counts": overhead.role_counts(table, classes),
-        "orchestration_tax": overhead.orchestration_tax(loaded, nodes),
-        "workload_share": overhead.workload_share(loaded),
-        "growth_factor": overhead.growth_factor(loaded),
-    }
-    for name, result in results.items():
-        sinks.write_result_csv_fixed(result, f"{out}/{name}")
+    definitions = fixed.pod_metrics(telemetry.sparkSession)
+    _overhead_results(silver.silver_table(tests, definitions), out)
+
+
+@in_job_folder
+def run_growing_overhead(spark: SparkSession, runs: str, states: str, out: str) -> None:
+    """The overhead results of stored run folders; only new or replaced runs are scanned.
+
+    ``states`` is the folder in which the silver layer grows from job to job.
+    """
+    definitions = fixed.pod_metrics(spark)
+    silver_states.grow_silver(spark, runs, states, definitions)
+    grown = silver_states.silver_of(silver_states.read_states(spark, states), definitions)
+    _overhead_results(grown.where(F.col("test_type").isin(fixed.TEST_TYPES)), out)
+
+
+def _overhead_results(rows: DataFrame, out: str) -> None:
+    """All results over a silver table.
+
+    Silver table and classification lie in buckets of (kd, pod) while they are joined,
+    so that none of the joins shuffles them again.
+    """
+    spark = rows.sparkSession
+    nodes = fixed.nodes(spark)
+    sinks.write_silver(rows, f"{out}/silver")
+    stored = sources.read_silver(spark, f"{out}/silver")
+    by_pod = ["kd", "pod_uuid"]
+    with sinks.bucketed(stored, "silver", by_pod) as table:
+        sinks.write_json(overhead.pod_classification(table), f"{out}/pod_classification")
+        listed = sources.read_classification(spark, f"{out}/pod_classification")
+        with sinks.bucketed(listed, "classes", by_pod) as classes:
+            idle = written(overhead.idle_overhead(table, classes), "idle")
+            loaded = written(overhead.loaded_overhead(table, classes), "loaded")
+            results = {
+                "idle_overhead": idle,
+                "idle_overhead_pivot": overhead.idle_overhead_pivot(idle),
+                "idle_overhead_totals": overhead.idle_overhead_totals(idle),
+                "loaded_overhead": loaded,
+                "role_counts": overhead.role_counts(table, classes),
+                "orchestration_tax": overhead.orchestration_tax(loaded, nodes),
+                "workload_share": overhead.workload_share(loaded),
+                "growth_factor": overhead.growth_factor(loaded),
+            }
+            for name, result in results.items():
+                sinks.write_result_csv_fixed(result, f"{out}/{name}")
 
 
 @in_job_folder

@@ -5,6 +5,9 @@ All of them write from the executors; none brings rows to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from tidegauge.functions.labels import fixed_text
 from tidegauge.operators.ingest import document_zones
 from tidegauge.operators.scans import RUN, run_order, sorted_runs
 from tidegauge.schemas import DOCUMENTS, SILVER_COLUMNS
-from tidegauge.session import broadcast_if_small, checkpointed
+from tidegauge.session import broadcast_if_small, checkpointed, new_table_path
 
 
 def missing_runs(requested: DataFrame, existing: DataFrame) -> DataFrame:
@@ -74,6 +77,33 @@ def write_silver(silver: DataFrame, path: str) -> None:
     )
 
 
+@contextmanager
+def bucketed(rows: DataFrame, name: str, by: list[str], buckets: int | None = None) -> Iterator[DataFrame]:
+    """``rows`` written once in buckets of ``by``; gone from the catalogue at the end.
+
+    Joins and aggregations on ``by`` between tables of as many buckets need no shuffle,
+    however often they are made.  Each task writes one bucket, sorted.  The number of
+    buckets follows ``spark.sql.shuffle.partitions`` unless it is given.  The files lie
+    in the shared or the running job's folder.
+    """
+    spark = rows.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_table_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    (
+        rows.repartition(buckets, *by)
+        .write.bucketBy(buckets, *by)
+        .sortBy(*by)
+        .option("path", path)
+        .format("parquet")
+        .saveAsTable(table)
+    )
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def write_documents(documents: DataFrame, path: str, zones: str | None = None) -> None:
     """Raw documents as Parquet, one folder per day, sorted by tag and time inside.
 
