@@ -355,6 +355,15 @@ def test_personal_data_on_edges(spark, edge_docs):
     assert red[20]["text"] == "mail <EMAIL> and password=<SECRET> é <IP>"
     assert red[20]["n_chars"] == len(red[20]["text"]) and red[0]["text"] is None
     assert personal_data.redact(docs, field).columns == docs.columns
+    keyed = ["password=correct-horse-battery", "password=hunter2secret9", "the token: abcdefghijkl",
+             'x "api_key": "qwertyuiopas", y', "compass: direction", "the secret: be kind", "bypass: some words",
+             "password:\nEverything else"]
+    spans = [personal_data.find_spans([t.encode()], field)[0][1] for t in keyed]
+    values = [[t[s:e] for _, s, e in found] for t, found in zip(keyed, spans)]
+    assert values == [["correct-horse-battery"], ["hunter2secret9"], ["abcdefghijkl"], ["qwertyuiopas"], [], [], [], []]
+    broken = spark.sql("SELECT 1L AS doc_id, CAST(X'FF2070617373776F72643D616263643132333435' AS STRING) AS text")
+    assert personal_data.personal_data(broken, field).first()["spans"] == "secret:11:20"
+    assert personal_data.redact(broken, field).count() == 1
     nothing = personal_data.fit_field(docs.limit(0))
     assert personal_data.personal_data(edge_docs, nothing).count() == edge_docs.count()
 

@@ -1,7 +1,7 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find four kinds of spans.  The field then labels every word that holds a
-digit or an at sign.  Words that follow each other share chain potentials; distant
+digit or an at sign, and every word inside or after a key such as ``password=``.  Words that follow each other share chain potentials; distant
 words that are equal, or alike in shape and context, share skip potentials.  Loopy
 message passing lets sure mentions carry over to unsure ones of the same document.
 The field is fitted by pseudo-likelihood on a bounded sample of documents, with the
@@ -25,15 +25,19 @@ from tidegauge.session import written
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["other", *KINDS]
 
-_MAYBE = re.compile(rb"[0-9@]")
+_KEY_NAME = r"(?:(?<![a-z])pass(?:wd)?|password|pwd|token|secret|api[_-]?key)[\"']?"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
-_KEY = re.compile(r"(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?$", re.I)
-_KEY_INSIDE = re.compile(r"(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key)[=:][\"']?", re.I)
+_KEY = re.compile(_KEY_NAME + r"\s*[=:]\s*[\"']?$", re.I | re.A)
+_KEY_INSIDE = re.compile(_KEY_NAME + r"[=:][\"']?", re.I | re.A)
+_KEYED = _KEY_NAME + r"[ \t]*[=:][ \t]*[\"']?"
+_MAYBE = re.compile(rb"[0-9@]|" + _KEYED.encode(), re.I)
+# Where a word of the field is found: a digit or an at sign in it, or the value of a key.
+_MARK = re.compile(r"[0-9@]|" + _KEYED + r"(?=[^\x20\x09-\x0D])", re.I | re.A)
 _HEX = re.compile(r"[0-9a-fA-F]{12,}")
 
 
@@ -107,21 +111,33 @@ class Graph:
 
 
 def _candidates(text: str) -> list[tuple[int, int]]:
-    """Words with a digit or an at sign."""
+    """Words with a digit or an at sign, and words inside or after a key on the same line."""
     spans, at = [], 0
-    mark = re.compile(r"[0-9@]")
-    while m := mark.search(text, at):
-        start = m.start()
+    while m := _MARK.search(text, at):
+        here = m.start() if m.end() - m.start() == 1 else m.end()
+        start = here
         while start > at and not _SPACE.match(text, start - 1):
             start -= 1
-        space = _SPACE.search(text, m.start())
+        space = _SPACE.search(text, here)
         end = space.start() if space else len(text)
         spans.append((start, end))
         at = end
     return spans
 
 
-N_UNARY = 24
+N_UNARY = 25
+# The shortest value of a key that counts as a secret.
+SECRET_CHARS = 8
+
+
+def _keyed_value(word: str, before: str) -> str | None:
+    """The value of a key before or inside a word, without quotes and closing marks."""
+    inside = _KEY_INSIDE.search(word)
+    if inside:
+        word = word[inside.end() :]
+    elif not _KEY.search(before):
+        return None
+    return word.strip("\"'.,;:!?()[]{}<>")
 
 
 def _unary(word: str, before: str) -> list[float]:
@@ -131,6 +147,7 @@ def _unary(word: str, before: str) -> list[float]:
     core = word.strip("\"'.,;:!?()[]{}<>")
     dots = core.count(".")
     n = len(word)
+    value = _keyed_value(word, before)
     return [
         1.0,
         digits / n,
@@ -152,10 +169,11 @@ def _unary(word: str, before: str) -> list[float]:
         float(digits > 19),
         float(bool(_HEX.fullmatch(core)) and letters > 0),
         float(letters > 2 and digits > 2 and core.isalnum()),
-        float(bool(_KEY.search(before) or _KEY_INSIDE.search(word))),
+        float(value is not None),
         float(bool(_HEX.search(word))),
         min(n, 64) / 16,
         float("=" in word),
+        float(value is not None and len(value) >= SECRET_CHARS and any(c.isalpha() for c in value)),
     ]
 
 
@@ -189,8 +207,8 @@ def silver_labels(text: str, graph: Graph) -> np.ndarray:
     """Labels from pattern spans, and from words after or inside a key such as ``password=``."""
     y = np.zeros(len(graph.spans), np.int64)
     secret = LABELS.index("secret")
-    for i, (s, e) in enumerate(graph.spans):
-        if graph.x[i, 20] and e - s >= 8 and graph.x[i, 2] > 0:
+    for i in range(len(graph.spans)):
+        if graph.x[i, -1]:
             y[i] = secret
     starts = np.array([s for s, _ in graph.spans])
     ends = np.array([e for _, e in graph.spans])
@@ -216,6 +234,10 @@ class FieldParameters:
     steps: int = 300
 
 
+# Prior weight of a long value of a key for the label ``secret``.
+KEYED_PRIOR = 8.0
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(1, keepdims=True))
     return z / z.sum(1, keepdims=True)
@@ -269,8 +291,10 @@ def fit_by_pseudolikelihood(
 ) -> Field:
     """Each word's label given its neighbours' labels; Adam on the tied parameters."""
     k = len(LABELS)
-    # Like words are expected to agree unless the sample says otherwise.
+    # Like words are expected to agree, and long values of keys to be secrets whatever
+    # their characters, unless the sample says otherwise.
     prior = [np.zeros((x.shape[1], k)), np.zeros((k, k)), np.ones(k)]
+    prior[0][-1, LABELS.index("secret")] = KEYED_PRIOR
     params = [p.copy() for p in prior]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
@@ -302,13 +326,13 @@ def _edges(pairs: list[tuple[int, int]]) -> np.ndarray:
 
 
 def fit_field(docs: DataFrame, how: FieldParameters = FieldParameters()) -> Field:
-    """Fit on a hashed sample of the texts that hold a digit or an at sign.
+    """Fit on a hashed sample of the texts that hold a digit, an at sign or a key.
 
     Of a longer text, a stretch of ``how.words`` words at a hashed place is used.
     Without any such text the field labels nothing.
     """
     some = written(
-        docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h")).distinct(), "candidate-texts"
+        docs.where(F.col("text").rlike("(?i)[0-9@]|" + _KEYED)).select(F.xxhash64("text").alias("h")).distinct(), "candidate-texts"
     )
     # Bounded by its parameter, so it may be broadcast.
     chosen = F.broadcast(hashed_sample(some, how.texts, "h"))
@@ -317,7 +341,7 @@ def fit_field(docs: DataFrame, how: FieldParameters = FieldParameters()) -> Fiel
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[str, list] = {"h": [], "x": [], "y": [], "chain": [], "skip": []}
         for h, raw in zip(batch.column("h").to_pylist(), text_bytes(batch.column("text"))):
-            text = raw.decode()
+            text = raw.decode(errors="replace")
             graph = graph_of(text)
             y = silver_labels(text, graph)
             n = len(y)
@@ -364,7 +388,7 @@ def find_spans(texts: list[bytes], field: Field) -> list[tuple[list, list]]:
     for i, raw in enumerate(texts):
         if not _MAYBE.search(raw):
             continue
-        text = raw.decode()
+        text = raw.decode(errors="replace")
         graph = graph_of(text)
         found[i] = (base_spans(text), [])
         work.append((i, text, graph, base))
@@ -418,7 +442,7 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
 def personal_data(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, counts of the pattern kinds, base_sha256, spans of every document.
 
-    Offsets count code points.  NULL and empty texts have no spans; repeated rows
+    Offsets count code points; broken UTF-8 counts as replacement characters.  NULL and empty texts have no spans; repeated rows
     are treated alike; other columns are ignored.
     """
 
@@ -454,14 +478,17 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = list(text_bytes(batch.column("text")))
-        old = batch.column("text").to_pylist()
-        new = [redacted_text(o, every) if every else o for o, (_, every) in zip(old, find_spans(texts, field))]
+        column = batch.column("text")
+        found = [every for _, every in find_spans(texts, field)]
+        new = [redacted_text(t.decode(errors="replace"), every) if every else None for t, every in zip(texts, found)]
+        kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+        kept = [t.encode() if t is not None else o.as_py() for t, o in zip(new, column.cast(kind))]
         columns = list(batch.columns)
         names = batch.schema.names
-        columns[names.index("text")] = pa.array(new, batch.schema.field("text").type)
+        columns[names.index("text")] = pa.array(kept, kind).view(column.type)
         if "n_chars" in names:
             was = batch.column("n_chars")
-            sizes = [len(t) if t != o else w for t, o, w in zip(new, old, was.to_pylist())]
+            sizes = [w if t is None else len(t) for t, w in zip(new, was.to_pylist())]
             columns[names.index("n_chars")] = pa.array(sizes, was.type)
         return pa.RecordBatch.from_arrays(columns, names=names)
 
