@@ -200,6 +200,10 @@ def test_planted_leaks_are_found(spark, edge_docs):
     assert len(spaces) > 1
     got = {x["doc_id"]: list(x["item_ids"]) for x in decontamination.benchmark_leaks(docs, spaces, how).collect()}
     assert got == expected
+    for one_pass in (decontamination.benchmark_leaks(docs, spaces, how), decontamination.without_leaks(docs, spaces, how)):
+        assert one_pass._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    read = decontamination.SpaceReader(most=0)
+    assert read(spaces[0]) is not read(spaces[0]) and read(spaces[0]).items == decontamination.SpaceReader()(spaces[0]).items
     clean = decontamination.without_leaks(docs, spaces, how)
     assert sorted(x["doc_id"] for x in clean.collect()) == [i for i, hit in expected.items() if not hit]
     marked = decontamination.benchmark_leaks(edge_docs, spaces, how).collect()

@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import LOWER, UPPER, arrow_pass, text_bytes
-from tidegauge.session import written
+from tidegauge.llm.warc_packages import open_store
+from tidegauge.session import new_table_path, written
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MARKS = b".,;:!?\"'()[]{}"
@@ -308,71 +310,106 @@ def leaks_in(
     return found
 
 
+def _keep(space: LatentSpace, uri: str) -> None:
+    store, path = open_store(uri)
+    with store.open_output_stream(path) as out:
+        out.write(pickle.dumps((space.column, space.reach, space.halves, space.passages, space.items), protocol=5))
+
+
+class SpaceReader:
+    """Latent spaces by their files; of those read, ``most`` bytes are remembered."""
+
+    def __init__(self, most: int = 64 << 20):
+        self.most, self.known = most, {}
+
+    def __call__(self, uri: str) -> LatentSpace:
+        if uri in self.known:
+            return self.known[uri]
+        store, path = open_store(uri)
+        with store.open_input_file(path) as file:
+            space = LatentSpace(*pickle.loads(file.read()))
+        if sum(s.reach.nbytes for s in self.known.values()) + space.reach.nbytes <= self.most:
+            self.known[uri] = space
+        return space
+
+
 def latent_spaces(
     docs: DataFrame, benchmark: DataFrame, how: DecontaminationParameters = DecontaminationParameters()
-) -> list[LatentSpace]:
-    """Latent spaces of all benchmark items, block by block.  No items give none."""
-    passages = benchmark_passages(benchmark, how)
-    numbered = written(passages.withColumn("block", F.lit(0)), "passages")
-    total = numbered.count()
+) -> list[str]:
+    """Files in the shared folder, one per block of items, with its latent space.  No items give none.
+
+    The driver holds one block at a time.
+    """
+    passages = written(benchmark_passages(benchmark, how), "passages")
+    total = passages.count()
     if not total:
         return []
     blocks = -(-total // how.block)
-    spread = numbered.withColumn(
-        "block", F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)).cast("int")
+    number = F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)).cast("int")
+    # In the order of the blocks, so that a block opens its own part of the table.
+    spread = written(
+        passages.withColumn("block", number).repartitionByRange("block").sortWithinPartitions("block"), "blocks"
     )
     idf = inverse_frequencies(docs, how)
-    return [
-        latent_space(spread.where(F.col("block") == b), idf, how)
-        for b in sorted(r["block"] for r in spread.select("block").distinct().collect())
-    ]
+    files = []
+    for b in sorted(r["block"] for r in spread.select("block").distinct().collect()):
+        files.append(new_table_path(docs.sparkSession, "latent-space"))
+        _keep(latent_space(spread.where(F.col("block") == b), idf, how), files[-1])
+    return files
+
+
+def _leaks_of_batch(
+    batch: pa.RecordBatch, spaces: list[str], read: SpaceReader, how: DecontaminationParameters, first: bool
+) -> list[dict[int | None, float]]:
+    """Items found in each text, block after block; with ``first`` a text is left at its first item."""
+    columns = WordColumns(how.dims)
+    found: list[dict[int | None, float]] = [{} for _ in range(batch.num_rows)]
+    for uri in spaces:
+        space = read(uri)
+        for known, raw in zip(found, text_bytes(batch.column("text"))):
+            if first and known:
+                continue
+            for item, share in leaks_in(plain_words(raw), space, columns, how).items():
+                known[item] = max(known.get(item, 0.0), share)
+    return found
 
 
 def benchmark_leaks(
-    docs: DataFrame, spaces: list[LatentSpace], how: DecontaminationParameters = DecontaminationParameters()
+    docs: DataFrame, spaces: list[str], how: DecontaminationParameters = DecontaminationParameters()
 ) -> DataFrame:
     """doc_id, contaminated, item_ids (sorted), share (of the best item's or passage's words) of every document.
 
-    Each block of items is one pass over all documents, in the same tasks.  NULL
-    and empty texts hold no item; an item without an id is reported as -1.
+    One pass over all documents: a task takes a slice of texts past the blocks of items,
+    which it reads from the shared folder one at a time.  NULL and empty texts hold no
+    item; an item without an id is reported as -1.
     """
-    schema = "doc_id bigint, text string, item_ids array<bigint>, share double"
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        "text",
-        F.expr("CAST(array() AS array<bigint>)").alias("item_ids"),
-        F.lit(0.0).alias("share"),
-    )
-    for space in spaces:
-
-        def work(batch: pa.RecordBatch, space: LatentSpace = space) -> pa.RecordBatch:
-            columns = WordColumns(how.dims)
-            ids, shares = batch.column("item_ids").to_pylist(), batch.column("share").to_pylist()
-            for i, raw in enumerate(text_bytes(batch.column("text"))):
-                found = leaks_in(plain_words(raw), space, columns, how)
-                if found:
-                    ids[i] = sorted({*ids[i], *(-1 if k is None else k for k in found)})
-                    shares[i] = max(shares[i], *found.values())
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.list_(pa.int64())), pa.array(shares)],
-                names=["doc_id", "text", "item_ids", "share"],
-            )
+    read = SpaceReader()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = _leaks_of_batch(batch, spaces, read, how, first=False)
+        ids = [sorted({-1 if k is None else k for k in f}) for f in found]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([bool(f) for f in found], pa.bool_()),
+                pa.array(ids, pa.list_(pa.int64())),
+                pa.array([max(f.values(), default=0.0) for f in found], pa.float64()),
+            ],
+            names=["doc_id", "contaminated", "item_ids", "share"],
+        )
 
-        rows = arrow_pass(rows, work, schema)
-    return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "share")
+    schema = "doc_id bigint, contaminated boolean, item_ids array<bigint>, share double"
+    return arrow_pass(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), work, schema)
 
 
 def without_leaks(
-    docs: DataFrame, spaces: list[LatentSpace], how: DecontaminationParameters = DecontaminationParameters()
+    docs: DataFrame, spaces: list[str], how: DecontaminationParameters = DecontaminationParameters()
 ) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    for space in spaces:
+    read = SpaceReader()
 
-        def work(batch: pa.RecordBatch, space: LatentSpace = space) -> pa.RecordBatch:
-            columns = WordColumns(how.dims)
-            texts = map(plain_words, text_bytes(batch.column("text")))
-            clean = [not leaks_in(words, space, columns, how) for words in texts]
-            return batch.filter(pa.array(clean, pa.bool_()))
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = _leaks_of_batch(batch, spaces, read, how, first=True)
+        return batch.filter(pa.array([not f for f in found], pa.bool_()))
 
-        docs = arrow_pass(docs, work, docs.schema)
-    return docs
+    return arrow_pass(docs, work, docs.schema)
