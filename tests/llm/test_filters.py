@@ -214,9 +214,7 @@ def brute_ratio(urls, how):
     for gram, (a, r) in counts.items():
         totals[gram[:-1]][0] += a
         totals[gram[:-1]][1] += r
-    kept = sorted((c for c in totals if sum(totals[c]) >= how.least_count or c == ""),
-                  key=lambda c: (-sum(totals[c]), len(c), c))[: how.contexts]
-    kept = set(kept)
+    kept = {c for c in totals if sum(totals[c]) >= how.least_count or c == ""}
 
     def p(context, c, side):
         n = totals[context][side]
@@ -235,8 +233,11 @@ def brute_ratio(urls, how):
     return score
 
 
-def test_ratio_against_brute_force(spark, tables):
-    how = url_filter.UrlModelParameters(contexts=200)
+@pytest.mark.parametrize("least_count, shuffled", [(8, False), (1, True)])
+def test_ratio_against_brute_force(spark, tables, monkeypatch, least_count, shuffled):
+    how = url_filter.UrlModelParameters(least_count=least_count)
+    if shuffled:
+        monkeypatch.setattr(url_filter, "broadcast_if_small", lambda df: df.hint("merge"))
     urls = [r["url"] for r in tables("pages").select("url").distinct().limit(120).collect()]
     labelled = [(u, ".org" in u) for u in urls]
     df = spark.createDataFrame(labelled, "url string, accepted boolean")

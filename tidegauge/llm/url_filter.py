@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import LOWER, UPPER, lower_ascii
-from tidegauge.session import written
+from tidegauge.session import broadcast_if_small, written
 
 # Letters, one sign for all digits, punctuation, one sign for all else, the end.
 SYMBOLS = [*LOWER, "0", *"./-_?&=%#:~+@", "*", "$"]
@@ -45,15 +45,13 @@ RULES = (
 
 @dataclass(frozen=True)
 class UrlModelParameters:
-    """``contexts`` bounds the model: that many contexts times the symbols is broadcast.
+    """A context counts from ``least_count`` characters, whatever their number.
 
-    A context counts from ``least_count`` characters; ``shrink`` is the weight of
-    the next shorter context; one of ``folds`` parts of the labelled URLs
-    calibrates the threshold.
+    ``shrink`` is the weight of the next shorter context; one of ``folds`` parts of the
+    labelled URLs calibrates the threshold.
     """
 
     order: int = 3
-    contexts: int = 4096
     least_count: int = 8
     shrink: float = 4.0
     folds: int = 5
@@ -99,8 +97,8 @@ def fit_ratio(urls: DataFrame, how: UrlModelParameters = UrlModelParameters()) -
     """(gram, delta): what each kept context adds to the log ratio of its next character.
 
     ``urls`` has distinct (url, accepted).  With orders 0 to k of a position summed,
-    the ratio at the longest kept context remains.  Row count is bounded by
-    ``contexts`` times the symbols.
+    the ratio at the longest kept context remains.  The alphabet and the order bound
+    the rows (some 4.6 million); real URLs use far fewer.
     """
     counts = written(
         _grams(urls.select("url", "accepted"), how.order)
@@ -112,9 +110,7 @@ def fit_ratio(urls: DataFrame, how: UrlModelParameters = UrlModelParameters()) -
     totals = counts.groupBy("context").agg(F.sum("a").alias("all_a"), F.sum("r").alias("all_r"))
     # A suffix of a context is at least as frequent, so all suffixes of a kept one are kept.
     kept = written(
-        totals.where((F.col("all_a") + F.col("all_r") >= how.least_count) | (F.col("context") == ""))
-        .orderBy((F.col("all_a") + F.col("all_r")).desc(), F.length("context"), "context")
-        .limit(how.contexts),
+        totals.where((F.col("all_a") + F.col("all_r") >= how.least_count) | (F.col("context") == "")),
         "url-contexts",
     )
     symbols = F.array(*[F.lit(s) for s in SYMBOLS])
@@ -155,10 +151,13 @@ def fit_ratio(urls: DataFrame, how: UrlModelParameters = UrlModelParameters()) -
 
 
 def mean_ratio(urls: DataFrame, ratio: DataFrame, how: UrlModelParameters = UrlModelParameters()) -> DataFrame:
-    """(url, score) of distinct non-NULL urls: mean log ratio per character, the end included."""
-    summed = _grams(urls.select("url"), how.order).join(F.broadcast(ratio), "gram").groupBy("url").agg(
-        F.sum("delta").alias("sum")
-    )
+    """(url, score) of distinct non-NULL urls: mean log ratio per character, the end included.
+
+    A model beyond the broadcast limit meets the characters by a join on the gram, in
+    which adaptive execution splits a frequent one.
+    """
+    grams = _grams(urls.select("url"), how.order)
+    summed = grams.join(broadcast_if_small(ratio), "gram").groupBy("url").agg(F.sum("delta").alias("sum"))
     return summed.select("url", F.round(F.col("sum") / (F.length("url") + 1), 9).alias("score"))
 
 
@@ -192,26 +191,33 @@ def judge_urls(
     """page_id, host, path, rule, verdict, score of every page.
 
     URLs that a rule decides teach the models; the others are allowed if their
-    score reaches the cut.  A NULL url has host and path empty and score 0, as
-    has any url without characters.  Repeated rows are judged alike; a url counts
+    score reaches the cut.  A NULL url has host and path empty, no rule and score 0;
+    an empty one is scored by its end alone.  Repeated rows are judged alike; a url counts
     once in the models however often it occurs.  If the rules decide no URL either
     way, everything else is allowed.  Other columns are ignored.
     """
+    rows = pages.select("page_id", F.col("url").cast("string").alias("_url"))
+    distinct = rows.select(F.col("_url").alias("url")).where("url is not null").distinct()
+    # A page table may be a few large files; the work on its urls is dealt to all cores.
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).withColumns(
-        {"host": host, "path": path}
+    urls = distinct.repartition(pages.sparkSession.sparkContext.defaultParallelism).select(
+        "url", host.alias("host"), path.alias("path")
     )
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "by_rule": verdict})
-    urls = written(rows.where("url is not null").select("url", "by_rule").distinct(), "urls")
+    urls = written(urls.withColumns({"rule": rule, "by_rule": verdict}), "urls")
     labelled = urls.where("by_rule is not null").select("url", (F.col("by_rule") == "allow").alias("accepted"))
     held = F.crc32(F.col("url").cast("binary")) % how.folds == 0
     ratio = fit_ratio(labelled.where(~held), how)
     scored = written(mean_ratio(urls, ratio, how), "url-scores")
     cut = calibrated_cut(labelled.where(held).join(scored, "url").select("accepted", "score"))
-    known = scored.select(F.col("url").alias("_url"), "score")
     score = F.coalesce(F.col("score"), F.lit(0.0))
     by_model = F.when(score >= F.lit(cut), "allow").otherwise("block")
-    return rows.join(known, F.col("url") == F.col("_url"), "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), score.alias("score")
+    judged = rows.join(urls.join(scored, "url", "left"), F.col("_url") == F.col("url"), "left")
+    return judged.select(
+        "page_id",
+        F.coalesce("host", F.lit("")).alias("host"),
+        F.coalesce("path", F.lit("")).alias("path"),
+        "rule",
+        F.coalesce("by_rule", by_model).alias("verdict"),
+        score.alias("score"),
     )
