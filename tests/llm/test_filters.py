@@ -1,5 +1,6 @@
 """URL filter, quality rules, toxicity, co-training: brute force, accuracy, edge cases."""
 
+import dataclasses
 import math
 import re
 import zlib
@@ -148,24 +149,45 @@ def test_cotraining_on_edges(spark, edge_docs):
     assert cotraining.score_quality(bare.limit(0), model).count() == 0
 
 
-def test_views_teach_each_other():
+def test_views_teach_each_other(spark):
     """One view has signal in the labels, the other only learns through pseudo-labels."""
     rng = np.random.default_rng(2)
+    how = cotraining.CoTrainingParameters(pairs=11, categories=0, pseudo=500)
     y = rng.integers(0, 2, 40).astype(float)
     pool = rng.integers(0, 2, 2000).astype(float)
 
-    def view(labels, strength):
-        return np.column_stack([labels * strength + rng.normal(size=len(labels)), rng.normal(size=(len(labels), 10))])
+    def view(labels, strength, wide):
+        noise = rng.normal(size=(len(labels), wide - 1))
+        return np.column_stack([labels * strength + rng.normal(size=len(labels)), noise]).astype("<f4")
 
-    a, b, pa_, pb = view(y, 6), view(y, 2), view(pool, 6), view(pool, 2)
+    a, b, pa_, pb = view(y, 6, 11), view(y, 2, 16), view(pool, 6, 11), view(pool, 2, 16)
+    rows = [(i, bytearray(u.astype("<f2").tobytes()), bytearray(w.tobytes())) for i, (u, w) in enumerate(zip(pa_, pb))]
+    table = spark.createDataFrame([*rows, rows[0]], "doc_id bigint, a binary, b binary").repartition(3)
     held = np.arange(40) % 4 == 0
-    once = cotraining.co_train(a, b, y, held, pa_, pb, cotraining.CoTrainingParameters(rounds=0))
-    more = cotraining.co_train(a, b, y, held, pa_, pb, cotraining.CoTrainingParameters(rounds=5))
+    unlabelled = cotraining.Pool(table, how)
+    once = cotraining.co_train(a, b, y, held, unlabelled, dataclasses.replace(how, rounds=0))
+    more = cotraining.co_train(a, b, y, held, unlabelled, how)
 
     def right(model):
         return np.mean((model.metadata.logit(pb) > 0) == (pool == 1))
 
-    assert right(more) >= right(once)
+    assert right(more) > right(once) + 0.02
+
+    # The passes over the table against the same rounds over one array.
+    x, ids = [pa_.astype("<f2").astype(np.float32), pb], np.arange(2000)
+    views = [cotraining._View(a, y), cotraining._View(b, y)]
+    cuts, n = cotraining.chosen_cuts(unlabelled.counts(views, []), {0: 30.0, 1: 40.0})
+    given = cotraining.given_labels([cotraining.Round(views, cuts)], x, ids)
+    for v in (0, 1):
+        p = 1 / (1 + np.exp(-views[v].logit(x[v])))
+        least = {1: p[given[1 - v] == 1].min(), 0: (1 - p)[given[1 - v] == 0].min()}
+        for label, quota in ((1, 40), (0, 30)):
+            sure = p if label else 1 - p
+            assert least[label] > 0.95
+            assert abs((given[1 - v] == label).sum() - min(quota, (sure > 0.95).sum())) <= 8
+            assert (sure > least[label] + 0.01).sum() <= (given[1 - v] == label).sum()
+    taken = unlabelled.sample([cotraining.Round(views, cuts)], n)
+    assert [len(t[1]) for t in taken] == [(g >= 0).sum() for g in given]
 
 
 # --- URLs ---------------------------------------------------------------------------------
