@@ -523,15 +523,71 @@ def test_scores_against_brute_force(spark):
 
 
 def test_join_gives_what_frequent_words_give(spark):
-    """A count that comes by the join changes the score as if the task had known it."""
-    logs, counts = np.array([-3.0, -5.0, -2.0]), np.array([40.0, 7.0, 0.0])
+    """A text scores the same whether its words travel with the tasks or come by the join."""
+    rng = np.random.default_rng(1)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 30))) for i in range(60)], "doc_id long, text string")
+    scores = []
+    for frequent in (1, 100):
+        how = context_mixing.MixingParameters(frequent=frequent, lessons=500, pairs=0)
+        scores.append({r["doc_id"]: r["score"] for r in context_mixing.score_documents(docs, how).collect()})
+    # The lessons are other draws, so the spelling differs a little.
+    assert all(abs(scores[0][i] - scores[1][i]) < 0.05 * abs(scores[1][i]) for i in range(60))
+
+
+def test_occurrence_terms():
     ids, start = np.array([0, 1, 0, 2, 1, 0, 0]), np.array([0, 5])
     before = np.concatenate([context_mixing.seen_before(ids[:5]), context_mixing.seen_before(ids[5:])])
     assert before.tolist() == [0, 0, 1, 0, 1, 0, 1]
-    full, _ = context_mixing.document_logs(logs[ids], counts[ids], before, start, 0.3, 100, 50.0)
-    part, lift = context_mixing.document_logs(logs[ids], np.full(7, -1.0), before, start, 0.3, 100, 50.0)
-    assert full[5] == full[0] and np.allclose(full[6], np.log10((1 - 0 / 51) * (0.3 * 1e-3 + 0.7 * 0.4)))
-    assert np.allclose(full, part + np.log10(1 + counts[ids] * 10.0**lift))
+    a, d = context_mixing.occurrence_terms(before, start, np.full(7, 0.5), np.full(7, 0.1), 50.0)
+    assert a[5] == a[0] == 0.5 and d[0] == 0.1
+    assert np.isclose(a[4], (1 - 1 / 54) * 0.5) and np.isclose(d[4], (1 - 1 / 54) * 0.1 + (1 / 54) * (1 / 4))
+    assert context_mixing.words_before(ids, start).tolist() == [0, 0, 1, 0, 2, 0, 0]
+
+
+def test_pairs_against_brute_force(spark):
+    """All pairs of frequent words are counted; what follows a word adds up to one."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = [(r["text"] or "").encode().lower().split() for r in docs.collect()]
+    listed = [b"", *(w for w, _ in Counter(w for t in texts for w in t).most_common(300))]
+    number = {w: k for k, w in enumerate(listed)}
+    want = Counter()
+    for words in texts:
+        for u, w in itertools.pairwise([b"", *words, b""]):
+            if u in number and w in number:
+                want[number[u] * len(listed) + number[w]] += 1
+    counted = context_mixing.pair_counts(docs, listed, 16).cache()
+    keys, n = context_mixing.frequent_pairs(counted, 1)
+    assert dict(zip(keys.tolist(), n.tolist())) == want
+    least = context_mixing.least_pair_count(counted, 500)
+    reached = sum(v >= least for v in want.values())
+    assert 0 < reached <= 500 and context_mixing.least_pair_count(counted, 10**9) == 1
+
+    training = docs.select((F.lit(False)).alias("held_out"), "text")
+    how = context_mixing.MixingParameters(frequent=300, lessons=500, pairs=5000)
+    scorer = context_mixing.fit_scorer(context_mixing.vocabulary(training).cache(), how)
+    f = context_mixing.learn_followers(training, scorer)
+    u = f.keys // f.words
+    # Of each word before, ``keep`` and all ``extra`` make one.
+    total = f.keep + np.bincount(u, f.extra, minlength=f.words)
+    assert len(f.keys) and np.allclose(total, 1.0, atol=1e-5)
+
+
+def test_score_beats_base_and_knows_the_order(spark):
+    """Held-out texts score above the base; with shuffled words clearly lower."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(2)
+    held = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 and len((r["text"] or "").split()) >= 20]
+    free = (i for i in itertools.count(10**9) if zlib.crc32(str(i).encode()) % 7 == 2)
+    shuffled = {next(free): r for r in held}
+    rows = [(i, " ".join(rng.permutation(r["text"].split()).tolist())) for i, r in shuffled.items()]
+    both = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in context_mixing.score_documents(both).collect()}
+    tokens = sum(got[r["doc_id"]]["n_tokens"] for r in held)
+    score = sum(got[r["doc_id"]]["score"] for r in held) / tokens
+    base = sum(got[r["doc_id"]]["base_score"] for r in held) / tokens
+    mixed_up = sum(got[i]["score"] for i in shuffled) / tokens
+    assert score > base + 0.1 and score > mixed_up + 0.1
 
 
 def test_words_of_a_text_share_one_probability():
@@ -545,16 +601,16 @@ def test_words_of_a_text_share_one_probability():
         for k, slot in enumerate(context_mixing.slots(c, bit)[1]):
             np.add.at(n1, context_mixing.OFFSETS[k] + slot[y == 1].astype(int), 1)
             np.add.at(n0, context_mixing.OFFSETS[k] + slot[y == 0].astype(int), 1)
-    mixer = context_mixing.teach(n0, n1, lessons, context_mixing.MixingParameters(lessons=2000))
+    mixer, met = context_mixing.teach(n0, n1, lessons, context_mixing.MixingParameters(lessons=2000))
     words = [b""] + [bytes(w) for k in (1, 2, 3) for w in itertools.product(b"abc", repeat=k)]
     p = 10.0 ** mixer.word_logs(words)
     assert 0.9 < p.sum() <= 1.0
+    assert len(met) == len(lessons) and (met < 0).all()
     # Copies of a word cost less and less inside a text.
     before = context_mixing.seen_before(np.zeros(40, int))
-    logs, _ = context_mixing.document_logs(
-        np.full(40, -4.0), np.zeros(40), before, np.array([0]), 0.5, 10, 50.0
-    )
-    assert logs[-1] > logs[0]
+    a, d = context_mixing.occurrence_terms(before, np.array([0]), np.ones(40), np.zeros(40), 50.0)
+    p = a * 1e-4 + d
+    assert p[-1] > p[0]
 
 
 def test_scores_on_edges(spark, edge_docs):
