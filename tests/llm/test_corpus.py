@@ -590,6 +590,28 @@ def test_score_beats_base_and_knows_the_order(spark):
     assert score > base + 0.1 and score > mixed_up + 0.1
 
 
+def test_every_training_word_teaches(spark):
+    """Weights, map and share are learned from each word as often as it occurs, over several learners."""
+    rng = np.random.default_rng(5)
+    count = {bytes(rng.integers(97, 105, rng.integers(0, 7)).tolist()): int(rng.zipf(1.3)) % 5000 + 1 for _ in range(900)}
+    tokens, bits = sum(count.values()), 8 * sum(n * (len(w) + 1) for w, n in count.items())
+    vocab = spark.createDataFrame(list(count.items()), "word binary, n bigint").cache()
+    n0, n1 = context_mixing.slot_counts(vocab)
+    for a, b in itertools.pairwise(context_mixing.OFFSETS):
+        assert n0[a:b].sum(dtype=float) + n1[a:b].sum(dtype=float) == bits
+    how = context_mixing.MixingParameters(frequent=10, lessons=40, lesson_batch=10)
+    counts = context_mixing.both_counts(n0, n1)
+    rows = context_mixing.learned(vocab, counts, tokens, len(count), how).collect()
+    of = {kind: sum(r["bits"] for r in rows if r["kind"] == kind) for kind in range(3)}
+    assert np.isclose(of[context_mixing.WEIGHT], context_mixing.N_INPUTS * bits)
+    assert np.isclose(of[context_mixing.REFINE], bits) and np.isclose(of[context_mixing.RATIO], tokens)
+    # A word that is worth three occurrences teaches like three of it in one update.
+    words = sorted(count)[:90]
+    once = context_mixing.learn(counts, words, np.full(90, 3.0), context_mixing.MixingParameters())
+    thrice = context_mixing.learn(counts, words * 3, np.ones(270), context_mixing.MixingParameters(lesson_batch=270))
+    assert np.allclose(once.weights, thrice.weights, atol=1e-4) and np.allclose(once.met, thrice.met[:90], atol=1e-4)
+
+
 def test_words_of_a_text_share_one_probability():
     """Over all continuations the probability of the next word adds up to at most one."""
     rng = np.random.default_rng(0)

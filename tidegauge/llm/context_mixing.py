@@ -13,7 +13,8 @@ score.
 
 The bit predictors' contexts end at the start of a word, so a distinct word is worked
 out once; the word before comes in by counted pairs of words.  The counts behind
-predictors, pairs and base score cover all training texts.
+predictors, pairs and base score cover all training texts, and so do the lessons that
+weights, map and shares are learned from.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice, repeat
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import LOWER, UPPER, fold, hashed_sample, release_memory, sigmoid, text_bytes
+from tidegauge.llm.common import LOWER, UPPER, fold, release_memory, sigmoid, text_bytes
 from tidegauge.llm.common import mix as spread_bits
 from tidegauge.session import written
 
@@ -48,8 +49,9 @@ class MixingParameters:
 
     A task remembers up to about ``remembered`` words; the spelling of a word that is not
     frequent is worked out once for all tasks.
-    The mixer learns online from ``lessons`` training words, drawn by their counts;
-    ``lesson_batch`` words share an update.  ``cache`` is the number of words after
+    The mixer learns online from all training words: a learner takes about ``lessons``
+    distinct ones in at most ``updates`` updates of ``lesson_batch`` words or more, and
+    what the learners have learned is averaged.  ``cache`` is the number of words after
     which a document's own words count half as much as they could.  Of the pairs of
     frequent words, the ``pairs`` most frequent at most travel with the tasks: all
     from the least count on that keeps to it.  Pairs are counted in buckets of about
@@ -61,6 +63,7 @@ class MixingParameters:
     remembered: int = 300_000
     lessons: int = 60_000
     lesson_batch: int = 100
+    updates: int = 200
     rate: float = 0.1
     cache: float = 50.0
     pairs: int = 1 << 20
@@ -117,19 +120,39 @@ def contexts_of(words: list[bytes]) -> Contexts:
     return Contexts(byte, place, start, hashes)
 
 
+def shared_bytes(c: Contexts) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending words, where each byte with all before it in its word comes first, and which of these each byte is."""
+    size = np.diff(np.append(c.start, len(c.byte)))
+    before = np.concatenate([[0], size[:-1]])
+    other = np.arange(len(c.byte)) - np.repeat(before, size)  # the same place of the word before
+    same = (c.place < np.repeat(before, size)) & (c.byte == c.byte[other])
+    differs = np.minimum.reduceat(np.where(same, len(c.byte), c.place), c.start)
+    new = c.place >= np.repeat(differs, size)
+    # Bytes at one place lie side by side, in the order of the words.
+    order = np.argsort(c.place, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new[order]) - 1
+    return order[new[order]], number
+
+
 def slots(c: Contexts, bit: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The node of each byte's tree at ``bit``, and its slot for each predictor."""
     node = (np.uint32(1 << bit) | (c.byte >> np.uint8(8 - bit)).astype(np.uint32)) if bit else np.ones(
         len(c.byte), np.uint32
     )
-    out = [c.hashes[0] * np.uint32(256) + node]
+    return node, slots_at(c.hashes, node)
+
+
+def slots_at(hashes: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+    """The slot of each node for each predictor; ``node`` may have a row for each bit."""
+    out = [hashes[0] * np.uint32(256) + node]
     spread = node * np.uint32(0x9E3779B1)
     for k, bits in enumerate(BITS[1:], start=1):
-        slot = c.hashes[k] ^ spread
+        slot = hashes[k] ^ spread
         slot *= np.uint32(0x85EBCA6B)
         slot >>= np.uint32(32 - bits)
         out.append(slot)
-    return node, out
+    return out
 
 
 def evidence(n: np.ndarray) -> np.ndarray:
@@ -191,67 +214,119 @@ class Mixer:
 
     def word_logs(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word with its space."""
-        if not words:
-            return np.zeros(0)
-        out = []
+        out = np.zeros(len(words))
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
         for i in range(0, len(words), 20_000):
-            c = contexts_of(words[i : i + 20_000])
-            p = np.ones(len(c.byte))
+            own = order[i : i + 20_000]
+            c = contexts_of([words[k] for k in own.tolist()])
+            first, number = shared_bytes(c)
+            c = replace(c, byte=c.byte[first], hashes=[h[first] for h in c.hashes])
+            p = np.ones(len(first))
             for bit in range(8):
                 one = self.probabilities(c, bit)
                 p *= np.where(bit_values(c, bit), one, 1 - one)
-            out.append(np.add.reduceat(np.log10(p), c.start))
-        return np.concatenate(out)
+            out[own] = np.add.reduceat(np.log10(p)[number], c.start)
+        return out
 
 
-def teach(n0: np.ndarray, n1: np.ndarray, lessons: list[bytes], how: MixingParameters) -> tuple[Mixer, np.ndarray]:
-    """Learn weights and map online from a stream of training words.
+@dataclass
+class Taught:
+    """What a stream of lessons has taught, and how many bits are behind each part of it.
+
+    ``met`` has the log10 probability of each lesson when it was met.
+    """
+
+    weights: np.ndarray
+    refine: np.ndarray
+    set_bits: np.ndarray
+    refine_bits: np.ndarray
+    met: np.ndarray
+
+
+def both_counts(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """How often each slot saw a 0 and a 1, side by side as one complex number."""
+    counts = np.empty(len(n0), np.complex64)
+    counts.real, counts.imag = n0, n1
+    return counts
+
+
+def learn(counts: np.ndarray, lessons: list[bytes], times: np.ndarray, how: MixingParameters) -> Taught:
+    """Learn weights and map online from a stream of training words, each worth ``times`` occurrences.
 
     The counts hold every lesson already, so one occurrence is taken out of them
-    before its bit is predicted.  With the mixer come the log10 probabilities that
-    the lessons had when they were met.
+    before its bit is predicted.  What the words of an update have in common, all
+    bytes up to one, is worked out once.
     """
-    met = []
-    weights = np.zeros((SETS, N_INPUTS))
-    weights[:, : len(BITS)] = 0.3
-    grid = np.linspace(-12, 12, BUCKETS)
-    refine = np.tile(sigmoid(grid), 256)
-    for turn, i in enumerate(range(0, len(lessons), how.lesson_batch)):
-        c = contexts_of(lessons[i : i + how.lesson_batch])
+    met = np.zeros(len(lessons))
+    weights = np.zeros((N_INPUTS, SETS), np.float32)
+    weights[: len(BITS)] = 0.3
+    refine = np.tile(sigmoid(np.linspace(-12, 12, BUCKETS)), 256).astype(np.float32)
+    set_bits, refine_bits = np.zeros(SETS), np.zeros(len(refine))
+    own_count = np.array([1, 1j], np.complex64)
+    level = np.arange(8, dtype=np.uint32)[:, None]
+    width = max(how.lesson_batch, -(-len(lessons) // how.updates))
+    for turn, i in enumerate(range(0, len(lessons), width)):
+        order = np.array(sorted(range(i, min(i + width, len(lessons))), key=lessons.__getitem__), np.int64)
+        c = contexts_of([lessons[k] for k in order.tolist()])
+        first, number = shared_bytes(c)
+        weight = np.bincount(number, np.repeat(times[order], np.diff(np.append(c.start, len(c.byte)))))
         rate = max(how.rate, 0.5 / (1 + turn))
-        chance = np.ones(len(c.byte))
-        for bit in range(8):
-            node, at = slots(c, bit)
-            y = bit_values(c, bit).astype(float)
-            x = np.empty((len(y), N_INPUTS))
-            x[:, -1] = 1.0
-            total = {}
-            for k, slot in enumerate(at):
-                where = OFFSETS[k] + slot.astype(np.int64)
-                without = np.maximum(n0[where] - (1 - y), 0), np.maximum(n1[where] - y, 0)
-                x[:, k] = log_odds(*without)
-                total[k] = evidence(without[0] + without[1])
-            g = gate(bit, total[3], total[4])
-            z = (weights[g] * x).sum(1)
-            error = y - sigmoid(z)
-            count = np.bincount(g, minlength=len(weights))
-            step = np.zeros_like(weights)
-            np.add.at(step, g, error[:, None] * x)
-            weights += rate * step / np.maximum(count, 1)[:, None]
-            z = np.clip(z, -11.9, 11.9)
-            row = node.astype(np.int64) * BUCKETS + np.rint((z + 12) * ((BUCKETS - 1) / 24)).astype(np.int64)
-            one = np.clip(0.5 * (sigmoid(z) + refine[row]), 1e-5, 1 - 1e-5)
-            chance *= np.where(y > 0, one, 1 - one)
-            seen = np.bincount(row, minlength=len(refine))
-            ones = np.bincount(row, y, minlength=len(refine))
-            pull = seen / (seen + 200.0)
-            refine += pull * (ones / np.maximum(seen, 1) - refine)
-        met.append(np.add.reduceat(np.log10(chance), c.start))
+        logs = np.empty(len(first))
+        # The bits of a byte have sets and rows of their own, so they learn side by side.
+        for j in range(0, len(first), 1 << 15):
+            part = first[j : j + (1 << 15)]
+            byte = c.byte[part].astype(np.uint32)
+            one = (byte >> (7 - level)) & np.uint32(1)
+            y = one.astype(np.float32)
+            node = (np.uint32(1) << level) | (byte >> (8 - level))
+            each = np.broadcast_to(weight[j : j + (1 << 15)], one.shape).ravel()
+            own = own_count.take(one)
+            x, seen = [], []
+            for k, slot in enumerate(slots_at([h[part] for h in c.hashes], node)):
+                n = counts.take(slot.astype(np.int64) + OFFSETS[k])
+                n -= own
+                n = n.view(np.float32).reshape(*one.shape, 2)
+                np.maximum(n, 0, out=n)
+                if k >= 3:
+                    seen.append(evidence(n[..., 0] + n[..., 1]))
+                x.append(log_odds(n[..., 0], n[..., 1]))
+            g = gate(level.astype(np.int64), *seen)
+            z = weights[-1].take(g)
+            for k in range(len(BITS)):
+                z += weights[k].take(g) * x[k]
+            np.clip(z, -60, 60, out=z)
+            g = g.ravel()
+            error = (y - 1 / (1 + np.exp(-z))) * each.reshape(one.shape)
+            bits = np.bincount(g, each, SETS)
+            scale = rate / np.maximum(bits, 1)
+            for k in range(len(BITS)):
+                weights[k] += scale * np.bincount(g, (error * x[k]).ravel(), SETS)
+            weights[-1] += scale * np.bincount(g, error.ravel(), SETS)
+            set_bits += bits
+            np.clip(z, -11.9, 11.9, out=z)
+            row = node.astype(np.int64) * BUCKETS + np.rint((z + 12) * np.float32((BUCKETS - 1) / 24)).astype(np.int64)
+            p = np.clip((1 / (1 + np.exp(-z)) + refine.take(row)) * np.float32(0.5), 1e-5, 1 - 1e-5)
+            logs[j : j + (1 << 15)] = np.log(np.where(one, p, 1 - p)).sum(0, dtype=float) / np.log(10)
+            row = row.ravel()
+            total = np.bincount(row, each, len(refine))
+            share = np.bincount(row, each * y.ravel(), len(refine)) / np.maximum(total, 1)
+            refine += total / (total + 200.0) * (share - refine)
+            refine_bits += total
+        met[order] = np.add.reduceat(logs[number], c.start)
+    return Taught(weights.T, refine, set_bits, refine_bits, met)
+
+
+def mixer_of(n0: np.ndarray, n1: np.ndarray, weights: np.ndarray, refine: np.ndarray) -> Mixer:
     pieces = [slice(OFFSETS[k], OFFSETS[k + 1]) for k in range(len(BITS))]
     tables = [log_odds(n0[s], n1[s]) for s in pieces]
     seen = [evidence(n0[s] + n1[s]) for s in pieces[3:]]
-    mixer = Mixer(tables, *seen, weights.astype(np.float32), refine.astype(np.float32))
-    return mixer, np.concatenate(met) if met else np.zeros(0)
+    return Mixer(tables, *seen, np.ascontiguousarray(weights, np.float32), refine.astype(np.float32))
+
+
+def teach(n0: np.ndarray, n1: np.ndarray, lessons: list[bytes], how: MixingParameters) -> tuple[Mixer, np.ndarray]:
+    """The mixer that one stream of words makes, and the log10 probabilities they had when they were met."""
+    taught = learn(both_counts(n0, n1), lessons, np.ones(len(lessons)), how)
+    return mixer_of(n0, n1, taught.weights, taught.refine), taught.met
 
 
 # --- Spark ---------------------------------------------------------------------
@@ -305,10 +380,13 @@ def slot_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         n = [np.zeros(2 << bits, np.int64) for bits in BITS]
         for batch in batches:
             for i in range(0, batch.num_rows, 50_000):
-                part = batch.slice(i, 50_000)
+                part = pa.Table.from_batches([batch.slice(i, 50_000)]).sort_by("word")
                 c = contexts_of(part.column("word").to_pylist())
-                times = part.column("n").to_numpy(zero_copy_only=False)
-                each = np.repeat(times, np.diff(np.append(c.start, len(c.byte))))
+                times = np.repeat(part.column("n").to_numpy(), np.diff(np.append(c.start, len(c.byte))))
+                first, number = shared_bytes(c)
+                each = np.zeros(len(first), np.int64)
+                np.add.at(each, number, times)
+                c = replace(c, byte=c.byte[first], hashes=[h[first] for h in c.hashes])
                 for bit in range(8):
                     y = bit_values(c, bit).astype(np.uint32)
                     for k, slot in enumerate(slots(c, bit)[1]):
@@ -368,9 +446,69 @@ def least_frequent(vocab: DataFrame, how: MixingParameters) -> int:
     return 0
 
 
+WEIGHT, REFINE, RATIO = range(3)  # what a learner hands on
+RATIO_STEP = 64  # buckets of the ratio for each power of ten
+
+
+def learned(words: DataFrame, counts: np.ndarray, tokens: int, distinct: int, how: MixingParameters) -> DataFrame:
+    """(kind, at, bits, total): what all learners have learned from all training words.
+
+    Every word goes to learners as often as it occurs: a rare one to one of them, a
+    frequent one in parts to several, and inside a learner in parts to several updates.
+    Weights and map are summed with the bits behind them.  The last kind has the
+    occurrences by the ratio of a word's share of the other training words to its
+    probability when it was met.
+    """
+    learners = max(1, -(-distinct // how.lessons))
+    heaviest = max(1, tokens // (learners * max(1, how.lessons // 4)))
+    copies = F.least(F.lit(learners), F.ceil(F.col("n") / heaviest)).cast("bigint")
+    dealt = (
+        words.withColumn("copies", copies)
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        .select(
+            F.pmod(F.xxhash64("word") + F.col("copy"), F.lit(learners)).alias("learner"),
+            "word",
+            "n",
+            (F.floor(F.col("n") / F.col("copies")) + (F.col("copy") < F.col("n") % F.col("copies")).cast("bigint")).alias("times"),
+        )
+    )
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("word")
+        times = rows.column("times").to_numpy()
+        parts = -(-times // heaviest)
+        place = np.repeat(np.arange(len(times)), parts)
+        place = place[np.random.default_rng(3).permutation(len(place))]
+        word = rows.column("word").to_pylist()
+        n, times = rows.column("n").to_numpy()[place], (times / parts)[place]
+        taught = learn(counts, [word[i] for i in place.tolist()], times, how)
+        with np.errstate(divide="ignore"):
+            ratio = np.log10((n - 1) / max(1, tokens - 1)) - taught.met
+        # A word that occurs once has no share among the others.
+        bucket = np.rint(np.clip(ratio, -20, 300) * RATIO_STEP).astype(np.int64)
+        bucket, at = np.unique(bucket, return_inverse=True)
+        bits = np.repeat(taught.set_bits, N_INPUTS), taught.refine_bits, np.bincount(at, times)
+        total = bits[0] * taught.weights.ravel(), bits[1] * taught.refine, np.zeros(len(bucket))
+        at = np.arange(SETS * N_INPUTS), np.arange(len(taught.refine)), bucket
+        kind = np.repeat([WEIGHT, REFINE, RATIO], [len(x) for x in at])
+        columns = {"kind": kind.astype(np.int32), "at": np.concatenate(at).astype(np.int32)}
+        columns |= {"bits": np.concatenate(bits), "total": np.concatenate(total)}
+        table = pa.table(columns)
+        del rows, word, taught
+        release_memory()
+        return table
+
+    each = dealt.groupBy("learner").applyInArrow(run, "kind int, at int, bits double, total double")
+    return each.groupBy("kind", "at").agg(F.sum("bits").alias("bits"), F.sum("total").alias("total"))
+
+
 def fit_scorer(vocab: DataFrame, how: MixingParameters = MixingParameters()) -> Scorer:
-    """Learn from the (word, n) table of the training texts; an empty one is allowed."""
+    """Learn from the (word, n) table of the training texts; an empty one is allowed.
+
+    All words teach the mixer, as often as they occur.
+    """
     totals = vocab.agg(F.sum("n"), F.count("*")).first()
+    tokens, distinct = totals[0] or 0, totals[1] or 0
     top = (
         vocab.where((F.octet_length("word") <= how.longest_frequent) & (F.col("n") >= least_frequent(vocab, how)))
         .orderBy(F.desc("n"), "word")
@@ -379,29 +517,23 @@ def fit_scorer(vocab: DataFrame, how: MixingParameters = MixingParameters()) ->
     )
     frequent = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
     n0, n1 = slot_counts(vocab)
-    # A hashed sample stands for the words that are not frequent.
-    sample = hashed_sample(vocab, how.lessons, "word").toArrow()
-    known = dict(zip(sample.column("word").to_pylist(), sample.column("n").to_pylist())) | frequent
-    rng = np.random.default_rng(3)
-    lessons: list[bytes] = []
-    if known:
-        pool = sorted(known)
-        mass = np.array([known[w] for w in pool], float)
-        rest = (totals[0] or 0) - sum(frequent.values())
-        inside = np.array([w in frequent for w in pool])
-        if (~inside).any():
-            mass[~inside] *= rest / mass[~inside].sum()
-        lessons = [pool[i] for i in rng.choice(len(pool), how.lessons, p=mass / mass.sum())]
-    mixer, met = teach(n0, n1, lessons, how)
-    counts = np.array([known[w] for w in lessons], float) if lessons else np.zeros(0)
-    late = slice(len(lessons) // 2, None)  # the weights have settled by then
+    counts = both_counts(n0, n1)
+    found = learned(vocab, counts, tokens, distinct, how).orderBy("kind", "at").toArrow()
+    kind, at, bits, total = (found.column(c).to_numpy() for c in ("kind", "at", "bits", "total"))
+    untaught = learn(counts, [], np.zeros(0), how)
+    weights, refine = untaught.weights.ravel().copy(), untaught.refine
+    for part, values in ((WEIGHT, weights), (REFINE, refine)):
+        known = (kind == part) & (bits > 0)
+        values[at[known]] = total[known] / bits[known]
+    mixer = mixer_of(n0, n1, weights.reshape(SETS, N_INPUTS), refine)
+    ratios = kind == RATIO
     return Scorer(
         mixer,
-        share_of_mixer(met[late], counts[late], totals[0] or 0),
+        share_of_mixer(10.0 ** (at[ratios] / RATIO_STEP), bits[ratios]),
         frequent,
         mixer.word_logs(list(frequent)),
-        totals[0] or 0,
-        totals[1] or 0,
+        tokens,
+        distinct,
         how,
     )
 
@@ -606,17 +738,15 @@ def occurrence_terms(
     return (1 - share) * keep, (1 - share) * extra + share * before / np.maximum(place, 1)
 
 
-def share_of_mixer(word_logs: np.ndarray, counts: np.ndarray, tokens: int) -> float:
-    """The mixer's weight against the training share, by expectation steps over the lessons.
+def share_of_mixer(ratio: np.ndarray, times: np.ndarray) -> float:
+    """The mixer's weight against the training share, by expectation steps over all training words.
 
-    A lesson's own occurrence is taken out of its count.
+    ``ratio`` is a word's share over the mixer's probability.  A word's own occurrence
+    is taken out of its count.
     """
-    spelled = 10.0 ** word_logs
-    known = np.maximum(counts - 1, 0) / max(1, tokens - 1)
     mixed = 0.5
-    for _ in range(30 * bool(len(counts))):
-        ours = mixed * spelled
-        mixed = float(np.mean(ours / np.maximum(ours + (1 - mixed) * known, 1e-290)))
+    for _ in range(30 * bool(len(times))):
+        mixed = float(np.average(mixed / (mixed + (1 - mixed) * ratio), weights=times))
     return min(max(mixed, 0.02), 0.98)
 
 
@@ -682,6 +812,8 @@ def _scored(docs: DataFrame, scorer: Scorer, followers: Followers) -> DataFrame:
                     ],
                     names=[f.split()[0] for f in DOCUMENTS.split(", ")],
                 )
+                if i % 2000 == 1500:
+                    release_memory()
             release_memory()
 
     return docs.mapInArrow(run, DOCUMENTS)
@@ -709,7 +841,8 @@ def score_documents(docs: DataFrame, how: MixingParameters = MixingParameters())
         (fold(F.col("doc_id"), 7) == 2).alias("held_out"),
         "text",
     )
-    vocab = written(vocabulary(rows), "vocabulary")
+    # In order, words that begin alike lie together and are worked out together.
+    vocab = written(vocabulary(rows).sortWithinPartitions("word"), "vocabulary")
     scorer = fit_scorer(vocab.where("n > 0"), how)
     spelled = spelled_words(vocab, scorer.mixer, scorer.frequent)
     followers = learn_followers(rows.where("not held_out"), scorer)
