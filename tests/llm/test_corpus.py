@@ -146,6 +146,24 @@ def test_components_of_a_chain(spark):
     assert components(df.limit(0), "a", "b").count() == 0
 
 
+def test_ties_of_a_part_need_no_round(spark, monkeypatch):
+    """Ties lead to the smallest key of their part, and such stars are classes as they are."""
+    keys = [b"d", b"b", b"e", b"a", b"c", b"f"]
+    ties = near_duplicates._spanning(keys, np.array([0, 2, 1, 3]), np.array([2, 1, 0, 4]))
+    assert sorted(ties) == [(b"c", b"a"), (b"d", b"b"), (b"e", b"b")]
+    names = []
+
+    def write(df, name):
+        names.append(name)
+        return df.cache()
+
+    monkeypatch.setattr("tidegauge.llm.components.written", write)
+    found = components(spark.createDataFrame([*ties, (None, b"a")], "a binary, b binary"), "a", "b")
+    got = {bytes(r["node"]): bytes(r["root"]) for r in found.collect()}
+    assert got == {b"a": b"a", b"c": b"a", b"b": b"b", b"d": b"b", b"e": b"b"}
+    assert names == ["edges"]
+
+
 # --- benchmark leaks ---------------------------------------------------------------------
 
 

@@ -203,9 +203,9 @@ def _runs(
     release_memory()
 
 
-def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions of the pairs that join two parts not yet joined."""
-    parent = list(range(n))
+def _spanning(keys: list[bytes], a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Ties of all that the pairs join, each to the smallest key of its part."""
+    parent = list(range(len(keys)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -213,15 +213,17 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
             x = parent[x]
         return x
 
-    kept = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+    joined = 0
+    for x, y in zip(a.tolist(), b.tolist()):
         rx, ry = root(x), root(y)
         if rx != ry:
+            if keys[rx] < keys[ry]:
+                rx, ry = ry, rx
             parent[rx] = ry
-            kept.append(i)
-            if len(kept) == n - 1:
+            joined += 1
+            if joined == len(keys) - 1:
                 break
-    return kept
+    return [(keys[x], keys[root(x)]) for x in range(len(keys)) if parent[x] != x]
 
 
 def _tied(how: NearDuplicates) -> Callable[[pa.Table], list[tuple[bytes, bytes]]]:
@@ -246,8 +248,7 @@ def _tied(how: NearDuplicates) -> Callable[[pa.Table], list[tuple[bytes, bytes]]
             hits = others[ok]
             found_a += [i] * len(hits)
             found_b += hits.tolist()
-        kept = _spanning(n, np.array(found_a, int), np.array(found_b, int))
-        return [(keys[found_a[i]], keys[found_b[i]]) for i in kept]
+        return _spanning(keys, np.array(found_a, int), np.array(found_b, int))
 
     return work
 
@@ -295,7 +296,7 @@ def _confirmed(how: NearDuplicates) -> Callable[[pa.Table], list[tuple[bytes, by
         else:
             link = np.triu(link, 1)
         a, b = np.nonzero(link)
-        return [(keys[a[i]], keys[b[i]]) for i in _spanning(n, a, b)]
+        return _spanning(keys, a, b)
 
     return work
 
