@@ -459,7 +459,7 @@ def test_broken_payload_is_an_error():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     cursor = con.execute(ORACLES[name])
     names = [c[0] for c in cursor.description]
